@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TOKENIZER, VOCABULARY = "word_bpe_49k.json", 49_408
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +20,95 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(suffix_dedup(_read(spark, sf_dir, "documents"), threshold=50))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_array_dedup": op1_suffix_array_dedup,
-}
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.token_files import read_token_files, write_token_files
+
+    path = write_token_files(_read(spark, sf_dir, "documents"), TOKENIZER, VOCABULARY, end_id=1)
+    return read_token_files(spark, path)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import digest, find_contamination
+
+    return digest(find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import fit, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lm_score import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), order=3, alpha=0.4)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ann import nearest_neighbours
 
-ORACLE_SQL: dict[str, str] = {}
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.token_counts import count_tokens, write_flat_files
+
+    return count_tokens(spark, write_flat_files(_read(spark, sf_dir, "documents"), TOKENIZER))
+
+
+PROBE_ID, PROBE = -7, "\\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.chat_format import digest, format_chat, text_parts
+
+    probe = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PROBE).alias("text")) for i, role in enumerate(("user", "assistant"))])))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return digest(format_chat(rows.withColumn("parts", text_parts(F.col("text")))))
+
+
+def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), distance=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_binary, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_lm_score, op7_nearest_neighbours, op8_token_counts, op9_chat_format, op10_simhash_near_dup)}
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win, least(10, len(w)) AS n
+       FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS i FROM b)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+hitwords AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hitwords USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op9_chat_format": f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT {PROBE_ID}, 0, 'user', '{PROBE}' UNION ALL SELECT {PROBE_ID}, 1, 'assistant', '{PROBE}'),
+e AS (SELECT *, length(replace(replace(replace(role, '\\', '\\\\'), '<', '\\l'), '#', '\\h')) + length(role) - length(replace(role, chr(10), '')) AS role_chars,
+             length(replace(replace(replace(text, '\\', '\\\\'), '<', '\\l'), '#', '\\h')) AS text_chars FROM r)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(role_chars + text_chars + 13) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+}
