@@ -297,7 +297,7 @@ def _order_runs(threshold: int):
         body = np.frombuffer(b"".join(texts), np.uint8)
         windows = lens - threshold + 1
         # The leading digit of a run is that of any of its windows; a digit with one distinct run needs no ordering.
-        lead = np.array([leading_digits(body[a : a + threshold], threshold)[0] for a in at[:-1].tolist()], np.uint64)
+        lead = leading_digits(body, threshold)[at[:-1]]
         digit, digit_of, times = np.unique(lead, return_inverse=True, return_counts=True)
         many = times[digit_of] > 1
         run_of = np.repeat(np.flatnonzero(many), windows[many])
