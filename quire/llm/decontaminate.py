@@ -206,30 +206,56 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table(fields)] * times)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """For each row of docs: its number of words, the stretches of words inside benchmark windows (first and last word), the
-    items found, and the longest verbatim matches with their places."""
-    spark = docs.sparkSession
+def _indices(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, broadcast_bytes: int) -> list:
+    """The benchmark as broadcast indices, each of about broadcast_bytes of text at most."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size // broadcast_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def index(k: int):
+    out = []
+    for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items
         table = own.distinct().sort("id", "text").toArrow()
-        return spark.sparkContext.broadcast(Index.of(table.column("id").to_pylist(), table.column("text").to_pylist(), window))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index.of(table.column("id").to_pylist(), table.column("text").to_pylist(), window)))
+    return out
 
-    if blocks == 1:
-        return rows.mapInArrow(_search(index(0), 0), RESULT)
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """For each row of docs: its number of words, the stretches of words inside benchmark windows (first and last word), the
+    items found, and the longest verbatim matches with their places."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    indices = _indices(benchmark, window, item_col, item_text_col, broadcast_bytes)
+    if len(indices) == 1:
+        return rows.mapInArrow(_search(indices[0], 0), RESULT)
     keyed = rows.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    parts = [keyed.mapInArrow(_search(index(k), 1), RESULT + ", __key string").withColumn("__block", F.lit(k)) for k in range(blocks)]
+    parts = [keyed.mapInArrow(_search(index, 1), RESULT + ", __key string").withColumn("__block", F.lit(k)) for k, index in enumerate(indices)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     return every.groupBy(F.col("doc_id").alias("__doc"), F.col("__key").alias("__text")).applyInArrow(lambda table: _merge(table), RESULT)
 
 
+def _clean(index, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark: Index = index.value
+        for batch in batches:
+            body, at = text_bytes(batch.column(column).cast(pa.large_string()))
+            keep = np.ones(batch.num_rows, bool)
+            for lo, hi in byte_ranges(at, SHARD_BYTES):
+                words = Words.of(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                for i, _, _ in benchmark.search(words):
+                    keep[lo + int(words.doc[i])] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs that hold no benchmark window, as they are; nothing is joined or shuffled."""
+    for index in _indices(benchmark, window, item_col, item_text_col, broadcast_bytes):
+        docs = docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     words = F.coalesce(F.aggregate("hit", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1), F.lit(0))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")

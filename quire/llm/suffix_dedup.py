@@ -204,7 +204,8 @@ class _State:
             raw = first.get(b)
             docs = np.frombuffer(raw, np.int64, len(own), 4).tolist() if raw else [d for _, d in own]
             least |= {key: doc for (key, _), doc in zip(own, docs, strict=True)}
-        self.copy = np.array([ok and least[key] < doc for key, doc, ok in zip(_texts(block), block.ids.tolist(), block.known.tolist(), strict=True)], bool)
+        self.hashes = _texts(block)
+        self.copy = np.array([ok and least[key] < doc for key, doc, ok in zip(self.hashes, block.ids.tolist(), block.known.tolist(), strict=True)], bool)
         runs.keep(~self.copy[runs.doc])
         again, times = np.unique(runs.digit, return_counts=True)
         live.append(again[times > 1])
@@ -397,6 +398,7 @@ def _remove(threshold: int, count: int, whole_chars: bool):
                         "n_removed": pa.array(lens - np.diff(left_over), pa.int64()),
                         "spans": pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pairs),
                         "kept": pa.array([kept[x:y] for x, y in zip(left_over[:-1].tolist(), left_over[1:].tolist(), strict=True)], pa.binary()),
+                        "source_sha256": pa.array([h.hex() for h in state.hashes], pa.string()),
                     }
                 )
             )
@@ -405,7 +407,7 @@ def _remove(threshold: int, count: int, whole_chars: bool):
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary, source_sha256 string"
 _EMPTY = pa.table(
     {
         "doc_id": pa.array([], pa.int64()),
@@ -413,13 +415,15 @@ _EMPTY = pa.table(
         "n_removed": pa.array([], pa.int64()),
         "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
         "kept": pa.array([], pa.binary()),
+        "source_sha256": pa.array([], pa.string()),
     }
 )
 
 
 def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", whole_chars: bool = False) -> DataFrame:
     """Remove every byte of a document that a window of `threshold` bytes covers which also starts in a document with a
-    smaller id.  Returns, for each row of docs, doc_id, n_bytes, n_removed, the removed spans in order, and the bytes kept.
+    smaller id.  Returns, for each row of docs, doc_id, n_bytes, n_removed, the removed spans in order, the bytes kept, and
+    the SHA-256 of the whole text.
 
     whole_chars keeps a character whole unless all of its bytes would go, so that what is kept is valid UTF-8.
     """
@@ -440,3 +444,14 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
 def digest(result: DataFrame) -> DataFrame:
     """One row a document with the digest of what was kept."""
     return result.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def replace_texts(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with what suffix_dedup keeps of their texts, whole characters only; n_chars, where there is one, is counted anew."""
+    found = suffix_dedup(docs, threshold, id_col, text_col, whole_chars=True).where("n_removed > 0")
+    changed = found.select(F.col("doc_id").alias("__doc"), F.col("source_sha256").alias("__sha"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__doc", "__sha"])
+    own = docs.withColumn("__own", F.sha2(F.col(text_col).cast("binary"), 256))
+    joined = own.join(changed, (own[id_col].cast("long") == changed["__doc"]) & (own["__own"] == changed["__sha"]), "left")
+    text = F.coalesce(F.col("__kept"), F.col(text_col))
+    out = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return joined.select(*out)
