@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import concordance
+from quire.functions.arrow import arrow_function
 from quire.functions.pages import LABEL_VOLUME, composed, label_count, mended, section_of_title
 from quire.functions.text import SPACE, fold, fold_squeezed, strip, text_quality
 
@@ -30,7 +31,8 @@ def sections(toc: DataFrame, counts: DataFrame, merge_kinds: bool = False) -> Da
     if merge_kinds:
         again = again | (F.col("tipo") == F.lag("tipo").over(order))
     first = own.withColumn("__again", F.coalesce(again, F.lit(False))).where(~F.col("__again")).drop("__again")
-    end = F.greatest(F.col("desde"), F.lead("desde").over(order) - 1)
+    following = F.lead("desde").over(order)
+    end = F.when(following.isNotNull(), F.greatest(F.col("desde"), following - 1))
     ended = first.join(counts, "doc").withColumn("hasta", F.coalesce(end, F.col("pages"))).select("doc", "desde", "hasta", "tipo", "titulo")
     bare = counts.join(first, "doc", "left_anti").select("doc", F.lit(1).alias("desde"), F.col("pages").alias("hasta"), F.lit("texto").alias("tipo"), F.lit("").alias("titulo"))
     return ended.unionByName(bare)
@@ -150,7 +152,7 @@ def page_records(spans: DataFrame, boxes: DataFrame, toc: DataFrame) -> DataFram
     return full.select(F.col("doc").alias("canonico"), F.lit("pagina").alias("tipo"), "pdf", (F.col("pdf") - F.col("desfase")).alias("impresa"), "seccion", "titulo", work.alias("obra"), "__s.*")
 
 
-@F.pandas_udf("struct<versos: array<string>, capitulos: array<int>, llamadas: array<string>, cuerpo: string, notas: string, nota: string>")
+@arrow_function("struct<versos: array<string>, capitulos: array<int>, llamadas: array<string>, cuerpo: string, notas: string, nota: string>")
 def _sheet(bodies: pd.Series, notes: pd.Series, refs: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     from quire.functions.pages import sheet
 
@@ -170,7 +172,7 @@ def volume_names(pages: DataFrame) -> DataFrame:
 
     def read(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("pdf")[["seccion", "cuerpo", "notas"]].to_dict("records")
-        return pd.DataFrame({"canonico": [rows["canonico"].iloc[0]], "indice_nombres": [list(concordance.names(own).items())]})
+        return pd.DataFrame({"canonico": [rows["canonico"].iloc[0]], "indice_nombres": [concordance.names(own)]})
 
     return anchored.join(start, "canonico").where("pdf >= __from").select(*cols).groupBy("canonico").applyInPandas(read, "canonico string, indice_nombres map<string, array<string>>")
 

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from quire.plans import search_queries, store_queries
+from quire.plans import corpus_queries, search_queries, store_queries
 
-QUERIES = {**store_queries.QUERIES, **search_queries.QUERIES}
-SQL = {**store_queries.SQL, **search_queries.SQL}
+QUERIES = {**store_queries.QUERIES, **search_queries.QUERIES, **corpus_queries.QUERIES}
+SQL = {**store_queries.SQL, **search_queries.SQL, **corpus_queries.SQL}

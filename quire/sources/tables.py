@@ -86,7 +86,7 @@ def merge_recognised(pages: DataFrame, recognised: DataFrame, least: int = 40) -
     found = recognised.where(F.length(strip(F.col("texto"))) >= least).select("canonico", "pdf", F.col("texto").alias("__t"))
     both = pages.join(found, ["canonico", "pdf"], "left")
     take = (strip(F.coalesce("cuerpo", F.lit(""))) == "") & F.col("__t").isNotNull()
-    return both.withColumn("cuerpo", F.when(take, F.col("__t")).otherwise(F.col("cuerpo"))).withColumn("ocr", F.when(take, True).otherwise(F.col("ocr"))).drop("__t")
+    return both.withColumns({"cuerpo": F.when(take, F.col("__t")).otherwise(F.col("cuerpo")), "ocr": F.when(take, True).otherwise(F.col("ocr"))}).drop("__t")
 
 
 def description(response: F.Column) -> F.Column:
