@@ -8,14 +8,16 @@ depend on its neighbours goes to the library whole.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 from quire.llm.blocks import byte_ranges, mix, text_bytes
 
-MEMO_LIMIT = 1_000_000
-_BATCH_BYTES = 4 << 20
+#: Words a worker remembers (under 100 MB), and bytes of text that it splits at once.
+MEMO_LIMIT = 400_000
+_BATCH_BYTES = 1 << 20
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 
 
@@ -49,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.whole = whole or not self.fits()
 
     def fits(self) -> bool:
@@ -60,14 +62,15 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _piece(self, piece: bytes) -> np.ndarray:
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of a word, as little-endian 32-bit integers."""
         ids = self.memo.get(piece)
         if ids is None:
             word = piece.decode() if piece.isascii() else piece.decode("latin-1")
             tokens = self.tokenizer.model.tokenize(word.translate(_SPELL))
             if len(self.memo) >= MEMO_LIMIT:
                 self.memo.clear()
-            ids = self.memo[piece] = np.array([t.id for t in tokens], np.uint32)
+            ids = self.memo[piece] = array("I", [t.id for t in tokens]).tobytes()
         return ids
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +146,9 @@ class Encoder:
             return self._plain(low, starts, lens, at)
         raw = low.tobytes()
         pieces = [self._piece(raw[a : a + n]) for a, n in zip(starts[first].tolist(), lens[first].tolist(), strict=True)]
-        size_of = np.array([len(p) for p in pieces], np.int64)
+        size_of = np.array([len(p) for p in pieces], np.int64) // 4
         begin = np.concatenate([[0], np.cumsum(size_of)])[:-1]
-        known = np.concatenate(pieces)
+        known = np.frombuffer(b"".join(pieces), np.uint32)
         n = size_of[which]
         out_at = np.concatenate([[0], np.cumsum(n)])
         ids = known[np.arange(out_at[-1]) + np.repeat(begin[which] - out_at[:-1], n)]
@@ -154,8 +157,8 @@ class Encoder:
     def _plain(self, low: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = low.tobytes()
         pieces = [self._piece(raw[a : a + n]) for a, n in zip(starts.tolist(), lens.tolist(), strict=True)]
-        out_at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        return np.concatenate(pieces), np.diff(out_at[np.searchsorted(starts, at)])
+        out_at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in pieces])]).astype(np.int64)
+        return np.frombuffer(b"".join(pieces), np.uint32), np.diff(out_at[np.searchsorted(starts, at)])
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
