@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a list column that are whole vectors of so many finite components and not zero: which, and their values."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    lens = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+    lens = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
     which = np.flatnonzero(lens == dims)
     if not len(which) or not dims:
         return np.zeros(0, np.int64), np.zeros((0, dims), np.float32)
