@@ -12,9 +12,11 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.arrow import arrow_function
 from quire.functions.text import NOT_SPACE, SPACE, compose, fold, fold_squeezed, fold_words, greek_search_copy, search_tokens, strip
 
 WINDOW, OVERLAP = 180, 40
@@ -71,33 +73,73 @@ def passages(pages: DataFrame, keep: list[str], preliminary: str | None = None)
     return cut.withColumn("palabras", F.regexp_count("texto", F.lit(f"{NOT_SPACE}+"))).withColumn("busqueda", greek_search_copy(F.col("texto")))
 
 
+def tokenized(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
+    """(id, tokens)"""
+    return texts.select(F.col(id_col).alias("id"), search_tokens(text if text is not None else F.coalesce("busqueda", "texto")).alias("tokens"))
+
+
+def _spots(tokens: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """(term, id, tf, positions) of the tokens, or of the wanted array of them: no shuffle, one row for each term of a passage."""
+    terms = wanted if wanted is not None else F.array_distinct("tokens")
+    spots = F.transform(terms, lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions")))
+    return tokens.select("id", F.explode(spots).alias("s")).select(F.col("s.term").alias("term"), "id", F.size("s.positions").alias("tf"), F.col("s.positions").alias("positions"))
+
+
 def postings(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
-    """(term, id, tf, positions): built without a shuffle, one row for each term of a passage."""
-    tokens = search_tokens(text if text is not None else F.coalesce("busqueda", "texto"))
-    rows = texts.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    spots = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions")))
-    return rows.select("id", F.explode(spots).alias("s")).select(F.col("s.term").alias("term"), "id", F.size("s.positions").alias("tf"), F.col("s.positions").alias("positions"))
+    return _spots(tokenized(texts, id_col, text))
 
 
-def lengths(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
-    tokens = search_tokens(text if text is not None else F.coalesce("busqueda", "texto"))
-    return texts.select(F.col(id_col).alias("id"), F.size(tokens).alias("dl"))
+def term_filter(term: Column, terms: list[str], prefixes: list[str]) -> Column:
+    out = term.isin(*terms) if terms else F.lit(False)
+    for p in prefixes:
+        out = out | F.startswith(term, F.lit(p))
+    return out
 
 
 @dataclass
 class Index:
-    """Postings, passage lengths, and the two numbers of the whole index that BM25 needs."""
+    """Passage lengths and the two numbers of the whole index that BM25 needs, with the passages' tokens or a table of their postings.
+
+    Without a table only the positions of a query's own terms are worked out; with one (partitioned by term, see store) only
+    those terms are read."""
 
-    postings: DataFrame
     lengths: DataFrame
     passages: int
     mean_length: float
+    tokens: DataFrame | None = None
+    table: DataFrame | None = None
 
     @staticmethod
     def build(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
-        own = lengths(texts, id_col, text)
+        tokens = tokenized(texts, id_col, text)
+        own = tokens.select("id", F.size("tokens").alias("dl")).persist()  # sixteen bytes a passage; every query needs it
+        return Index(own, *Index._numbers(own), tokens=tokens)
+
+    @staticmethod
+    def _numbers(own: DataFrame) -> tuple[int, float]:
         total = own.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()[0]
-        return Index(postings(texts, id_col, text), own, total["n"], total["mean"] or 1.0)
+        return total["n"], total["mean"] or 1.0
+
+    def store(self, path: str, parts: int = 64) -> Index:
+        """Write postings and lengths below path, postings by a hash of the term, so that a query reads a few parts."""
+        rows = self.postings().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        rows.repartition("part").sortWithinPartitions("part", "term", "id").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        return Index.load(self.lengths.sparkSession, path, parts)
+
+    @staticmethod
+    def load(spark, path: str, parts: int = 64) -> Index:
+        own = spark.read.parquet(f"{path}/lengths")
+        return Index(own, *Index._numbers(own), table=spark.read.parquet(f"{path}/postings"))
+
+    def postings(self) -> DataFrame:
+        return self.table if self.table is not None else _spots(self.tokens)
+
+    def find(self, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
+        """Postings of some terms and of all that start with some prefixes."""
+        if self.table is not None:
+            return self.table.where(term_filter(F.col("term"), terms, list(prefixes)))
+        return _spots(self.tokens, F.filter(F.array_distinct("tokens"), lambda t: term_filter(t, terms, list(prefixes))))
 
 
 # --- queries ----------------------------------------------------------------------------------------------------------
@@ -169,13 +211,13 @@ def piece_hits(index: Index, own: list[Piece]) -> DataFrame:
         if len(terms) == 1 and not p.prefix:
             singles.setdefault(terms[0], []).append(k)
         elif len(terms) == 1:
-            rows = index.postings.where(F.startswith("term", F.lit(terms[0])))
+            rows = index.find([], [terms[0]])
             parts.append(rows.groupBy("id").agg(F.sum("tf").alias("tf")).select(F.lit(k).alias("piece"), "id", "tf"))
         elif terms:
             parts.append(_phrase(index, k, terms, p.prefix))
     if singles:
         table = F.create_map(*[x for t, ks in singles.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))])
-        rows = index.postings.where(F.col("term").isin(*singles))
+        rows = index.find(list(singles))
         parts.insert(0, rows.select(F.explode(table[F.col("term")]).alias("piece"), "id", F.col("tf").cast("long").alias("tf")))
     if not parts:
         return index.lengths.select(F.lit(0).alias("piece"), "id", F.lit(0).cast("long").alias("tf")).limit(0)
@@ -188,7 +230,7 @@ def piece_hits(index: Index, own: list[Piece]) -> DataFrame:
 def _phrase(index: Index, k: int, terms: list[str], prefix: bool) -> DataFrame:
     """Consecutive positions of all terms; the last may be a prefix."""
     last = F.startswith("term", F.lit(terms[-1])) if prefix else F.col("term") == terms[-1]
-    rows = index.postings.where(F.col("term").isin(*terms[:-1]) | last)
+    rows = index.find(terms[:-1], [terms[-1]]) if prefix else index.find(terms)
     spots = rows.groupBy("id").agg(
         *[F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"p{i}") for i, t in enumerate(terms[:-1])],
         F.flatten(F.collect_list(F.when(last, F.col("positions")))).alias(f"p{len(terms) - 1}"),
@@ -235,7 +277,7 @@ def relax(query: str, own: list[Piece], sets: dict[frozenset[int], int]) -> Plan
 def plan(index: Index, query: str) -> tuple[Plan, DataFrame]:
     """The relaxed plan of a query and its pieces' hits.  What comes to the driver is one count for each set of pieces."""
     own = pieces(query)
-    hits = piece_hits(index, own)
+    hits = piece_hits(index, own).persist()  # only the query's terms
     by_set = hits.groupBy("id").agg(F.sort_array(F.collect_set("piece")).alias("have")).groupBy("have").count().collect() if own else []
     return relax(query, own, {frozenset(r["have"]): r["count"] for r in by_set}), hits
 
@@ -367,24 +409,27 @@ def citation(row: dict[str, Column] | None = None) -> Column:
     return F.concat_ws(" · ", F.when(have(c["numero"]), F.concat(F.lit("Tomo "), c["numero"])), work, place, note)
 
 
-def rejoin(pieces_: Column, overlap: int = OVERLAP) -> Column:
+def rejoin_parts(parts: list[str], overlap: int = OVERLAP) -> str:
     """Passages of a page, in order, as one text: what two neighbours share is there once.  The longest shared run of up to overlap + 5 and
     over 3 words counts; without one they follow on a line of their own."""
-    words = lambda t: F.regexp_extract_all(t, F.lit(f"({NOT_SPACE}+{SPACE}*)"), F.lit(1))
-    end = lambda t: F.regexp_replace(t, f"{SPACE}+$", "")
-
-    def glue(whole: Column, part: Column) -> Column:
-        own = words(part)
-        top = F.least(F.lit(overlap + 5), F.size(own))
-        sizes = F.when(top > 3, F.sequence(top, F.lit(4), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(sizes, lambda n: F.endswith(end(whole), strip(F.array_join(F.slice(own, F.lit(1), n), ""))))
-        n = F.get(fits, F.lit(0))
-        joined = F.concat(end(whole), F.lit(" "), F.array_join(F.slice(own, n + 1, F.greatest(F.size(own), F.lit(1))), ""))
-        return F.when(n.isNotNull(), joined).otherwise(F.concat(end(whole), F.lit("\n"), part))
-
-    first = F.coalesce(F.get(pieces_, F.lit(0)), F.lit(""))
-    rest = F.slice(pieces_, 2, F.greatest(F.size(pieces_), F.lit(1)))
-    return strip(F.aggregate(rest, first, glue))
+    whole = ""
+    for k, part in enumerate(parts):
+        if not k:
+            whole = part
+            continue
+        words, whole = re.findall(r"\S+\s*", part), whole.rstrip()
+        for n in range(min(overlap + 5, len(words)), 3, -1):
+            if whole.endswith("".join(words[:n]).strip()):
+                whole += " " + "".join(words[n:])
+                break
+        else:
+            whole += "\n" + part
+    return whole.strip()
+
+
+@arrow_function("string")
+def rejoin(pieces_: pd.Series) -> pd.Series:
+    return pieces_.map(lambda parts: None if parts is None else rejoin_parts(list(parts)))
 
 
 def whole_page(table: DataFrame, volume: str, sheet: int) -> DataFrame:

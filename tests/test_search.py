@@ -131,3 +131,10 @@ def test_page_of_the_day(corpus, spark):
     names = spark.createDataFrame([("150", "Peleo", "peleo", "1", 1)], "canonico string, nombre string, normal string, refs string, cuantas int")
     day = R.passage_of_the_day(table, names, "2026-08-08").collect()
     assert len(day) == 1 and day[0].hoja == 11 and day == R.passage_of_the_day(table, names, "2026-08-08").collect()
+
+
+def test_stored_index_answers_alike(corpus, tmp_path):
+    index, rows = corpus
+    stored = index.store(str(tmp_path / "index"), 4)
+    for query in ("griegos los", '"a los griegos"', "lacede* griegos", "trirreme Aquiles"):
+        assert find((stored, rows), query) == find(corpus, query)
