@@ -122,9 +122,9 @@ def rotated(history: DataFrame, most: int = HISTORY_MAX, prune: int = HISTORY_PR
     gone = prune * -(-max(0, total - most) // prune)
     if not gone:
         return history
-    # The ids that go are a fixed number of smallest ones per rotation; the threshold is found without sorting the whole table.
-    last_gone = history.select("id").orderBy("id").limit(gone).agg(F.max("id")).collect()[0][0]
-    return history.where(F.col("id") > last_gone)
+    # At most `most` rows stay, so the threshold is the least of that many newest ids: a bounded top-k, never a sort of the table.
+    first_kept = history.select("id").orderBy(F.desc("id")).limit(total - gone).agg(F.min("id")).collect()[0][0]
+    return history.where(F.col("id") >= first_kept)
 
 
 def clear(table: DataFrame, state: str | None = None) -> DataFrame:

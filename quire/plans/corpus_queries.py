@@ -214,5 +214,5 @@ def stream_monitor(spark, sf):
 @query(f"SELECT clave, count(*) AS n FROM {POINTS} WHERE starts_with(clave, 'lote::') GROUP BY clave UNION ALL SELECT 'lote::sin puntos', 0")
 def lots_without_points(spark, sf):
     own = S.series_titles(points(spark, sf), lots=True)
-    lots = own.select("titulo").limit(5).unionByName(spark.createDataFrame([("Sin  puntos",)], "titulo string"))
+    lots = own.select("titulo").unionByName(spark.createDataFrame([("Sin  puntos",)], "titulo string"))
     return S.lots_without_points(own, lots).select("clave", "n")

@@ -160,11 +160,13 @@ def history_clear(spark, sf):
     return S.clear(history(spark, sf), "ignorado")
 
 
-@query(f"""SELECT id, mensaje_id, estado FROM (SELECT *, row_number() OVER (PARTITION BY mensaje_id, estado ORDER BY id) AS r FROM {HISTORY} WHERE id % 2 = 1) b
-WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM {HISTORY} h WHERE h.id % 2 = 0 AND h.id % 10 = 0 AND h.mensaje_id = b.mensaje_id AND h.estado = b.estado)""")
+@query(f"""WITH h AS (SELECT id, 'm' || CAST(id % 9973 AS VARCHAR) AS mensaje_id, estado FROM {HISTORY})
+SELECT id, mensaje_id, estado FROM (SELECT *, row_number() OVER (PARTITION BY mensaje_id, estado ORDER BY id) AS r FROM h WHERE id % 2 = 1) b
+WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.id % 2 = 0 AND h.mensaje_id = b.mensaje_id AND h.estado = b.estado)""")
 def dedup_keep_first(spark, sf):
-    rows = history(spark, sf)
-    return S.new_alerts(rows.where("id % 10 = 0"), rows.where("id % 2 = 1"), "id").select("id", "mensaje_id", "estado")
+    """Alerts with even ids are stored; those with odd ids arrive."""
+    rows = history(spark, sf).select("id", F.concat(F.lit("m"), (F.col("id") % 9973).cast("string")).alias("mensaje_id"), "estado")
+    return S.new_alerts(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "id")
 
 
 @query(f"""WITH p AS {POINTS}, st AS (SELECT * FROM p WHERE id % 4 <> 1), b0 AS (SELECT * FROM p WHERE id % 4 = 1),
@@ -278,10 +280,10 @@ def backfill_links(spark, sf):
     return S.backfill_links(links, rows).select("c_custkey", "numero")
 
 
-@query("SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey NULLS LAST, s_suppkey LIMIT 100")
+@query("SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey NULLS LAST, s_suppkey")
 def catalog_order(spark, sf):
     rows = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.col("s_nationkey").alias("orden"), F.col("s_suppkey").alias("fila"))
-    return rows.orderBy(*S.catalogue_order()).limit(100).select("s_suppkey", "s_nationkey")
+    return rows.orderBy(*S.catalogue_order()).select("s_suppkey", "s_nationkey")
 
 
 _FIELDS = {"p_name": 6.0, "p_brand": 4.0, "p_type": 3.0}
