@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.memory import lean
 from quire.llm.storage import cut
 from quire.llm.tokens import encoder, tokenizer_path, with_end
 
@@ -252,7 +253,7 @@ def _cut_pieces(tokenizer: str, end_id: int | None, capacity: int, with_ids: boo
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut_pieces(tokenizer, end_id, capacity, with_ids), PIECES + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(_cut_pieces(tokenizer, end_id, capacity, with_ids)), PIECES + ", ids array<int>" * with_ids)
 
 
 def _place(places: _Places):

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.blocks import byte_ranges, text_bytes
 from quire.llm.graph import components, local_roots
+from quire.llm.memory import lean
 from quire.llm.storage import cut, partitions
 
 SEED = 42
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
@@ -91,7 +92,7 @@ def _fingerprints(width: int):
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, print): the 64-bit fingerprint of each text as a signed long.  A text without words has 0, a null is an empty text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "doc_id long, print long")
+    return rows.mapInArrow(lean(_fingerprints(width)), "doc_id long, print long")
 
 
 # --- links between distinct fingerprints --------------------------------------------------------------------------
@@ -200,7 +201,7 @@ def link(prints: DataFrame, distance: int = 2, direct: int = 256, task_limit: in
     keys = F.array(*[F.struct(F.lit(i).alias("which"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
     rows = prints.select("print", F.inline(keys)).select("which", "key", "print")
     dealt = rows.repartition(partitions(prints.sparkSession), "which", "key").sortWithinPartitions("which", "key", "print")
-    found = cut(dealt.mapInArrow(_reach(masks, distance, direct, task_limit), "kind int, a long, b long"))
+    found = cut(dealt.mapInArrow(lean(_reach(masks, distance, direct, task_limit)), "kind int, a long, b long"))
     near = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1")
     if large.isEmpty():

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import _M1, Block, block_table, buckets_of, mix, words64
+from quire.llm.memory import lean, lean_table
 from quire.llm.storage import cut, partitions
 
 GRAM = 16
@@ -432,13 +433,13 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     spark = docs.sparkSession
     table = block_table(docs, id_col, text_col, "suffix")
     count = 4 * partitions(spark)
-    sent = table.mapInArrow(_send_digits(threshold, count), SENT)
+    sent = table.mapInArrow(lean(_send_digits(threshold, count)), SENT)
     first = cut(sent.groupBy("bucket").applyInArrow(_shared_digits, REPLY))
     by_block = table.groupBy("block")
-    runs = by_block.cogroup(first.groupBy("block")).applyInArrow(_send_runs(threshold, count), SENT)
-    second = runs.groupBy("bucket").applyInArrow(_order_runs(threshold), REPLY)
+    runs = by_block.cogroup(first.groupBy("block")).applyInArrow(lean_table(_send_runs(threshold, count)), SENT)
+    second = runs.groupBy("bucket").applyInArrow(lean_table(_order_runs(threshold)), REPLY)
     replies = first.unionByName(second)
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_remove(threshold, count, whole_chars), RESULT)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(lean_table(_remove(threshold, count, whole_chars)), RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:
