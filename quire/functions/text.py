@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -35,6 +36,11 @@ def _table(greek: bool) -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: an expression that stands inside a lambda is worked out again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; white space stays as it is."""
     source, target = _table(True)
@@ -188,7 +194,7 @@ SOFT_LINK_WORDS = [
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return let(text, lambda t: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))
 
 
 def clean_url(url: Column) -> Column:

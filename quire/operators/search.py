@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrow import arrow_function
-from quire.functions.text import NOT_SPACE, SPACE, compose, fold, fold_squeezed, fold_words, greek_search_copy, search_tokens, strip
+from quire.functions.text import NOT_SPACE, SPACE, compose, fold, fold_squeezed, fold_words, greek_search_copy, let, search_tokens, strip
 
 WINDOW, OVERLAP = 180, 40
 
@@ -48,12 +48,15 @@ def _lookup(key: Column, table: dict, default) -> Column:
 
 def chunks(text: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
     """Passages of `window` words, each sharing `overlap` with the next; separators inside stay as they are."""
-    clean = strip(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(clean, F.lit(f"({NOT_SPACE}+{SPACE}*)"), F.lit(1))
-    n, step = F.size(words), max(1, window - overlap)
-    last = F.greatest(F.lit(0), F.ceil((n - window) / F.lit(float(step)))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(words, i * step + 1, window), "")))
-    return F.when(clean == "", F.array().cast("array<string>")).when(n <= window, F.array(clean)).otherwise(cut)
+    step = max(1, window - overlap)
+
+    def cut(clean: Column, words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - window) / F.lit(float(step)))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(words, i * step + 1, window), "")))
+        return F.when(clean == "", F.array().cast("array<string>")).when(F.size(words) <= window, F.array(clean)).otherwise(parts)
+
+    split = lambda t: F.regexp_extract_all(t, F.lit(f"({NOT_SPACE}+{SPACE}*)"), F.lit(1))
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: let(split(t), lambda w: cut(t, w)))
 
 
 def section_class(section: Column, preliminary: Column | None = None) -> Column:
@@ -464,7 +467,7 @@ def day_candidates(table: DataFrame, start: int, look: int = 200) -> DataFrame:
     rows = table.where((F.col("id") >= start) & (F.col("clase") == WORK) & (F.col("seccion") == "texto") & F.col("palabras").between(110, 190) & (F.col("nombres") > 0)).orderBy("id").limit(look)
     early = (F.coalesce("hojas", F.lit(0)) > 0) & (F.coalesce("hoja", F.lit(0)) < F.col("hojas") * SKIPPED_SHARE)
     label = fold_squeezed(F.concat_ws(" ", F.coalesce("titulo", F.lit("")), F.coalesce("obra", F.lit(""))))
-    routine = F.exists(F.array(*map(F.lit, ROUTINE)), lambda r: F.contains(label, r))
+    routine = let(label, lambda x: F.exists(F.array(*map(F.lit, ROUTINE)), lambda r: F.contains(x, r)))
     return rows.where(~early & ~routine)
 
 
@@ -527,6 +530,6 @@ def preliminaries(pages: DataFrame, volume: str = "canonico", order: str = "pdf"
     number = F.when(title.rlike(_NUMBERED), F.regexp_extract(title, _NUMBERED, 1))
     scheme = F.size(F.collect_set(number).over(Window.partitionBy(*by))) >= SCHEME_LEAST
     plain = F.regexp_replace(fold_squeezed(title), r"^[0-9]+(\s*\.\s*[0-9]+)*\s*\.?\s*", "")
-    editorial = F.exists(F.array(*map(F.lit, EDITORIAL)), lambda r: F.startswith(plain, r))
+    editorial = let(plain, lambda x: F.exists(F.array(*map(F.lit, EDITORIAL)), lambda r: F.startswith(x, r)))
     judged = placed.withColumn("__scheme", scheme & number.isNotNull()).withColumn("__editorial", editorial)
     return judged.where(~F.col("__mark") & (F.col("__editorial") | F.col("__scheme"))).select(volume, order)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_url, fold, fold_squeezed, series_key, strip
+from quire.functions.text import clean_url, fold, fold_squeezed, let, series_key, strip
 
 LOT_PREFIX = "lote::"
 HISTORY_MAX, HISTORY_PRUNE = 1_000, 500
@@ -245,7 +245,7 @@ def thresholds_for(titles: DataFrame, thresholds: DataFrame, title_col: str = "t
     # A bounded list of patterns is one array next to every title: no nested loop join.
     best = patterns.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.length("__pattern")).alias("n"), F.col("__pattern").alias("p"), "porcentaje"))).alias("__all"))
     joined = titles.join(F.broadcast(best))
-    hit = F.get(F.filter("__all", lambda x: F.contains(fold(F.col(title_col)), x["p"])), F.lit(0))
+    hit = let(fold(F.col(title_col)), lambda t: F.get(F.filter("__all", lambda x: F.contains(t, x["p"])), F.lit(0)))
     return joined.select(*titles.columns, hit["porcentaje"].alias("porcentaje"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import series as S
 
+TEXTS = ("documents", "pages", "part")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -27,7 +28,13 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table in TEXTS:
+        # A small table in one file is one split; its texts are dealt to all cores.  Large tables have splits enough.
+        cores = spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:
+            return rows.repartition(cores)
+    return rows
 
 
 # --- roles ------------------------------------------------------------------------------------------------------------
