@@ -413,15 +413,16 @@ def citation(row: dict[str, Column] | None = None) -> Column:
 
 
 def rejoin_parts(parts: list[str], overlap: int = OVERLAP) -> str:
-    """Passages of a page, in order, as one text: what two neighbours share is there once.  The longest shared run of up to overlap + 5 and
-    over 3 words counts; without one they follow on a line of their own."""
+    """Passages of a page, in order, as one text: what two neighbours share is there once.  A shared run of exactly the overlap counts first (in
+    text that repeats itself a longer one would take words away), else the longest of up to overlap + 5 and over 3 words; without one they
+    follow on a line of their own."""
     whole = ""
     for k, part in enumerate(parts):
         if not k:
             whole = part
             continue
         words, whole = re.findall(r"\S+\s*", part), whole.rstrip()
-        for n in range(min(overlap + 5, len(words)), 3, -1):
+        for n in [overlap] * (3 < overlap <= len(words)) + list(range(min(overlap + 5, len(words)), 3, -1)):
             if whole.endswith("".join(words[:n]).strip()):
                 whole += " " + "".join(words[n:])
                 break
@@ -435,15 +436,19 @@ def rejoin(pieces_: pd.Series) -> pd.Series:
     return pieces_.map(lambda parts: None if parts is None else rejoin_parts(list(parts)))
 
 
-def whole_page(table: DataFrame, volume: str, sheet: int) -> DataFrame:
-    """One row with a page's body and notes put together again."""
-    rows = table.where((F.col("canonico") == volume) & (F.col("hoja") == sheet))
+def whole_pages(table: DataFrame) -> DataFrame:
+    """One row a page with its body and notes put together again."""
     order = F.sort_array(F.collect_list(F.struct(F.when(F.col("clase") == NOTES, 1).otherwise(0).alias("n"), F.col("clase").alias("c"), "orden", "texto")))
-    grouped = rows.groupBy("canonico", "hoja").agg(order.alias("rows"))
+    grouped = table.groupBy("canonico", "hoja").agg(order.alias("rows"))
     part = lambda n: rejoin(F.transform(F.filter("rows", lambda r: r["n"] == n), lambda r: r["texto"]))
     return grouped.select("canonico", "hoja", part(0).alias("cuerpo"), part(1).alias("notas"))
 
 
+def whole_page(table: DataFrame, volume: str, sheet: int) -> DataFrame:
+    """One row with a page's body and notes put together again."""
+    return whole_pages(table.where((F.col("canonico") == volume) & (F.col("hoja") == sheet)))
+
+
 # --- passage of the day -----------------------------------------------------------------------------------------------
 
 # Headings of the editor's apparatus, and how much of a volume's start is skipped.

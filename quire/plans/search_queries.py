@@ -148,9 +148,9 @@ def class_weights(spark, sf):
 
 @query()
 def page_recompose(spark, sf):
-    rows = table(spark, sf).where("seccion <> 'notas_finales'")
-    whole = rows.groupBy("hoja").agg(F.sort_array(F.collect_list(F.struct("orden", "texto"))).alias("r")).select("hoja", R.rejoin(F.transform("r", lambda x: x["texto"])).alias("t"))
-    return whole.select("hoja", F.trim(F.regexp_replace("t", f"{SPACE}+", " ")).alias("cuerpo"))
+    """Every sheet with a passage, as body and notes."""
+    flat = lambda c: F.trim(F.regexp_replace(c, f"{SPACE}+", " ")).alias(c)
+    return R.whole_pages(table(spark, sf)).select("hoja", "canonico", flat("cuerpo"), flat("notas"))
 
 
 def _names(spark, sf) -> DataFrame:

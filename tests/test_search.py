@@ -1,5 +1,6 @@
 import math
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,20 @@ def test_stored_index_answers_alike(corpus, tmp_path):
     stored = index.store(str(tmp_path / "index"), 4)
     for query in ("griegos los", '"a los griegos"', "lacede* griegos", "trirreme Aquiles"):
         assert find((stored, rows), query) == find(corpus, query)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="the driver's tables aren't here")
+def test_every_sheet_is_recomposed_with_its_words(spark):
+    from quire.plans.search_queries import QUERIES
+
+    texts = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id is not null").collect()}
+    got = {r.hoja: (r.cuerpo.split(), r.notas.split()) for r in QUERIES["page_recompose"](spark, SMALL).collect()}
+    assert got == {d: ([], w) if d % 8 == 3 else (w, []) for d, w in texts.items() if w}
+
+
+def test_text_that_repeats_itself_keeps_its_words():
+    words = ["a"] * 320
+    assert R.rejoin_parts([" ".join(words[:180]), " ".join(words[140:])]).split() == words
