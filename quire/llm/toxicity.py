@@ -54,6 +54,7 @@ PRIOR_BIAS = -2.5
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]+|[\"“”«»„]")
 _END = re.compile(r"[.!?;\n]")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 # --- transducers ------------------------------------------------------------------------------------------------------
@@ -149,8 +150,7 @@ class Grammar:
         self.stem_sizes = sorted({len(s) for s in self.stems})
         self.triggers: set[bytes] = set()
         for word in INSULTS | THREATS | self.words | self.stems:
-            for spelled in product(*[(c,) if c.isascii() else {c, c.upper()} for c in word[:4]]):
-                self.triggers.add("".join(spelled).encode()[:4])
+            self.triggers.add(word.encode()[:4])
 
     def symbol(self, word: str) -> int:
         kind = self.kind.get(word)
@@ -159,6 +159,13 @@ class Grammar:
         return kind
 
     def may_match(self, raw: bytes) -> bool:
+        """Whether a token of the text starts with the first four bytes of a word or stem; its tokens are those of matches()."""
+        if not raw.isascii():
+            text = raw.decode(errors="replace").lower()
+            for c in set(text):
+                if not c.isascii() and not _LETTER.match(c):
+                    text = text.replace(c, " ")
+            raw = text.encode()
         return not self.triggers.isdisjoint([w[:4] for w in raw.translate(_FLAT).split()])
 
     def matches(self, text: str) -> dict[int, int]:

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from quire.llm.toxicity import INSULT, NEGATED, REPORTED, TARGETED, THREAT, Grammar, drop_toxic, fit, score_toxicity
+from quire.llm.toxicity import INSULT, INSULTS, NEGATED, REPORTED, TARGETED, THREAT, THREATS, Grammar, drop_toxic, fit, score_toxicity
 
 from .common import SCHEMA, documents, texts
 
@@ -63,3 +63,20 @@ def test_trigger_sees_what_the_grammar_sees():
     g = Grammar(stems={"çoré", "éclat"}, words={"straßig"})
     for text in ("ÇORÉxx", "ÉCLATANT", "(Éclat)", "Straßig!", "x-IDIOT", "an\tidiot\n"):
         assert g.matches(text) and g.may_match(text.encode()), text
+
+
+def test_trigger_after_any_neighbour():
+    g = Grammar(stems={"çoré", "éclat"}, words={"straßig"})
+    for text in ("¡Idiota!", "“Idiot”, you are scum", "Espèce d’ordure", "l’imbécile", "«Abschaum»", "you—idiot", "you\u00a0idiot", "İIDIOT", "you \u212aill", "STRA\u1e9eIG"):
+        assert g.matches(text) and g.may_match(text.encode()), text
+    rng, found = random.Random(3), 0
+    words = sorted(INSULTS | THREATS | g.words | {"éclatant", "çoréa", "zebra", "ñu"})
+    ranges = [(0x20, 0x7F), (0x80, 0x250), (0x300, 0x600), (0x1E00, 0x2000), (0x2000, 0x2200), (0x3000, 0x3100), (0xFF00, 0xFFF0), (0x1F300, 0x1F600)]
+    for _ in range(30_000):
+        a, b = (chr(rng.randrange(*rng.choice(ranges))) for _ in range(2))
+        word = rng.choice(words)
+        text = rng.choice(["", "x ", "é"]) + a + rng.choice([word, word.upper(), word.title()]) + b
+        if g.matches(text):
+            found += 1
+            assert g.may_match(text.encode()), text
+    assert found > 2_000
