@@ -37,8 +37,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def fingerprints_of(body: np.ndarray, at: np.ndarray, width: int = 3) -> np.ndarray:
-    """The fingerprint of each text: a bit is 1 if it is set in over half the shingles' hashes."""
+def _slices(body: np.ndarray, at: np.ndarray, width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All words with one space after each, and for each shingle where it starts and ends there and the text that it is of."""
     docs = len(at) - 1
     low = _LOWER[body]
     word = ~_SPACE[low]
@@ -48,9 +48,9 @@ def fingerprints_of(body: np.ndarray, at: np.ndarray, width: int = 3) -> np.ndar
     begin, stop = at[:-1][at[:-1] < len(body)], at[1:][at[1:] > 0] - 1
     first[begin], last[stop] = word[begin], word[stop]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.zeros(docs, np.uint64)
     if not len(start):
-        return out
+        none = np.zeros(0, np.int64)
+        return b"", none, none, none
     # Words with one space after each: a shingle is a slice.
     gap = ~word
     gap[1:] &= word[:-1]
@@ -65,7 +65,23 @@ def fingerprints_of(body: np.ndarray, at: np.ndarray, width: int = 3) -> np.ndar
     owner = np.repeat(np.arange(docs), shingles)
     lead = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + base[owner]
     tail = lead + np.minimum(count[owner], width) - 1
-    a, b = place[start[lead]] - 1, place[end[tail] - 1]
+    return flat, place[start[lead]] - 1, place[end[tail] - 1], owner
+
+
+def shingles_of(body: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle and the text that it is of, in order."""
+    flat, a, b, owner = _slices(body, at, width)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(flat[x:y], SEED) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(owner)), owner
+
+
+def fingerprints_of(body: np.ndarray, at: np.ndarray, width: int = 3) -> np.ndarray:
+    """The fingerprint of each text: a bit is 1 if it is set in over half the shingles' hashes."""
+    docs = len(at) - 1
+    flat, a, b, owner = _slices(body, at, width)
+    if not len(owner):
+        return np.zeros(docs, np.uint64)
+    shingles = np.bincount(owner, minlength=docs)
     digest = xxhash.xxh64_intdigest
     total = np.zeros((docs, 64), np.int64)
     for lo in range(0, len(owner), 1 << 18):
