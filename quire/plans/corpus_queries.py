@@ -50,7 +50,7 @@ def fuzzy_resolve(spark, sf):
 
 @query()
 def resolve_many(spark, sf):
-    lots = read(spark, sf, "part").groupBy((F.col("p_partkey") % 50).alias("lote")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand"), F.lit(" - "), F.col("p_name")))), "\n").alias("texto"))
+    lots = read(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("lote")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand"), F.lit(" - "), F.col("p_name")))), "\n").alias("texto"))
     return R.resolve_many(lots, catalogue(spark, sf), "lote", "texto")
 
 
