@@ -6,13 +6,17 @@ target in front and, read from the right, one for a target behind.  They are com
 writes for a clause are marked matches, so that "you are an idiot", "he is not an idiot" and "she said he was an idiot" are three
 different symbols with weights of their own.  A document's score is a logistic function of its matches.
 
-The words of the grammar are the fixed lists below and what is learned: words and stems that labelled documents
-of label 1 share, in different surroundings, and those of label 0 do not.  Stems and weights are fitted on at most `fit_rows`
-labelled rows (a hash sample; 20,000 by default), so nothing that is collected or broadcast grows with the corpus.
-Where no labels can be used, the fixed lists and prior weights score alone.
-
-Scores depend on nothing but the text.  A null text is an empty one and scores like any text without a match.
-Labels of rows that share a doc_id count by their mean; rows without doc_id have no label and are not held out.
+The words of the grammar are the fixed lists below and what is learned: words of any length, and stems of four to seven
+letters, that labelled documents of label 1 share, in different surroundings, and those of label 0 do not.  A learned term that
+mostly stands right before a target ("zork you") is a threat, any other an insult.  Terms and weights are fitted on at most
+`fit_rows` labelled rows (a hash sample; 20,000 by default), so nothing that is collected or broadcast grows with the corpus.
+Terms are counted and chosen by joins; only those that tell label 1 are collected.  Where no labels can be used, the
+fixed lists and prior weights score alone.
+
+Scores depend on nothing but the text.  A null text is an empty one and scores like any text without a match; a very long one is
+read whole.  Labels of rows that share a doc_id count by their mean, and so do those of rows that share a text;
+rows without doc_id have no label and are not held out.  Repeated rows are scored each.  Extra columns, whatever their
+names, are neither read nor lost: drop_toxic returns them.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
 
-# Word lists of the grammar; those of insults and threats are of four letters or more.
+# Word lists of the grammar.
 INSULTS = {
     "idiot", "idiots", "moron", "morons", "imbecile", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless",
     "disgusting", "clown", "vermin", "filth", "dumbass", "bastard", "bitch", "asshole", "retard", "freak", "parasite",
@@ -141,12 +145,15 @@ def clause_matches(symbols: list[int]) -> list[int]:
 
 
 class Grammar:
-    """Word lists with learned words (matched whole) and stems (matched from a word's start), and the weights of matches."""
+    """Word lists with learned words (matched whole) and stems (matched from a word's start), and the weights of matches.
+
+    `threats` are those of the learned words and stems that are threats."""
 
-    def __init__(self, words: Iterable[str] = (), stems: Iterable[str] = (), weights: dict[int, float] | None = None, bias: float = PRIOR_BIAS) -> None:
-        self.words, self.stems = set(words), set(stems)
+    def __init__(self, words: Iterable[str] = (), stems: Iterable[str] = (), weights: dict[int, float] | None = None, bias: float = PRIOR_BIAS, threats: Iterable[str] = ()) -> None:
+        self.words, self.stems, self.threats = set(words), set(stems), set(threats)
         self.weights, self.bias = weights or dict(PRIOR), bias
-        self.kind = {w: k for k, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (QUOTE, QUOTES), (THREAT, THREATS), (INSULT, INSULTS), (INSULT, self.words)) for w in ws}
+        learned = {w: THREAT if w in self.threats else INSULT for w in self.words}
+        self.kind = {w: k for k, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (QUOTE, QUOTES), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws} | learned
         self.stem_sizes = sorted({len(s) for s in self.stems})
         self.triggers: set[bytes] = set()
         for word in INSULTS | THREATS | self.words | self.stems:
@@ -155,11 +162,14 @@ class Grammar:
     def symbol(self, word: str) -> int:
         kind = self.kind.get(word)
         if kind is None:
-            kind = INSULT if any(word[:n] in self.stems for n in self.stem_sizes) else OTHER
+            stem = next((word[:n] for n in self.stem_sizes if word[:n] in self.stems), None)
+            kind = OTHER if stem is None else THREAT if stem in self.threats else INSULT
         return kind
 
     def may_match(self, raw: bytes) -> bool:
-        """Whether a token of the text starts with the first four bytes of a word or stem; its tokens are those of matches()."""
+        """Whether a token of the text starts with the first four bytes of a word or stem (with all bytes of a shorter one, and ends there).
+
+        Its tokens are those of matches(), so it never rejects a text that matches; it only spares most texts the grammar."""
         if not raw.isascii():
             text = raw.decode(errors="replace").lower()
             for c in set(text):
@@ -197,7 +207,7 @@ def held_out(doc_id: int | None) -> bool:
 # --- fitting ----------------------------------------------------------------------------------------------------------
 
 _SIZES = (4, 5, 6, 7)
-_WORD_TEXT = re.compile(r"[^\W\d_]{4,}")
+_WORD_TEXT = re.compile(r"[^\W\d_]+")
 
 
 def _terms(word: str) -> list[str]:
@@ -206,33 +216,32 @@ def _terms(word: str) -> list[str]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document of label 1, its terms with the word before the first occurrence."""
+    """For each document of label 1, its terms with the word before the first occurrence and whether a target is next."""
     for batch in batches:
-        terms, before = [], []
+        terms, before, aimed = [], [], []
         for text in batch.column(0).to_pylist():
-            seen: dict[str, int] = {}
+            seen: dict[str, tuple[int, bool]] = {}
             last = ""
-            for word in _WORD_TEXT.findall((text or "").lower()):
+            words = _WORD_TEXT.findall((text or "").lower())
+            for word, after in zip(words, [*words[1:], ""], strict=True):
                 for term in _terms(word):
                     if term not in seen:
-                        seen[term] = zlib.crc32(last.encode())
+                        seen[term] = zlib.crc32(last.encode()), after in TARGETS
                 last = word
             terms += seen.keys()
-            before += seen.values()
-        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "before": pa.array(before, pa.int64())})
-
+            before += [b for b, _ in seen.values()]
+            aimed += [int(t) for _, t in seen.values()]
+        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "before": pa.array(before, pa.int64()), "aimed": pa.array(aimed, pa.int32())})
 
-def _occurrences(wanted):
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = wanted.value
-        for batch in batches:
-            count: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for term in {t for w in set(_WORD_TEXT.findall((text or "").lower())) for t in _terms(w)} & terms:
-                    count[term] = count.get(term, 0) + 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
-    return run_
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of a batch each term occurs."""
+    for batch in batches:
+        count: dict[str, int] = {}
+        for text in batch.column(0).to_pylist():
+            for term in {t for w in set(_WORD_TEXT.findall((text or "").lower())) for t in _terms(w)}:
+                count[term] = count.get(term, 0) + 1
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
 
 def _lower_bound(k: int, n: int) -> float:
@@ -241,6 +250,12 @@ def _lower_bound(k: int, n: int) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _lower_bound_column(k, n):
+    """_lower_bound over columns."""
+    z, p = 1.96, k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], share: float = 0.6) -> tuple[set[str], set[str]]:
     """The words and stems that tell label 1, the shortest that do; a stem that is nearly always one word is that word."""
     words, stems = set(), set()
@@ -291,24 +306,33 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> tuple[di
     return dict(zip(MATCHES, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_terms: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 17) -> Grammar:
-    """Learn words, stems and weights from at most about fit_rows labelled rows, none of them held out."""
+def _rated(sample: DataFrame, share: float) -> DataFrame:
+    """The terms that tell label 1 in a sample of (text, toxic): term, n and clean (documents of either label) and aimed (of those n,
+    before a target).  A term counts from five documents of label 1 on, in at least four surroundings."""
+    toxic = sample.where("toxic = 1").select("text").mapInArrow(_surroundings, "term string, before long, aimed int").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("before").alias("around"), F.sum("aimed").alias("aimed"))
+    toxic = toxic.where("n >= 5 and around >= 4 and around >= least(0.3 * n, 12)")
+    clean = sample.where("toxic = 0").select("text").mapInArrow(_occurrences, "term string, n long").groupBy("term").agg(F.sum("n").alias("clean"))
+    both = toxic.join(clean, "term", "left").select("term", "n", "aimed", F.coalesce("clean", F.lit(0)).alias("clean"))
+    return both.where(_lower_bound_column(F.col("n"), F.col("n") + F.col("clean")) >= share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 17) -> Grammar:
+    """Learn words, stems and weights from at most about fit_rows labelled rows, none of them held out.
+
+    A term is learned if at least `share` of its documents have label 1, with 95 % confidence; there is no limit on their number."""
     spark = docs.sparkSession
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("toxic")).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
     total = usable.count()
     if total > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
-    # At most about fit_rows ids of eight bytes: broadcast, so no text is shuffled.
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(usable), "id").select("text", "toxic").dropDuplicates(["text"])
-    sample = sample.persist()
+    # At most about fit_rows ids of eight bytes: broadcast, so no text outside the sample is shuffled.
+    labelled = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(usable), "id")
+    sample = labelled.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).persist()
     try:
-        toxic_terms = sample.where("toxic = 1").select("text").mapInArrow(_surroundings, "term string, before long").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("before").alias("around"))
-        rows = toxic_terms.where("n >= 5 and around >= 4 and around >= least(0.3 * n, 12)").collect()  # terms of at most fit_rows texts
-        toxic = {r["term"]: r["n"] for r in rows}
-        clean = {r["term"]: r["n"] for r in sample.where("toxic = 0").select("text").mapInArrow(_occurrences(spark.sparkContext.broadcast(set(toxic))), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if toxic else {}
-        best = sorted(toxic, key=lambda t: (-_lower_bound(toxic[t], toxic[t] + clean.get(t, 0)), t))[: 20 * max_terms]
-        words, stems = choose_terms({t: toxic[t] for t in best}, clean)
-        grammar = Grammar(words, stems)
+        rows = _rated(sample, share).collect()  # the terms of at most fit_rows texts that tell label 1
+        words, stems = choose_terms({r["term"]: r["n"] for r in rows}, {r["term"]: r["clean"] for r in rows}, share)
+        threats = {r["term"].rstrip("$") for r in rows if 2 * r["aimed"] > r["n"] and (r["term"].rstrip("$") in words if r["term"].endswith("$") else r["term"] in stems)}
+        grammar = Grammar(words, stems, threats=threats)
         seen = sample.mapInArrow(_features(spark.sparkContext.broadcast(grammar)), "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
     finally:
         sample.unpersist()
@@ -317,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_terms:
         return grammar
     x = np.repeat(np.array([r["x"] for r in seen], float), [r["count"] for r in seen], axis=0)
     weights, bias = fit_weights(x, y)
-    return Grammar(words, stems, weights, bias)
+    return Grammar(words, stems, weights, bias, threats)
 
 
 def _score(grammar):
