@@ -1,23 +1,26 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
-A shard is a few megabytes of documents.  Its suffix array orders the shard's word suffixes by their leading digit, the
-digest of the first `window` words; suffixes whose digit no benchmark suffix can have are left out before the sort.
-Every benchmark suffix is looked up in it by binary search, all at once, and each place found is compared word by
-word.  Neighbouring places on one diagonal are joined to the longest verbatim matches, with their locations in item and document.
+A shard is a few megabytes of documents.  Its suffix array holds every word suffix of the shard, ordered by its first `window` words:
+words become ranks, and passes of several words each, most significant first, sort what the passes before left equal.
+A suffix ends with its document.  The benchmark's suffixes are windows of `window` words (all words of a shorter item); equal
+ones are one class.  All classes are searched in the array at once, by bisection, word after word; the interval that is
+left holds every place of the window, and each place is compared byte by byte.  From a place that can't be extended to the
+left, words are compared forward to the longest verbatim match, with its locations in item and document.
 
-The benchmark is the small side.  Up to `broadcast_bytes` of text (checked) it is one index that every task gets; beyond that
-it is cut into blocks of that size, the documents are searched once for each block, and the findings are merged by
-document.  Documents are never shuffled in the first case.
+The benchmark is the small side.  It is sent as flat arrays: its lower-cased text and at most 28 bytes a word.  A word and
+the space behind it are two bytes or more, so they are at most 15 times the text; blocks of items are made so that this bound is
+within `broadcast_bytes`.  Documents are never shuffled: with several blocks each row goes through one search after the other.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z in lower case.  A null or empty text has none.  An item
 of fewer words than the window is one window of all its words; an item without words, or without an item_id, is never
-found.  Rows of one item_id are one item.  Repeated rows and rows without doc_id are judged like any other.
+found.  Rows of one item_id are one item.  Repeated rows and rows without doc_id are judged like any other.  A text of any
+length is one piece; a shard grows to hold it.  Other columns are not read; drop_contaminated returns them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import byte_ranges, mix, text_bytes
+from quire.llm.memory import lean
 
 SHARD_BYTES = 4 << 20
-BROADCAST_BYTES = 16 << 20
+#: Of the benchmark's arrays that one search sends; ARRAY_BYTES bounds them by the text.
+BROADCAST_BYTES = 64 << 20
+ARRAY_BYTES = 15
+PAIRS = 1 << 20
 RESULT = "doc_id long, n_words long, hit array<struct<first: long, last: long>>, items array<long>, matches array<struct<item_id: long, item_word: long, doc_word: long, n_words: long>>"
 
 _POWERS = mix(np.arange(1, 1025, dtype=np.uint64))
@@ -70,84 +77,196 @@ class Words:
         digest = np.add.reduceat(letters * _POWERS[inside & 1023], total[:-1])
         return Words(low, start, end, np.searchsorted(at, start, side="right") - 1, mix(digest + (end - start).astype(np.uint64)))
 
-    def leading(self, window: int) -> np.ndarray:
-        """The leading digit of each suffix that has `window` words (of this or the next text)."""
-        n = max(0, len(self.start) - window + 1)
-        out = np.zeros(n, np.uint64)
-        for j in range(window if n else 0):
-            out += self.digest[j : j + n] * _POWERS[j]
-        return mix(out)
-
     def text(self, raw: bytes, first: int, count: int) -> bytes:
         return b" ".join([raw[a:b] for a, b in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist(), strict=True)])
 
 
+class SuffixArray:
+    """The word suffixes of some texts, ordered by their first `depth` words."""
+
+    def __init__(self, words: Words, edges: np.ndarray, depth: int) -> None:
+        """edges: where each text's words start, one more than texts."""
+        self.vocabulary, ranks = np.unique(words.digest, return_inverse=True)
+        self.ranks = ranks.astype(np.int64) + 1
+        self.ends = edges[1:][words.doc]
+        self.bits = max(1, len(self.vocabulary).bit_length())
+        self.per = min(depth, max(1, 63 // self.bits))  # words in a digit
+        digits = self.digit(np.arange(len(self.ranks)), 0, self.per)
+        self.order = np.argsort(digits)
+        self.leading = digits[self.order]
+        head = np.ones(len(digits), bool)
+        head[1:] = self.leading[1:] != self.leading[:-1]
+        done = self.per
+        while done < depth:
+            equal = np.flatnonzero(~(head & np.append(head[1:], True)))
+            if not len(equal):
+                break
+            count = min(self.per, depth - done)
+            own = self.order[equal]
+            digits = self.digit(own, done, count)
+            by = np.lexsort((digits, np.cumsum(head)[equal]))
+            self.order[equal], digits = own[by], digits[by]
+            new = head[equal]
+            new[1:] |= digits[1:] != digits[:-1]
+            head[equal] = new
+            done += count
+
+    def rank(self, suffixes: np.ndarray, depth: int) -> np.ndarray:
+        """The rank of each suffix's word at `depth`; 0 behind its end."""
+        at = suffixes + depth
+        return np.where(at < self.ends[suffixes], self.ranks[np.minimum(at, len(self.ranks) - 1)], 0)
+
+    def digit(self, suffixes: np.ndarray, first: int, count: int) -> np.ndarray:
+        out = np.zeros(len(suffixes), np.int64)
+        for depth in range(first, first + count):
+            out = out << self.bits | self.rank(suffixes, depth)
+        return out
+
+    def bisect(self, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray, after: bool) -> np.ndarray:
+        """In each interval lo to hi, where the word at `depth` reaches (or passes) the wanted rank."""
+        lo, hi = lo.copy(), hi.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            middle = (lo[open_] + hi[open_]) // 2
+            here = self.rank(self.order[middle], depth)
+            right = here <= want[open_] if after else here < want[open_]
+            lo[open_[right]] = middle[right] + 1
+            hi[open_[~right]] = middle[~right]
+        return lo
+
+    def intervals(self, ranks: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stretch of the array that starts with ranks[first : first + size], for each."""
+        lo, hi = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for count in range(1, self.per + 1):
+            own = np.flatnonzero(size == count if count < self.per else size >= count)
+            digit = np.zeros(len(own), np.int64)
+            for depth in range(count):
+                digit = digit << self.bits | ranks[first[own] + depth]
+            shift = self.bits * (self.per - count)
+            lo[own] = np.searchsorted(self.leading, digit << shift, "left")
+            hi[own] = np.searchsorted(self.leading, digit + 1 << shift, "left")
+        for depth in range(self.per, int(size.max(initial=0))):
+            own = np.flatnonzero((lo < hi) & (size > depth))
+            want = ranks[first[own] + depth]
+            a, b = lo[own], hi[own]
+            lo[own], hi[own] = self.bisect(a, b, depth, want, False), self.bisect(a, b, depth, want, True)
+        return lo, hi
+
+
+def _stretches(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every value of every range lo to hi, and which range it is of."""
+    count = hi - lo
+    which = np.repeat(np.arange(len(lo)), count)
+    return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which], which
+
+
 @dataclass
-class Index:
-    """The benchmark's suffixes: for each window length, the sorted digits, and for each digit its windows' texts and places."""
+class Hits:
+    """What a search found: windows (word of the shard, its length, class), and matches that can't be extended (word of the shard,
+    item, word of the item, words)."""
 
-    digits: dict[int, np.ndarray] = field(default_factory=dict)
-    places: dict[int, list[dict[bytes, list[tuple[int, int]]]]] = field(default_factory=dict)
+    at: np.ndarray
+    size: np.ndarray
+    kind: np.ndarray
+    matches: np.ndarray
 
-    @staticmethod
-    def of(ids: list[int], texts: list[str | None], window: int) -> Index:
+
+class Index:
+    """The benchmark's suffixes in flat arrays."""
+
+    def __init__(self, ids: list[int], texts: list[str | None], window: int) -> None:
         body, at = text_bytes(pa.array(texts, pa.string()))
         words = Words.of(body, at)
-        raw = words.low.tobytes()
-        found: dict[int, dict[int, dict[bytes, list[tuple[int, int]]]]] = {}
         edges = np.searchsorted(words.doc, np.arange(len(ids) + 1))
-        leading: dict[int, np.ndarray] = {}
-        for k, item in enumerate(ids):
-            a, b = int(edges[k]), int(edges[k + 1])
-            size = min(window, b - a)
-            if not size:
-                continue
-            if size not in leading:
-                leading[size] = words.leading(size)
-            for i in range(a, b - size + 1):
-                by_text = found.setdefault(size, {}).setdefault(int(leading[size][i]), {})
-                by_text.setdefault(words.text(raw, i, size), []).append((item, i - a))
-        out = Index()
-        for size, by_digit in found.items():
-            order = sorted(by_digit)
-            out.digits[size] = np.array(order, np.uint64)
-            out.places[size] = [by_digit[d] for d in order]
-        return out
-
-    def search(self, words: Words) -> list[tuple[int, int, list[tuple[int, int]]]]:
-        """(word, window length, places) of every benchmark suffix found in the shard."""
-        out = []
-        raw = b""
-        for size, digits in self.digits.items():
-            leading = words.leading(size)
-            if not len(leading):
-                continue
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(digits & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            suffix = np.flatnonzero(maybe[(leading & np.uint64((1 << 20) - 1)).astype(np.int64)] & (words.doc[: len(leading)] == words.doc[size - 1 :]))
-            if not len(suffix):
-                continue
-            array = suffix[np.argsort(leading[suffix], kind="stable")]  # the shard's suffix array
-            ordered = leading[array]
-            low, high = np.searchsorted(ordered, digits, "left"), np.searchsorted(ordered, digits, "right")
-            raw = raw or words.low.tobytes()
-            for k in np.flatnonzero(high > low).tolist():
-                by_text = self.places[size][k]
-                for i in array[low[k] : high[k]].tolist():
-                    if places := by_text.get(words.text(raw, i, size)):
-                        out.append((i, size, places))
-        return out
-
-
-def _join(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Matches (item, word of item, word of document, words) joined along their diagonals to the longest ones."""
-    out: list[list[int]] = []
-    for item, _, i, d, n in sorted((item, d - i, i, d, n) for item, i, d, n in hits):
-        if out and out[-1][0] == item and out[-1][2] - out[-1][1] == d - i and i <= out[-1][1] + out[-1][3]:
-            out[-1][3] = max(out[-1][3], i + n - out[-1][1])
+        self.window, self.ids, self.edges = window, np.array(ids, np.int64), edges
+        self.raw = words.low.tobytes()
+        self.start, self.end = words.start.astype(np.int32), words.end.astype(np.int32)
+        self.item = words.doc.astype(np.int32)
+        self.vocabulary, word = np.unique(words.digest, return_inverse=True)
+        self.word = word.astype(np.int32)
+        length = np.diff(edges)
+        size = np.minimum(window, length)[words.doc]
+        suffix = np.flatnonzero(np.arange(len(words.doc)) + size <= edges[1:][words.doc])
+        suffix = suffix[size[suffix] > 0]
+        # Equal windows are neighbours in the benchmark's own suffix array; `first` to `last` are the members of a class.
+        if len(suffix):
+            own = SuffixArray(words, edges, window)
+            place = np.empty(len(own.order), np.int64)
+            place[own.order] = np.arange(len(own.order))
+            suffix = suffix[np.lexsort((place[suffix], size[suffix]))]
+            new = np.ones(len(suffix), bool)
+            same = size[suffix[1:]] == size[suffix[:-1]]
+            for depth in range(window):
+                inside = depth < size[suffix[1:]]
+                same &= ~inside | (own.rank(suffix[1:], depth) == own.rank(suffix[:-1], depth))
+            new[1:] = ~same
+            heads = np.flatnonzero(new)
         else:
-            out.append([item, i, d, n])
-    return sorted((x[0], x[1], x[2], x[3]) for x in out)
+            heads = np.zeros(0, np.int64)
+        self.members = suffix.astype(np.int32)
+        self.first = heads.astype(np.int32)
+        self.last = np.append(heads[1:], len(suffix)).astype(np.int32)[: len(heads)]
+        self.size = size[suffix[heads]].astype(np.int16 if window < 1 << 15 else np.int32)
+
+    def arrays_bytes(self) -> int:
+        """The size of what is sent."""
+        return len(self.raw) + sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def text(self, first: int, count: int) -> bytes:
+        return b" ".join([self.raw[a:b] for a, b in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist(), strict=True)])
+
+    def search(self, words: Words, edges: np.ndarray, with_matches: bool = True) -> Hits:
+        """All windows of the benchmark in a shard."""
+        none = np.zeros(0, np.int64)
+        if not len(self.first) or not len(words.start):
+            return Hits(none, none, none, np.zeros((0, 4), np.int64))
+        array = SuffixArray(words, edges, self.window)
+        place = np.searchsorted(array.vocabulary, self.vocabulary)
+        known = array.vocabulary[np.minimum(place, len(array.vocabulary) - 1)] == self.vocabulary
+        ranks = np.where(known, place + 1, 0)[self.word]
+        missing = np.concatenate([[0], np.cumsum(ranks == 0)])
+        lead = self.members[self.first].astype(np.int64)
+        size = self.size.astype(np.int64)
+        kinds = np.flatnonzero(missing[lead + size] == missing[lead])  # a window with a word that the shard lacks isn't there
+        lo, hi = array.intervals(ranks, lead[kinds], size[kinds])
+        at, which = _stretches(lo, hi)
+        at, kind = array.order[at], kinds[which]
+        raw = words.low.tobytes()
+        texts: dict[int, bytes] = {}
+        good = np.ones(len(at), bool)
+        for k, (a, c) in enumerate(zip(at.tolist(), kind.tolist(), strict=True)):
+            if c not in texts:
+                texts[c] = self.text(int(lead[c]), int(size[c]))
+            good[k] = words.text(raw, a, int(size[c])) == texts[c]
+        at, kind = at[good], kind[good]
+        matches = self._longest(words, edges, at, kind) if with_matches and len(at) else np.zeros((0, 4), np.int64)
+        return Hits(at, size[kind], kind, matches)
+
+    def _longest(self, words: Words, edges: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The matches from windows that can't be extended to the left, as far to the right as they go."""
+        digest = self.vocabulary[self.word]
+        found = []
+        many = (self.last - self.first)[kind].astype(np.int64)
+        steps = np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS), "left") + 1
+        begin = 0
+        for stop in [*np.unique(np.minimum(steps, len(at))).tolist(), len(at)]:
+            member, which = _stretches(self.first[kind[begin:stop]].astype(np.int64), self.last[kind[begin:stop]].astype(np.int64))
+            a, j = at[begin:stop][which], self.members[member].astype(np.int64)
+            n = self.size[kind[begin:stop]][which].astype(np.int64)
+            begin = stop
+            doc, item = words.doc[a], self.item[j]
+            inner = (a > edges[doc]) & (j > self.edges[item])
+            left = ~(inner & (words.digest[np.maximum(a - 1, 0)] == digest[np.maximum(j - 1, 0)]))
+            a, j, n, doc, item = a[left], j[left], n[left], doc[left], item[left]
+            room = np.minimum(edges[doc + 1] - a, self.edges[item + 1] - j)
+            open_ = np.arange(len(a))
+            while len(open_ := open_[n[open_] < room[open_]]):
+                open_ = open_[words.digest[a[open_] + n[open_]] == digest[j[open_] + n[open_]]]
+                n[open_] += 1
+            found.append(np.stack([a, self.ids[item], j - self.edges[item], n], axis=1))
+        return np.concatenate(found)
+
+    def items(self, kind: int) -> set[int]:
+        return set(self.ids[self.item[self.members[self.first[kind] : self.last[kind]]]].tolist())
 
 
 def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,62 +279,69 @@ def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(index, passthrough: int):
+_SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_PARTS = ("item_id", "item_word", "doc_word", "n_words")
+_MATCH = pa.list_(pa.struct([(n, pa.int64()) for n in _PARTS]))
+
+
+def _shards(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """Runs of rows with their words and where each row's words start."""
+    body, at = text_bytes(column)
+    for lo, hi in byte_ranges(at, SHARD_BYTES):
+        words = Words.of(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        yield lo, hi, words, np.searchsorted(words.doc, np.arange(hi - lo + 1))
+
+
+def _search(index):
+    """Rows of (doc_id, text) or, with what other blocks of the benchmark found, (doc_id, text, hit, items, matches) get this block's findings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark: Index = index.value
         for batch in batches:
-            body, at = text_bytes(batch.column(1))
-            for lo, hi in byte_ranges(at, SHARD_BYTES):
-                words = Words.of(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                edges = np.searchsorted(words.doc, np.arange(hi - lo + 1))
-                spans: dict[int, list[tuple[int, int]]] = {}
-                hits: dict[int, list[tuple[int, int, int, int]]] = {}
-                for i, size, places in benchmark.search(words):
-                    doc = int(words.doc[i])
-                    at_word = i - int(edges[doc])
-                    spans.setdefault(doc, []).append((at_word, at_word + size - 1))
-                    hits.setdefault(doc, []).extend((item, j, at_word, size) for item, j in places)
-                joined = [_join(hits.get(d, [])) for d in range(hi - lo)]
-                cols = {
-                    "doc_id": batch.column(0).slice(lo, hi - lo),
+            for lo, hi, words, edges in _shards(batch.column(1)):
+                rows = hi - lo
+                spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+                items: list[set[int]] = [set() for _ in range(rows)]
+                matches: list[list[tuple[int, int, int, int]]] = [[] for _ in range(rows)]
+                hits = benchmark.search(words, edges)
+                doc = words.doc[hits.at]
+                for d, a, n in zip(doc.tolist(), (hits.at - edges[doc]).tolist(), hits.size.tolist(), strict=True):
+                    spans[d].append((a, a + n - 1))
+                for d, kind in set(zip(doc.tolist(), hits.kind.tolist(), strict=True)):
+                    items[d] |= benchmark.items(kind)
+                for a, item, j, n in hits.matches.tolist():
+                    d = int(words.doc[a])
+                    matches[d].append((item, j, a - int(edges[d]), n))
+                if batch.num_columns > 2:
+                    for d, (h, i, m) in enumerate(zip(*(batch.column(k).slice(lo, rows).to_pylist() for k in (2, 3, 4)), strict=True)):
+                        spans[d] += [(x["first"], x["last"]) for x in h]
+                        items[d] |= set(i)
+                        matches[d] += [tuple(x[p] for p in _PARTS) for x in m]
+                out = {
+                    "doc_id": batch.column(0).slice(lo, rows),
+                    "text": batch.column(1).slice(lo, rows),
                     "n_words": pa.array(np.diff(edges), pa.int64()),
-                    "hit": pa.array([[{"first": a, "last": b} for a, b in _cover(spans.get(d, []))] for d in range(hi - lo)], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                    "items": pa.array([sorted({m[0] for m in x}) for x in joined], pa.list_(pa.int64())),
-                    "matches": pa.array([[dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in x] for x in joined], pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "item_word", "doc_word", "n_words")]))),
+                    "hit": pa.array([[{"first": a, "last": b} for a, b in _cover(x)] for x in spans], _SPAN),
+                    "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                    "matches": pa.array([[dict(zip(_PARTS, m, strict=True)) for m in sorted(set(x))] for x in matches], _MATCH),
                 }
-                names = list(cols)
-                for k in range(passthrough):
-                    names.append(batch.schema.names[2 + k])
-                    cols[names[-1]] = batch.column(2 + k).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The findings of all benchmark blocks for one document; its repeated rows were counted in the first of them."""
-    row = table.slice(0, 1)
-    hit = _cover([(s["first"], s["last"]) for x in table.column("hit").to_pylist() for s in x])
-    items = sorted({i for x in table.column("items").to_pylist() for i in x})
-    matches = sorted({tuple(m.values()) for x in table.column("matches").to_pylist() for m in x})
-    times = sum(b == 0 for b in table.column("__block").to_pylist())
-    fields = {n: row.column(n) for n in ("doc_id", "n_words")}
-    fields["hit"] = pa.array([[{"first": a, "last": b} for a, b in hit]], table.schema.field("hit").type)
-    fields["items"] = pa.array([items], table.schema.field("items").type)
-    fields["matches"] = pa.array([[dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in matches]], table.schema.field("matches").type)
-    return pa.concat_tables([pa.table(fields)] * times)
-
-
 def _indices(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, broadcast_bytes: int) -> list:
-    """The benchmark as broadcast indices, each of about broadcast_bytes of text at most."""
+    """The benchmark as broadcast indices, whose arrays are of about broadcast_bytes at most (one item is not divided)."""
+    if window < 1:
+        raise ValueError("a window has at least one word")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    blocks = max(1, -(-size // broadcast_bytes))
+    blocks = max(1, -(-size * ARRAY_BYTES // broadcast_bytes))
     out = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items
         table = own.distinct().sort("id", "text").toArrow()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index.of(table.column("id").to_pylist(), table.column("text").to_pylist(), window)))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(table.column("id").to_pylist(), table.column("text").to_pylist(), window)))
     return out
 
 
@@ -223,27 +349,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """For each row of docs: its number of words, the stretches of words inside benchmark windows (first and last word), the
     items found, and the longest verbatim matches with their places."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    indices = _indices(benchmark, window, item_col, item_text_col, broadcast_bytes)
-    if len(indices) == 1:
-        return rows.mapInArrow(_search(indices[0], 0), RESULT)
-    keyed = rows.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    parts = [keyed.mapInArrow(_search(index, 1), RESULT + ", __key string").withColumn("__block", F.lit(k)) for k, index in enumerate(indices)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy(F.col("doc_id").alias("__doc"), F.col("__key").alias("__text")).applyInArrow(lambda table: _merge(table), RESULT)
+    schema = RESULT.replace("doc_id long,", "doc_id long, text string,")
+    for k, index in enumerate(_indices(benchmark, window, item_col, item_text_col, broadcast_bytes)):
+        rows = (rows.select("doc_id", "text", "hit", "items", "matches") if k else rows).mapInArrow(lean(_search(index)), schema)
+    return rows.drop("text")
 
 
 def _clean(index, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark: Index = index.value
         for batch in batches:
-            body, at = text_bytes(batch.column(column).cast(pa.large_string()))
             keep = np.ones(batch.num_rows, bool)
-            for lo, hi in byte_ranges(at, SHARD_BYTES):
-                words = Words.of(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                for i, _, _ in benchmark.search(words):
-                    keep[lo + int(words.doc[i])] = False
+            for lo, _, words, edges in _shards(batch.column(column).cast(pa.large_string())):
+                keep[lo + words.doc[benchmark.search(words, edges, with_matches=False).at]] = False
             yield batch.filter(pa.array(keep))
 
     return run
@@ -252,7 +370,7 @@ def _clean(index, column: int):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs that hold no benchmark window, as they are; nothing is joined or shuffled."""
     for index in _indices(benchmark, window, item_col, item_text_col, broadcast_bytes):
-        docs = docs.mapInArrow(_clean(index, docs.columns.index(text_col)), docs.schema)
+        docs = docs.mapInArrow(lean(_clean(index, docs.columns.index(text_col))), docs.schema)
     return docs
 
 

@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
-from quire.llm.decontaminate import digest, find_contamination
+import numpy as np
+import pyarrow as pa
+
+from quire.llm.blocks import text_bytes
+from quire.llm.decontaminate import Index, SuffixArray, Words, digest, drop_contaminated, find_contamination
 
 from .common import SCHEMA, documents
 
@@ -50,7 +54,7 @@ def planted(seed):
 def test_matches_brute_force(spark):
     rows, items = planted(4)
     docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    for limit in (16 << 20, 120):  # in one index, and in blocks
+    for limit in (64 << 20, 4_000):  # in one index, and in blocks
         got = sorted(map(tuple, digest(find_contamination(docs, bench, broadcast_bytes=limit)).collect()), key=str)
         assert got == brute(rows, items, 10)
 
@@ -67,3 +71,69 @@ def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "x y")], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in digest(find_contamination(docs, none)).collect()] == [(1, 2, 0, 0)]
     assert find_contamination(spark.createDataFrame([], SCHEMA), none).collect() == []
+
+
+def brute_matches(rows, items, window):
+    """All (doc, item, word of item, word of document, words) that can be extended neither way."""
+    by_item, out = {}, set()
+    for i, t in items:
+        if i is not None:
+            by_item.setdefault(i, []).append(words(t))
+    for d, t in rows:
+        w = words(t)
+        for i, texts in by_item.items():
+            for v in texts:
+                size = min(window, len(v))
+                for a in range(len(w)):
+                    for j in range(len(v)):
+                        if a and j and w[a - 1] == v[j - 1]:
+                            continue
+                        n = 0
+                        while a + n < len(w) and j + n < len(v) and w[a + n] == v[j + n]:
+                            n += 1
+                        if size and n >= size:
+                            out.add((d, i, j, a, n))
+    return sorted(out)
+
+
+def test_longest_matches_match_brute_force(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(1, 40)))) for i in range(8)] + [(20, "a " * 60)]
+    rows = [(i, " ".join(rng.choice("abc" if i % 2 else "ab") for _ in range(rng.randint(0, 60)))) for i in range(25)] + [(90, "a " * 300)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    for window in (1, 4, 10):
+        for limit in (1 << 20, 4_000):
+            got = sorted((r.doc_id, m.item_id, m.item_word, m.doc_word, m.n_words) for r in find_contamination(docs, bench, window, broadcast_bytes=limit).collect() for m in r.matches)
+            assert got == brute_matches(rows, items, window)
+
+
+def test_suffix_array_is_in_order():
+    rng = random.Random(5)
+    for vocabulary in ("ab", [f"w{i}" for i in range(40_000)]):
+        texts_ = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+        body, at = text_bytes(pa.array(texts_))
+        w = Words.of(body, at)
+        edges = np.searchsorted(w.doc, np.arange(len(texts_) + 1))
+        for depth in (1, 3, 10):
+            array = SuffixArray(w, edges, depth)
+            keys = [tuple(array.ranks[a : min(a + depth, array.ends[a])].tolist()) for a in array.order.tolist()]
+            assert keys == sorted(keys) and sorted(array.order.tolist()) == list(range(len(w.start)))
+
+
+def test_texts_beyond_a_shard_and_clashing_columns(spark):
+    item = " ".join(f"k{i}" for i in range(15))
+    long = "filler words of no use " * 250_000  # 5.7 MB
+    rows = [(1, long + item + " end", 1, "h"), (2, "short " + item, 2, "h"), (3, long, 3, "h"), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit long, items string")
+    bench = spark.createDataFrame([(9, item, "x")], "item_id long, text string, doc_id string")
+    got = {r.doc_id: r for r in find_contamination(docs, bench).collect()}
+    assert [tuple(m) for m in got[1].matches] == [(9, 0, 1_250_000, 15)] and [tuple(m) for m in got[2].matches] == [(9, 0, 1, 15)]
+    assert got[3].matches == [] and got[4].n_words == 0
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
+def test_what_is_sent_is_bounded_by_the_text():
+    for texts_ in (["a b c d e f g h i j k l m n o"] * 50, [" ".join(f"word{i}" for i in range(5000))]):
+        index = Index(list(range(len(texts_))), texts_, 10)
+        assert index.arrays_bytes() <= 16 * sum(len(t) + 16 for t in texts_)
