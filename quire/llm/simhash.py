@@ -11,6 +11,10 @@ have at least two blocks in common, so they meet under the key of some pair of b
 
 What leaves a task are not links but, for each fingerprint with one, the smallest that it reaches inside the task.
 Components of the whole follow from those.
+
+A null text is an empty one; a text without words has the fingerprint zero.  Repeated rows are rows of one component.  Texts of
+any length are read whole.  Extra columns, whatever their names, are not read; keep_one
+and drop_near_copies return them.
 """
 
 from __future__ import annotations
@@ -23,62 +27,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.llm.blocks import byte_ranges, text_bytes
 from quire.llm.graph import components, local_roots
 from quire.llm.memory import lean
+from quire.llm.near_copies import component_classes, keep_first, keep_rows
+from quire.llm.shingles import SEED, slices
 from quire.llm.storage import cut, partitions
 
-SEED = 42
 _CHUNK_BYTES = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _slices(body: np.ndarray, at: np.ndarray, width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """All words with one space after each, and for each shingle where it starts and ends there and the text that it is of."""
-    docs = len(at) - 1
-    low = _LOWER[body]
-    word = ~_SPACE[low]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    begin, stop = at[:-1][at[:-1] < len(body)], at[1:][at[1:] > 0] - 1
-    first[begin], last[stop] = word[begin], word[stop]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return b"", none, none, none
-    # Words with one space after each: a shingle is a slice.
-    gap = ~word
-    gap[1:] &= word[:-1]
-    gap[0] = False
-    keep = word | gap
-    flat = np.where(word, low, np.uint8(0x20))[keep].tobytes()
-    place = np.cumsum(keep)
-    doc = np.searchsorted(at, start, side="right") - 1
-    count = np.bincount(doc, minlength=docs)
-    shingles = np.where(count >= width, count - width + 1, np.minimum(count, 1))
-    base = np.cumsum(count) - count
-    owner = np.repeat(np.arange(docs), shingles)
-    lead = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + base[owner]
-    tail = lead + np.minimum(count[owner], width) - 1
-    return flat, place[start[lead]] - 1, place[end[tail] - 1], owner
-
-
-def shingles_of(body: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each shingle and the text that it is of, in order."""
-    flat, a, b, owner = _slices(body, at, width)
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(flat[x:y], SEED) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(owner)), owner
 
 
 def fingerprints_of(body: np.ndarray, at: np.ndarray, width: int = 3) -> np.ndarray:
     """The fingerprint of each text: a bit is 1 if it is set in over half the shingles' hashes."""
     docs = len(at) - 1
-    flat, a, b, owner = _slices(body, at, width)
+    flat, a, b, owner = slices(body, at, width)
     if not len(owner):
         return np.zeros(docs, np.uint64)
     shingles = np.bincount(owner, minlength=docs)
@@ -249,8 +213,35 @@ def near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id",
     return first.unionByName(rest.select("doc_id", name, "component_id"))
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id is that of their component, once each; rows without doc_id stay."""
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+def _marked(column: int, width: int):
+    fingerprints = _fingerprints(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(column)
+            for own in fingerprints(iter([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])])):
+                yield batch.append_column("__print", own.column(1))
+
+    return run
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """docs with one row of each component of found (near_duplicates of docs with that width): the one of the smallest doc_id and, of
+    several fingerprints with that id, the smallest.  Rows without doc_id stay; of rows that share id and fingerprint one stays,
+    the same one however docs are partitioned."""
+    kept = found.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fingerprint").alias("__kept"))
+    schema = StructType([*docs.schema.fields, StructField("__print", LongType())])
+    rows = docs.where(F.col(id_col).isNotNull()).mapInArrow(lean(_marked(docs.columns.index(text_col), width)), schema)
+    named = rows.withColumn("__name", F.lower(F.lpad(F.hex("__print"), 16, "0"))).drop("__print")
+    known = keep_rows(named, kept, id_col, "__name", docs.columns)
     return known.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each component of texts whose shingles of `width` words have a Jaccard similarity of tenths / 10 or
+    more, one row with the smallest doc_id (of several texts with that id, the one of the smallest digest) stays as it is.
+
+    Fingerprints alone don't decide this: texts at a similarity of 0.8 differ in some 10 +- 3 of 64 bits, and blocks that
+    any two fingerprints 17 bits apart share would have three bits.  So candidates come from MinHash bands, and whole
+    sets of shingles are compared (near_copies.py).  Repeated rows are one row.  Rows without doc_id take part, and stay."""
+    return keep_first(docs, component_classes(docs, width, tenths, id_col, text_col), id_col, text_col)

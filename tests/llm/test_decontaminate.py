@@ -54,7 +54,7 @@ def planted(seed):
 def test_matches_brute_force(spark):
     rows, items = planted(4)
     docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    for limit in (64 << 20, 4_000):  # in one index, and in blocks
+    for limit in (16 << 20, 1_800):  # in one index, and in blocks
         got = sorted(map(tuple, digest(find_contamination(docs, bench, broadcast_bytes=limit)).collect()), key=str)
         assert got == brute(rows, items, 10)
 

@@ -2,6 +2,9 @@ import random
 
 import corpus_pipeline
 
+from quire.llm.near_copies import component_classes, keep_first
+from quire.llm.simhash import drop_near_copies
+
 from .common import documents, texts
 from .test_pipeline import SCHEMA
 from .test_simhash import LOWER, union
@@ -54,3 +57,39 @@ def test_odd_rows_and_rows_that_share_an_id(spark):
     assert {(5001, far[0]), (5001, far[1]), (5003, far[2])} <= set(got) and (5002, far[0]) not in got
     assert sorted(r for r in got if r[0] is not None) == brute(rows)[0]
     assert sum(d is None for d, _ in got) == 2
+
+
+def test_large_groups_lose_no_link(spark):
+    """Families that share most of their words, so that hundreds of classes meet under one key, with few real copies among them."""
+    rng = random.Random(12)
+    rows = []
+    for family in range(3):
+        stock = [f"s{family}x{i}" for i in range(100)]
+        for k in range(120):
+            own = [w if rng.random() > 0.04 else f"o{rng.random()}" for w in stock]
+            rows.append((len(rows), " ".join(own)))
+            if k % 10 == 0:
+                own[rng.randrange(100)] = "changed"
+                rows.append((len(rows), " ".join(own)))
+    for k in range(200):  # one group of near copies
+        words = [f"g{i}" for i in range(120)]
+        words[rng.randrange(120)] = f"n{k}"
+        rows.append((len(rows), " ".join(words)))
+    want, _ = brute(rows)
+    assert 100 < len(want) < len(rows) - 200
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(4)
+    for direct, fine in ((32, 64), (4, 8)):
+        kept = keep_first(docs, component_classes(docs, direct=direct, fine=fine))
+        got = sorted((r.doc_id, r.text) for r in kept.collect())
+        assert set(want) <= set(got) and len(got) - len(want) <= (0 if fine == 64 else 2)
+
+
+def test_clashing_columns_and_partitions(spark):
+    rows = [(1, "a b c d e f", "x", "y", 3), (1, "a b c d e f", "w", "y", 4), (2, "A B c  d e f", "x", "z", 5), (3, None, "x", "z", 5), (4, " ", None, None, None)]
+    results = set()
+    for parts in (1, 2, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, root string, id long").repartition(parts)
+        got = drop_near_copies(docs)
+        assert got.columns == docs.columns
+        results.add(tuple(sorted(map(tuple, got.collect()), key=str)))
+    assert len(results) == 1 and [r[0] for r in results.pop()] == [1, 3]

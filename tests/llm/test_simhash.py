@@ -88,3 +88,25 @@ def test_components_of_a_long_path(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keep_one_decides_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, b, "x", 1), (5, a, "y", 2), (5, b, "z", 3), (7, a, "w", 4), (7, a, "v", 5), (None, a, "u", 6)]
+    results = set()
+    for parts in (1, 2, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, component_id long").repartition(parts)
+        got = keep_one(df, near_duplicates(df))
+        assert got.columns == df.columns
+        results.add(tuple(sorted(map(tuple, got.collect()), key=str)))
+    assert results == {((3, b, "x", 1), (5, a, "y", 2), (None, a, "u", 6))}
+
+
+def test_keep_one_keeps_a_text_of_each_component(spark):
+    rows = documents(17, 120)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = near_duplicates(df).collect()
+    component = {(r.doc_id, r.fingerprint): r.component_id for r in found}
+    kept = [(r.doc_id, r.text) for r in keep_one(df, near_duplicates(df)).collect() if r.doc_id is not None]
+    classes = [component[d, f"{fingerprint(t):016x}"] for d, t in kept]
+    assert sorted(classes) == sorted({c for (d, _), c in component.items() if d is not None}) and all(d == c for (d, _), c in zip(kept, classes, strict=True))
