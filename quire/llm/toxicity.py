@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.memory import lean
+
 FIT_ROWS = 20_000
 
 # Word lists of the grammar.
@@ -204,6 +206,13 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_024) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that only so many texts are Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 # --- fitting ----------------------------------------------------------------------------------------------------------
 
 _SIZES = (4, 5, 6, 7)
@@ -217,7 +226,7 @@ def _terms(word: str) -> list[str]:
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document of label 1, its terms with the word before the first occurrence and whether a target is next."""
-    for batch in batches:
+    for batch in _pieces(batches, 256):
         terms, before, aimed = [], [], []
         for text in batch.column(0).to_pylist():
             seen: dict[str, tuple[int, bool]] = {}
@@ -236,7 +245,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of a batch each term occurs."""
-    for batch in batches:
+    for batch in _pieces(batches):
         count: dict[str, int] = {}
         for text in batch.column(0).to_pylist():
             for term in {t for w in set(_WORD_TEXT.findall((text or "").lower())) for t in _terms(w)}:
@@ -282,7 +291,7 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], share: float = 0.
 def _features(grammar):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: Grammar = grammar.value
-        for batch in batches:
+        for batch in _pieces(batches):
             found = [g.matches(t or "") for t in batch.column(0).to_pylist()]
             out = {"toxic": batch.column(1), "x": pa.array([[float(f.get(m, 0)) for m in MATCHES] for f in found], pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(out)
@@ -309,9 +318,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> tuple[di
 def _rated(sample: DataFrame, share: float) -> DataFrame:
     """The terms that tell label 1 in a sample of (text, toxic): term, n and clean (documents of either label) and aimed (of those n,
     before a target).  A term counts from five documents of label 1 on, in at least four surroundings."""
-    toxic = sample.where("toxic = 1").select("text").mapInArrow(_surroundings, "term string, before long, aimed int").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("before").alias("around"), F.sum("aimed").alias("aimed"))
+    toxic = sample.where("toxic = 1").select("text").mapInArrow(lean(_surroundings), "term string, before long, aimed int").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("before").alias("around"), F.sum("aimed").alias("aimed"))
     toxic = toxic.where("n >= 5 and around >= 4 and around >= least(0.3 * n, 12)")
-    clean = sample.where("toxic = 0").select("text").mapInArrow(_occurrences, "term string, n long").groupBy("term").agg(F.sum("n").alias("clean"))
+    clean = sample.where("toxic = 0").select("text").mapInArrow(lean(_occurrences), "term string, n long").groupBy("term").agg(F.sum("n").alias("clean"))
     both = toxic.join(clean, "term", "left").select("term", "n", "aimed", F.coalesce("clean", F.lit(0)).alias("clean"))
     return both.where(_lower_bound_column(F.col("n"), F.col("n") + F.col("clean")) >= share)
 
@@ -333,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, share: flo
         words, stems = choose_terms({r["term"]: r["n"] for r in rows}, {r["term"]: r["clean"] for r in rows}, share)
         threats = {r["term"].rstrip("$") for r in rows if 2 * r["aimed"] > r["n"] and (r["term"].rstrip("$") in words if r["term"].endswith("$") else r["term"] in stems)}
         grammar = Grammar(words, stems, threats=threats)
-        seen = sample.mapInArrow(_features(spark.sparkContext.broadcast(grammar)), "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
+        seen = sample.mapInArrow(lean(_features(spark.sparkContext.broadcast(grammar))), "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
     finally:
         sample.unpersist()
     y = np.repeat([r["toxic"] for r in seen], [r["count"] for r in seen]).astype(float)
@@ -348,7 +357,7 @@ def _score(grammar):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: Grammar = grammar.value
         none = g.score({})
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, texts = batch.column(0), batch.column(1)
             scores, clauses = [], []
             for text in texts:
@@ -374,13 +383,13 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
     """doc_id, held_out, score, predicted (score of 0.5 or more) and n_matches for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int, n_matches long")
+    return rows.mapInArrow(lean(_score(shared)), "doc_id long, held_out boolean, score double, predicted int, n_matches long")
 
 
 def _reject(grammar, column: int):
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: Grammar = grammar.value
-        for batch in batches:
+        for batch in _pieces(batches):
             keep = []
             for text in batch.column(column):
                 raw = text.as_buffer()
@@ -393,4 +402,4 @@ def _reject(grammar, column: int):
 def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """The rows of docs that the grammar does not reject, as they are; nothing is joined or shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    return docs.mapInArrow(_reject(shared, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_reject(shared, docs.columns.index(text_col))), docs.schema)
