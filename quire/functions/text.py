@@ -179,6 +179,7 @@ def format_price(value: Column) -> Column:
 
 # --- URLs -------------------------------------------------------------------------------------------------------------
 
+# The forms of an advertisement's address.
 AD_ID = r"~x(\d{6,})"
 AD_URL = r"~x\d{6,}|/lote/|-\d{6,}"
 # Parts of links that are never an advertisement, and parts that only count where the link doesn't look like one.
@@ -279,6 +280,7 @@ def listing_price(html: Column, visible_text: Column) -> Column:
     return F.when(html != "", out)
 
 
+# How a page declares what is on sale, and what it says of a sale.
 AVAILABILITY = r"""(?i)availability"?\s*[:=]\s*"?\s*([A-Za-z:/._]+)|itemprop=["']availability["'][^>]*?(?:href|content)=["']([^"']+)"""
 ON_SALE = ["instock", "instoreonly", "onlineonly", "limitedavailability", "preorder", "backorder"]
 SOLD_OUT = ["soldout", "outofstock", "out_of_stock", "discontinued"]

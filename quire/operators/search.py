@@ -148,14 +148,17 @@ class Index:
 # --- queries ----------------------------------------------------------------------------------------------------------
 
 # Words without content, and the words a question is built with.
-EMPTY_WORDS = set(
-    "a al ante como con contra de del desde e el en entre es esa ese eso esta este esto ha han hasta la las le les lo los mas me mi mis ni no "
-    "nos o para pero por que se segun sin sobre son su sus tras un una uno unos unas y ya cual cuales cuando cuanto cuantos donde quien quienes".split()
-)
-QUESTION_WORDS = set(
-    "tomo tomos volumen volumenes libro libros obra obras habla hablan dice dicen trata tratan cuenta cuentan menciona mencionan aparece aparecen "
-    "sale salen hay acerca respecto texto textos pasaje pasajes autor autores".split()
-)
+EMPTY_WORDS = {
+    "a", "al", "ante", "como", "con", "contra", "de", "del", "desde", "e", "el", "en", "entre", "es", "esa", "ese", "eso", "esta", "este",
+    "esto", "ha", "han", "hasta", "la", "las", "le", "les", "lo", "los", "mas", "me", "mi", "mis", "ni", "no", "nos", "o", "para", "pero",
+    "por", "que", "se", "segun", "sin", "sobre", "son", "su", "sus", "tras", "un", "una", "uno", "unos", "unas", "y", "ya", "cual",
+    "cuales", "cuando", "cuanto", "cuantos", "donde", "quien", "quienes",
+}
+QUESTION_WORDS = {
+    "tomo", "tomos", "volumen", "volumenes", "libro", "libros", "obra", "obras", "habla", "hablan", "dice", "dicen", "trata", "tratan",
+    "cuenta", "cuentan", "menciona", "mencionan", "aparece", "aparecen", "sale", "salen", "hay", "acerca", "respecto", "texto", "textos",
+    "pasaje", "pasajes", "autor", "autores",
+}
 _QUESTION = re.compile(r"^\s*[¿?]|[?¿]\s*$|^\s*(que|qu[ée]|cu[áa]l|cu[áa]les|d[óo]nde|qui[ée]n|qui[ée]nes|c[óo]mo|cu[áa]ndo|cu[áa]nto|cu[áa]ntos)\b", re.I)
 LEAST_PREFIX = 3
 
