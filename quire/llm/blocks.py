@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from quire.llm.storage import fresh_path, partitions
 
 BLOCK_BYTES = 4 << 20
-BLOCK_SCHEMA = "block long, ids binary, known binary, lens binary, body binary"
+BLOCK_SCHEMA = "block long, size long, words long, ids binary, known binary, lens binary, body binary"
+#: Blocks of a task that follow each other into one bucket, and so into one file.
+RUN_BLOCKS = 8
+#: Text that a bucket of digests answers for, about.
+BUCKET_BYTES = 16 << 20
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,28 @@ class Block:
         )
 
 
-def _pack(limit: int):
+def spark_hash(value: int, seed: int = 42) -> int:
+    """Spark's hash of a long, by which it deals buckets: Murmur3 of 32 bits over its two halves."""
+    mask = 0xFFFFFFFF
+    turn = lambda x, n: (x << n | x >> 32 - n) & mask
+    h = seed
+    for half in (value & mask, value >> 32 & mask):
+        h ^= turn(half * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (turn(h, 13) * 5 + 0xE6546B64) & mask
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & mask
+    return h - (1 << 32) if h >> 31 else h
+
+
+def block_id(part: int, seq: int, buckets: int) -> int:
+    """An id of its own for a task's block, so chosen that RUN_BLOCKS blocks in turn are dealt to one bucket."""
+    wanted = (part + seq // RUN_BLOCKS) % buckets
+    own = (part << 36) + (seq << 20)
+    return next(own + k for k in range(1 << 20) if spark_hash(own + k) % buckets == wanted)
+
+
+def _pack(limit: int, buckets: int, count_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
@@ -80,12 +105,16 @@ def _pack(limit: int):
         held = 0
 
         def flush() -> pa.RecordBatch:
+            data, sizes = np.concatenate(body), np.concatenate(lens)
+            at = np.concatenate([[0], np.cumsum(sizes)])
             row = {
-                "block": pa.array([(part << 32) + seq], pa.int64()),
+                "block": pa.array([block_id(part, seq, buckets)], pa.int64()),
+                "size": pa.array([held], pa.int64()),
+                "words": pa.array([count_words(data, at) if count_words else 0], pa.int64()),
                 "ids": pa.array([np.concatenate(ids).tobytes()], pa.binary()),
                 "known": pa.array([np.concatenate(known).tobytes()], pa.binary()),
-                "lens": pa.array([np.concatenate(lens).tobytes()], pa.binary()),
-                "body": pa.array([np.concatenate(body).tobytes()], pa.binary()),
+                "lens": pa.array([sizes.tobytes()], pa.binary()),
+                "body": pa.array([data.tobytes()], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(row)
 
@@ -110,14 +139,23 @@ def _pack(limit: int):
     return run
 
 
-def block_table(docs: DataFrame, id_col: str, text_col: str, label: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs as a table of blocks (BLOCK_SCHEMA) in the shared folder, bucketed by block."""
+def block_table(docs: DataFrame, id_col: str, text_col: str, label: str, block_bytes: int = BLOCK_BYTES, count_words=None) -> DataFrame:
+    """docs as a table of blocks (BLOCK_SCHEMA) in the shared folder, bucketed by block.  count_words(bytes, starts), if given, counts a block's words."""
     spark = docs.sparkSession
     path = fresh_path(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    blocks = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
+    blocks = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack(block_bytes, partitions(spark), count_words), BLOCK_SCHEMA)
     blocks.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), "block").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    # The files stay, and what was read of the table knows its buckets; the catalogue needn't keep an entry for ever.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def digest_buckets(table: DataFrame) -> tuple[int, int]:
+    """(buckets for the digests of a block table, its words): buckets grow with the text, so what one holds doesn't."""
+    row = table.agg(F.sum("size").alias("size"), F.sum("words").alias("words")).collect()[0]
+    return max(4 * partitions(table.sparkSession), -(-(row["size"] or 0) // BUCKET_BYTES)), row["words"] or 0
 
 
 # --- 64-bit digests over byte arrays -------------------------------------------------------------------------------

@@ -81,6 +81,16 @@ class Words:
         return b" ".join([raw[a:b] for a, b in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist(), strict=True)])
 
 
+def word_count(body: np.ndarray, at: np.ndarray) -> int:
+    """How many words some texts have."""
+    word = _WORD[_LOWER[body]]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begin = at[:-1][at[:-1] < len(body)]
+    first[begin] = word[begin]
+    return int(np.count_nonzero(first))
+
+
 class SuffixArray:
     """The word suffixes of some texts, ordered by their first `depth` words."""
 

@@ -30,9 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.blocks import _M1, Block, block_table, buckets_of, mix, words64
+from quire.llm.blocks import _M1, Block, block_table, buckets_of, digest_buckets, mix, words64
 from quire.llm.memory import lean, lean_table
-from quire.llm.storage import cut, partitions
+from quire.llm.storage import cut
 
 GRAM = 16
 REPLY = "block long, bucket int, kind int, payload binary"
@@ -430,9 +430,8 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     """
     if threshold < 1:
         raise ValueError("threshold is at least 1")
-    spark = docs.sparkSession
     table = block_table(docs, id_col, text_col, "suffix")
-    count = 4 * partitions(spark)
+    count, _ = digest_buckets(table)
     sent = table.mapInArrow(lean(_send_digits(threshold, count)), SENT)
     first = cut(sent.groupBy("bucket").applyInArrow(_shared_digits, REPLY))
     by_block = table.groupBy("block")
