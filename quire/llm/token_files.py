@@ -14,7 +14,12 @@ All numbers are little-endian.  Any id is found without reading what stands befo
 table, its bits are at a fixed place in the block, and numpy unpacks a whole block at once.
 
 The files are written by Spark's own writer to the shared folder, one for each partition of a range partitioning by
-id, so their order is the order of the ids.  A segment is bounded (`segment_ids`), so is the memory to write one.
+id, so their order is the order of the ids.  A segment is bounded (`segment_ids`), so is the memory to write one, and files
+are as many as their size wants (FILE_BYTES of text each).  Rows without an id, or with one that many share, are told apart by
+the start of their text and by where they were read, so they are dealt to many files like any others.
+
+A null text is an empty one.  Repeated rows are documents of their own.  Texts of any length are one document.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.memory import lean
 from quire.llm.storage import cut, fresh_path, partitions
 from quire.llm.tokens import encoder, tokenizer_path, with_end
 
@@ -37,6 +43,8 @@ BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 22
 #: Offsets of so many segments at most (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SEGMENTS = 100_000
+#: Text that goes to one file, about.
+FILE_BYTES = 256 << 20
 _HEAD = struct.Struct("<8sIIQQIIQ16x")
 
 
@@ -139,12 +147,16 @@ def _write(name: str, end_id: int | None, width: int, segment_ids: int):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int | None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> str:
-    """Encode docs in ascending order of id (rows without one first, ties by text) and write token files; returns the folder."""
+    """Encode docs in ascending order of id (rows without one first, ties by the start of the text) and write token files; returns the folder."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
     width = width_of(max(vocabulary, (end_id or 0) + 1))
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
-    rows = ordered.mapInArrow(_write(tokenizer, end_id, width, segment_ids), "segment binary")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    files = max(partitions(spark), -(-size // FILE_BYTES))
+    spread = own.select("id", "text", F.substring("text", 1, 32).alias("start"), F.monotonically_increasing_id().alias("read"))
+    ordered = spread.repartitionByRange(files, "id", "start", "read").sortWithinPartitions("id", "text").select("id", "text")
+    rows = ordered.mapInArrow(lean(_write(tokenizer, end_id, width, segment_ids)), "segment binary")
     # The text writer puts a string's bytes down as they are, and a line's end after them.
     rows.select(F.col("segment").cast("string")).write.text(path)
     return path
@@ -195,7 +207,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     bases = by_part.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("base"))
     offsets = heads.select("part", "number", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0)).alias("inner")).join(bases, "part")
     schema = "part long, number long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    rows = _files(spark, path).mapInArrow(_documents(with_ids), schema)
+    rows = _files(spark, path).mapInArrow(lean(_documents(with_ids)), schema)
     start = (F.col("base") + F.col("inner") + F.col("local")).alias("start")
     offsets = cut(offsets)
     if offsets.count() <= BROADCAST_SEGMENTS:
