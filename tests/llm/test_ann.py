@@ -58,3 +58,35 @@ def test_recall_with_lists(spark):
 def test_small_tables(spark, rows):
     got = nearest_neighbours(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == ([(0, 1, 1)] if len(rows) == 2 else [])
+
+
+def test_recall_on_the_tables_of_the_driver(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    known = np.array([v for _, v in rows], float)
+    known /= np.sqrt((known * known).sum(axis=1, keepdims=True))
+    ids = np.array([i for i, _ in rows])
+    got = {}
+    for r in nearest_neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = known @ known[q]
+        near = [int(ids[j]) for j in np.lexsort((ids, -score)) if ids[j] != ids[q]][:5]
+        total += len(near)
+        hits += len(got[int(ids[q])] & set(near))
+    assert len(rows) > 400 and hits / total >= 0.9
+
+
+def test_every_length_and_all_digits_of_doubles(spark):
+    rows = [(0, [1e200, 1.0, 0.0]), (1, [1.0, 1e-9, 0.0]), (2, [1.0, 2e-9, 0.0]), (3, [0.0, 1e-300, 0.0]), (50, [1.0, 0.0]), (51, [0.5, 0.5]), (52, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest_neighbours(df).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3)] == [1, 2, 3] and [got[50, k][0] for k in (1, 2)] == [52, 51]
+    assert len(got) == 5 and abs(got[50, 2][1] - 0.5**0.5) < 1e-15
+
+
+def test_clashing_columns_and_shuffle_in_proportion(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(8).astype(np.float32)], "x", 1.0, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string, score double, query long")
+    assert nearest_neighbours(df).columns == ["query_id", "rank", "vec_id", "score"] and nearest_neighbours(df).count() == 18 * 5
