@@ -1,0 +1,36 @@
+"""run() against a brute-force version of all five stages, near copies by the rule that the stages have: five words, a similarity of 0.8."""
+
+import corpus_pipeline
+
+from quire.llm.toxicity import fit
+
+from .test_decontaminate import brute as contaminated
+from .test_near_copies import brute as near
+from .test_packing import check
+from .test_pipeline import SCHEMA, kept_chars, tables  # noqa: F401
+from .test_toxicity import plain_score
+
+
+def test_run_matches_brute_force_by_similarity(spark, tables):  # noqa: F811
+    path, rows, items = tables
+    grammar = fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    clean = [(d, t or "") for d, t, *_ in rows if plain_score(grammar, t or "")[0] < 0.5]
+    once, pairs = near(clean)
+    kept = kept_chars(sorted(once))
+    hit = {r[0] for r in contaminated(kept, items, 10) if r[5]}
+    left = [(d, t) for d, t in kept if d not in hit]
+    assert pairs and 10 < len(left) < len(kept) < len(clean) < len(rows)
+    check(left, corpus_pipeline.run(spark, path).collect(), 2048)
+
+
+def test_stages_lose_no_row_to_shared_ids(spark, tables):  # noqa: F811
+    path, *_ = tables
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, b, "en", "s", 1), (5, a, "en", "s", 2), (5, b, "en", "s", 3), (None, None, None, None, None), (7, "", None, None, 0)]
+    want = {"toxicity": 5, "simhash_near_dup": 4, "suffix_array_dedup": 5, "decontamination": 5}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for parts in (1, 3):
+            docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+            assert stage(spark, docs, path).count() == want[name], name
+    kept = corpus_pipeline.simhash_near_dup(spark, spark.createDataFrame(rows, SCHEMA), path).collect()
+    assert sorted((r.doc_id, r.text[:2]) for r in kept if r.text) == [(3, "b0"), (5, "a0")]
