@@ -14,6 +14,7 @@ from quire.functions import concordance
 from quire.functions.arrow import arrow_function
 from quire.functions.pages import LABEL_VOLUME, composed, label_count, mended, section_of_title
 from quire.functions.text import SPACE, fold, fold_squeezed, strip, text_quality
+from quire.operators.views import digital_editions
 
 TAIL = ("notas_finales", "indice_general", "indice_nombres")
 NO_WORK = (*TAIL, "bibliografia")
@@ -78,9 +79,40 @@ def lines_of(spans: DataFrame) -> DataFrame:
 
 
 def dominant_size(spans: DataFrame, by: list[str]) -> DataFrame:
-    """(by, size): the type that most characters are set in; the larger of equals."""
-    counts = spans.groupBy(*by, F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("n"))
-    return counts.groupBy(*by).agg(F.max_by("size", F.struct("n", "size")).alias("size"))
+    """(by, size): the type that most characters are set in; of equals the one that comes first."""
+    place = F.struct("page", "block", "line", "x0")
+    counts = spans.groupBy(*by, F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("n"), F.min(place).alias("first"))
+    return counts.groupBy(*by).agg(F.min_by("size", F.struct((-F.col("n")).alias("n"), "first")).alias("size"))
+
+
+def text_limit(counts: DataFrame, tails: DataFrame) -> DataFrame:
+    """(doc, limite): the sheets of a volume's text: up to where its tail of notes begins, else all."""
+    return counts.join(tails, "doc", "left").select("doc", F.coalesce("cola", "pages").alias("limite"))
+
+
+def body_size(spans: DataFrame, limits: DataFrame, most: int = 40) -> DataFrame:
+    """(doc, cuerpo_pt, tamanos): the type of the body, measured on 40 sheets from a third of the text on, and how many types they have."""
+    third = F.floor(F.col("limite") / 3)
+    own = spans.join(limits, "doc").where((F.col("page") > third) & (F.col("page") <= F.least(third + most, F.col("limite"))))
+    kinds = own.groupBy("doc").agg(F.countDistinct(F.round("size", 1)).alias("tamanos"))
+    return kinds.join(dominant_size(own, ["doc"]), "doc").select("doc", F.col("size").alias("cuerpo_pt"), "tamanos")
+
+
+def layout_format(pages: DataFrame, lines: DataFrame, boxes: DataFrame, tails: DataFrame) -> DataFrame:
+    """(doc, formato): ebook or impreso.  A converter's editions end most of some forty sheets spread over the volume (pages: doc, pdf, texto) with a
+    page line; others are known by a tail of notes without folios in the margins."""
+    counts = boxes.groupBy("doc").agg(F.max("page").alias("n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 40))
+    sampled = pages.join(counts, "doc").where((F.col("pdf") - 1) % step == 0)
+    foot = digital_editions(sampled.select("doc", "texto")).withColumnRenamed("ebook", "__foot")
+    quarter = F.floor(F.col("n") / 4)
+    edge = lines.join(boxes.select("doc", "page", "height"), ["doc", "page"]).join(counts, "doc").where("y0 < height * 0.09 or y0 > height * 0.91").where(F.col("text").rlike(r"^\d{1,4}$"))
+    place = F.col("page") - 1 - quarter
+    folios = edge.where((place >= 0) & (place < 60) & (place % 3 == 0)).groupBy("doc").agg((F.count("*") >= 4).alias("__folios"))
+    known = counts.join(foot, "doc", "left").join(tails.select("doc", F.lit(True).alias("__tail")), "doc", "left").join(folios, "doc", "left")
+    no = F.lit(False)
+    ebook = F.coalesce("__foot", no) | (F.coalesce("__tail", no) & ~F.coalesce("__folios", no))
+    return known.select("doc", F.when(ebook, "ebook").otherwise("impreso").alias("formato"))
 
 
 def note_threshold(spans: DataFrame) -> DataFrame:
@@ -184,7 +216,7 @@ def repair(pages: DataFrame) -> DataFrame:
     """pages with their letters back in their alphabets; volumes with many Greek labels of figures are repaired as mathematical ones."""
     labels = pages.groupBy("canonico").agg((F.sum(label_count(F.concat_ws("\n", "cuerpo", "notas"))) >= LABEL_VOLUME).alias("__labels"))
     both = pages.join(labels, "canonico")
-    return both.withColumn("cuerpo", mended("cuerpo", "__labels")).withColumn("notas", mended("notas", "__labels")).drop("__labels")
+    return both.withColumns({c: mended(c, "__labels") for c in ("cuerpo", "notas", "obra", "titulo") if c in pages.columns}).drop("__labels")
 
 
 def unfold_notes(pages: DataFrame) -> DataFrame:
@@ -194,16 +226,125 @@ def unfold_notes(pages: DataFrame) -> DataFrame:
     both = pages.join(totals, "canonico")
     over = (F.col("__n") > 0.4 * (F.col("__b") + F.col("__n"))) & (size("notas") > 2 * size("cuerpo"))
     joined = strip(F.concat_ws("\n", "cuerpo", "notas"))
-    return both.withColumn("cuerpo", F.when(over, joined).otherwise(F.col("cuerpo"))).withColumn("notas", F.when(over, "").otherwise(F.col("notas"))).drop("__b", "__n")
+    return both.withColumns({"cuerpo": F.when(over, joined).otherwise(F.col("cuerpo")), "notas": F.when(over, "").otherwise(F.col("notas"))}).drop("__b", "__n")
+
+
+def propagated(pages: DataFrame, sections_: DataFrame) -> DataFrame:
+    """pages with the kind and title of the first section (doc, desde, hasta, tipo, titulo) that holds them, where that differs."""
+    ranges = sections_.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("desde", "hasta", "tipo", "titulo"))).alias("__s"))
+    hit = F.get(F.filter("__s", lambda s: F.col("pdf").between(s["desde"], s["hasta"])), F.lit(0))
+    moved = F.coalesce(hit["tipo"] != F.coalesce("seccion", F.lit("")), F.lit(False))
+    both = pages.join(ranges, pages["canonico"] == ranges["doc"], "left")
+    return both.select(*[F.when(moved, hit[{"seccion": "tipo", "titulo": "titulo"}[c]]).otherwise(F.col(c)).alias(c) if c in ("seccion", "titulo") else F.col(c) for c in pages.columns])
+
+
+def corpus_report(headers: DataFrame, pages: DataFrame, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages repaired, report) of a corpus as it is stored: headers (canonico, paginas_pdf, hojas_texto, formato, desfase_folio, palabras, nombres, secciones,
+    autor) and pages.  Sections are classified anew and handed to the sheets, letters mended, overflowing notes put back, words counted
+    again; the report lists what was mended (reparado) and what can't be (avisos).  expected (canonico, autor_pdf) says whose the file seems to be."""
+    parts = headers.select("canonico", F.posexplode_outer("secciones").alias("k", "s")).where("s is not null").select(F.col("canonico").alias("doc"), "k", "s.desde", "s.hasta", F.col("s.tipo").alias("antes"), "s.titulo").withColumn("tipo", section_of_title("titulo"))
+    changed = parts.groupBy("doc").agg(F.count_if(F.col("tipo") != F.col("antes")).alias("reclasificadas"), F.count("*").alias("n_secciones"))
+    counts = headers.select(F.col("canonico").alias("doc"), F.col("paginas_pdf").alias("pages"))
+    sheets = text_sheets(parts.select("doc", "desde", "hasta", "tipo", "titulo"), counts)
+    placed = propagated(pages, parts.select("doc", "desde", "hasta", "tipo", "titulo"))
+    mended_ = repair(placed)
+    fields = [c for c in ("cuerpo", "notas", "obra", "titulo") if c in placed.columns]
+    before = placed.select("canonico", "pdf", *[F.col(c).alias(f"__{c}") for c in fields])
+    letters = mended_.join(before, ["canonico", "pdf"]).groupBy("canonico").agg(F.sum(sum((F.when(F.col(c) != F.col(f"__{c}"), 1).otherwise(0) for c in fields), F.lit(0))).alias("letras"))
+    done = unfold_notes(mended_)
+    moved = done.join(mended_.select("canonico", "pdf", F.col("notas").alias("__n")), ["canonico", "pdf"]).groupBy("canonico").agg(F.count_if((F.col("notas") == "") & (F.coalesce("__n", F.lit("")) != "")).alias("desbordadas"))
+    words = F.regexp_count(F.coalesce("cuerpo", F.lit("")), F.lit(r"\S+"))
+    counted = done.groupBy("canonico").agg(F.sum(words).alias("palabras_ahora"))
+    named = volume_names(done).select("canonico", F.size("indice_nombres").alias("nombres_ahora"))
+    own = headers.withColumnRenamed("canonico", "doc").join(changed, "doc", "left").join(sheets, "doc", "left").withColumnRenamed("doc", "canonico")
+    for table in (letters, moved, counted, named):
+        own = own.join(table, "canonico", "left")
+    own = own.join(expected, "canonico", "left") if expected is not None else own.withColumn("autor_pdf", F.lit(""))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    say = lambda n, text: F.when(zero(n) > 0, F.concat(zero(n).cast("string"), F.lit(text)))
+    names_now = F.greatest(zero("nombres"), zero("nombres_ahora"))
+    # The messages of the report.
+    mended_list = F.array_compact(F.array(
+        say("reclasificadas", " secciones reclasificadas"),
+        F.when(~F.col("hojas").eqNullSafe(F.col("hojas_texto")), "hojas de texto"),
+        F.when(F.coalesce("formato", F.lit("")) == "", "formato"),
+        say("letras", " bloques con letras recuperadas"),
+        say("desbordadas", " hojas con las notas desbordadas"),
+        F.when(~zero("palabras_ahora").eqNullSafe(F.col("palabras")), "recuento de palabras"),
+        F.when(zero("nombres_ahora") > zero("nombres"), F.concat(F.lit("índice de nombres: "), zero("nombres").cast("string"), F.lit(" → "), zero("nombres_ahora").cast("string"))),
+    ))
+    file_author, author = fold(F.coalesce("autor_pdf", F.lit(""))), fold(F.coalesce("autor", F.lit("")))
+    per_sheet = zero("palabras_ahora") / F.col("hojas")
+    warnings = F.array_compact(F.array(
+        F.when((file_author != "") & (author != "") & ~F.contains(author, file_author) & ~F.contains(file_author, author), "parece guardado en el tomo equivocado"),
+        F.when(zero("n_secciones") <= 1, "sin secciones: el PDF no traía índice interno"),
+        F.when(names_now == 0, "sin índice de nombres"),
+        F.when((F.col("hojas") > 0) & (per_sheet < 180), F.concat(F.lit("poco texto por hoja ("), F.format_string("%.0f", per_sheet), F.lit(" palabras): conviene volver a analizar el PDF"))),
+    ))
+    return done, own.select("canonico", mended_list.alias("reparado"), warnings.alias("avisos"))
+
+
+def volume_difficulties(volumes: DataFrame) -> DataFrame:
+    """(doc, dificultades) of an analysis, in order: volumes has doc, estado, formato, tamanos, veces, nombres, faltan (an array of sheets without text),
+    paginas_pdf, palabras, orden_detectado and orden_elegido."""
+    rescue = F.filter("faltan", lambda p: (p > 3) & (p < F.col("paginas_pdf") - 2))
+    missing, inner = F.size("faltan"), F.size(rescue)
+    share = coverage(F.col("paginas_pdf"), missing)
+    without = F.concat(inner.cast("string"), F.lit(" páginas del PDF no llevan texto ("), F.format_string("%.0f", 100 - share), F.lit(" %): "))
+    digital = F.col("formato") == "ebook"
+    # The messages of an analysis.
+    messages = F.array_compact(F.array(
+        F.when(F.col("tamanos") < 2, "no se distinguen las notas al pie: van con el mismo tamaño de letra que el texto"),
+        F.when(digital, "es una edición digital (EPUB pasado a PDF): no lleva la página del papel, así que se cita por obra, sección y número de verso"),
+        F.when(F.col("estado") == "ocr_sucio", "el texto viene de un reconocimiento óptico con muchos errores: las búsquedas literales fallarán a menudo").when(F.col("estado") == "ocr_bueno", "el texto viene de un reconocimiento óptico: puede tener erratas sueltas"),
+        F.when(F.col("nombres") == 0, F.concat(F.lit("no se ha encontrado índice de nombres: se podrá buscar en el texto, pero sin la concordancia del traductor"), F.when(digital, " (las ediciones digitales suelen suprimirlo; no es cosa de esta copia)").otherwise(""))),
+        F.when((inner > 0) & (share >= 75.0), F.concat(without, F.lit("se pueden reconocer aparte"))).when(inner > 0, F.concat(without, F.lit("faltan demasiadas, mejor buscar otra copia"))).when(missing > 0, F.concat(missing.cast("string"), F.lit(" hojas son solo imagen (cubierta o láminas): no hay texto que perder"))),
+        F.when(F.col("palabras") < 20_000, F.concat(F.lit("muy poco texto para un tomo ("), F.replace(F.format_number(F.col("palabras"), 0), F.lit(","), F.lit(".")), F.lit(" palabras): puede estar incompleto"))),
+        F.when(F.col("orden_detectado") != F.col("orden_elegido"), F.concat(F.lit("por el nombre, este PDF parece el tomo "), F.col("orden_detectado").cast("string"), F.lit(", no el que has elegido"))),
+    ))
+    image = F.array(F.lit("es un escaneo: no contiene texto, solo imágenes"))
+    return volumes.select("doc", F.when(F.col("estado") == "sin_texto", image).otherwise(messages).alias("dificultades"))
+
+
+def summary(volumes: DataFrame) -> DataFrame:
+    """(doc, resumen): the lines that tell a reader what an analysis found.  volumes has doc, estado, formato, legibilidad, palabras, paginas_pdf, hojas_texto,
+    paginas_impresas, n_secciones, nombres, obras (array), faltan (array), reconocidas, desfase."""
+    thousands = lambda c: F.replace(F.format_number(c, 0), F.lit(","), F.lit("."))
+    notes = F.col("paginas_pdf") - F.col("hojas_texto")
+    rescue = F.size(F.filter("faltan", lambda p: (p > 3) & (p < F.col("paginas_pdf") - 2)))
+    share = coverage(F.col("paginas_pdf"), F.size("faltan"))
+    works = F.concat(F.lit("Obras del volumen: "), F.size("obras").cast("string"), F.lit(" — "), F.array_join(F.transform(F.slice("obras", 1, 4), lambda o: F.substring(o, 1, 28)), ", "), F.when(F.size("obras") > 4, "…").otherwise(""))
+    digital = F.col("formato") == "ebook"
+    # The lines.
+    first = F.when(digital, F.concat(F.lit("Hojas del PDF: "), thousands("paginas_pdf"), F.lit(" ("), F.col("hojas_texto").cast("string"), F.lit(" de texto"), F.when(notes > 0, F.concat(F.lit(" y "), thousands(notes), F.lit(" de notas finales)"))).otherwise(")"))).otherwise(F.concat(F.lit("Páginas: "), F.col("paginas_pdf").cast("string")))
+    lines = F.concat_ws(
+        "\n",
+        first,
+        F.when(F.size("obras") > 0, works),
+        F.when(digital & (F.col("paginas_impresas") > 0), F.concat(F.lit("El tomo en papel tiene "), F.col("paginas_impresas").cast("string"), F.lit(" páginas; esta edición digital no las conserva"))),
+        F.concat(F.lit("Palabras extraídas: "), thousands("palabras")),
+        F.concat(F.lit("Calidad del texto: "), F.replace(F.col("estado"), F.lit("_"), F.lit(" ")), F.lit(" ("), F.format_string("%.0f", F.col("legibilidad")), F.lit(" % de palabras reconocidas)")),
+        F.concat(F.lit("Secciones detectadas: "), F.col("n_secciones").cast("string")),
+        F.concat(F.lit("Nombres del índice: "), F.col("nombres").cast("string")),
+        F.when(rescue > 0, F.concat(F.lit("Páginas sin reconocer: "), rescue.cast("string"), F.lit(" ("), F.format_string("%.0f", 100 - share), F.lit(" %)"))).when(F.size("faltan") > 0, F.concat(F.lit("Hojas que son solo imagen: "), F.size("faltan").cast("string"), F.lit(" (cubierta o láminas)"))),
+        F.when(F.col("reconocidas") > 0, F.concat(F.lit("Reconocidas con OCR: "), F.col("reconocidas").cast("string"))),
+        F.when(F.col("desfase") == 0, "La página impresa coincide con la del PDF").when(F.col("desfase").isNotNull(), F.concat(F.lit("Página impresa = página del PDF "), F.when(F.col("desfase") > 0, "menos ").otherwise("más "), F.abs("desfase").cast("string"))),
+    )
+    # Fixed value: what is said of a scan.
+    image = "Este PDF es un ESCANEO: no lleva texto dentro, solo imágenes de las páginas.\n\nNo se puede indexar tal cual: busca otra copia en la que se pueda seleccionar el texto."
+    return volumes.select("doc", F.when(F.col("estado") == "sin_texto", image).otherwise(lines).alias("resumen"))
 
 
 def volume_totals(pages: DataFrame) -> DataFrame:
     """(canonico, hojas, palabras, cuerpo, notas, exceso, estado, legible): sizes of a volume and how well its text reads."""
     words = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+"))
     size = lambda c: F.length(F.coalesce(c, F.lit("")))
-    sample = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-size("cuerpo")).alias("n"), "pdf", "cuerpo"))), 1, 25), lambda s: F.coalesce(s["cuerpo"], F.lit(""))), "\n")
-    sums = pages.groupBy("canonico").agg(F.count("*").alias("hojas"), F.sum(words("cuerpo") + words("notas")).alias("palabras"), F.sum(size("cuerpo")).alias("cuerpo"), F.sum(size("notas")).alias("notas"), sample.alias("__sample"))
-    judged = sums.withColumn("__q", text_quality(F.col("__sample")))
+    sums = pages.groupBy("canonico").agg(F.count("*").alias("hojas"), F.sum(words("cuerpo") + words("notas")).alias("palabras"), F.sum(size("cuerpo")).alias("cuerpo"), F.sum(size("notas")).alias("notas"))
+    # The quality is that of the 25 longest bodies; only those are gathered.
+    longest = Window.partitionBy("canonico").orderBy(F.desc("n"), "pdf")
+    most = pages.select("canonico", "pdf", size("cuerpo").alias("n"), "cuerpo").withColumn("turn", F.row_number().over(longest)).where("turn <= 25")
+    sample = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("cuerpo", F.lit("")).alias("t")))), lambda s: s["t"]), "\n")
+    judged = sums.join(most.groupBy("canonico").agg(sample.alias("__sample")), "canonico").withColumn("__q", text_quality(F.col("__sample")))
     share = F.when(F.col("cuerpo") + F.col("notas") > 0, F.col("notas") / (F.col("cuerpo") + F.col("notas"))).otherwise(0.0)
     return judged.select("canonico", "hojas", "palabras", "cuerpo", "notas", share.alias("exceso"), F.col("__q.state").alias("estado"), F.col("__q.legible").alias("legible"))
 

@@ -1,8 +1,8 @@
 """Entity resolution: advertisement titles to catalogue volumes.
 
-The catalogue is small (hundreds of volumes); its size is checked, and it goes to every task as a matcher.  The matcher only
-scores volumes whose author occurs in the title, found by one pass over the catalogue's distinct author words.  Titles are never
-shuffled.
+The catalogue goes to every task as a matcher, in shares of at most MOST_VOLUMES volumes; the best of all shares counts.  The matcher only
+scores volumes whose author occurs in the title: one automaton over the catalogue's distinct author words finds them in a single
+pass over the title, however many there are.  Titles are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,12 +191,17 @@ class Matcher:
     def __init__(self, rows: list[dict]) -> None:
         self.volumes = [Volume.of(i, r) for i, r in enumerate(rows)]
         self.by_order: dict[int, int] = {}
-        self.by_word: dict[str, list[int]] = {}
+        by_word: dict[str, list[int]] = {}
         for v in self.volumes:
             if v.order is not None:
                 self.by_order.setdefault(v.order, v.place)
             for w in set(v.author_words):
-                self.by_word.setdefault(w, []).append(v.place)
+                by_word.setdefault(w, []).append(v.place)
+        self.authors = ahocorasick.Automaton()
+        for w, places in by_word.items():
+            self.authors.add_word(w, places)
+        if by_word:
+            self.authors.make_automaton()
 
     def score(self, volume: Volume, title: str, plain: str | None = None) -> float:
         """Author words, words of the work, their order, likeness of the whole, and the volume's number."""
@@ -223,32 +229,36 @@ class Matcher:
         found = re.search(SERIES_NUMBER, plain)
         if found and int(found.group(1)) in self.by_order:
             return self.by_order[int(found.group(1))], CERTAIN
-        near = sorted({p for w, places in self.by_word.items() if w in plain for p in places})
+        near = sorted({p for _, places in self.authors.iter(plain) for p in places}) if len(self.authors) else []
         scored = [(self.score(self.volumes[p], title, plain), -p) for p in near]
         best = max(scored, default=(0.0, 0))
         return (-best[1], best[0]) if best[0] >= THRESHOLD else None
 
 
-def catalogue_rows(catalogue: DataFrame, row: str = "fila") -> list[dict]:
-    """The catalogue on the driver, in its order; refuses one too large to go to every task."""
-    rows = [r.asDict() for r in catalogue.select("autor", "obras", "notas", "orden", row).orderBy(row).limit(MOST_VOLUMES + 1).collect()]
-    if len(rows) > MOST_VOLUMES:
-        raise ValueError(f"a catalogue has {MOST_VOLUMES} volumes at most")
-    return rows
-
-
-def resolve(titles: DataFrame, catalogue: DataFrame, title_col: str = "titulo", row: str = "fila") -> DataFrame:
+def resolve(titles: DataFrame, catalogue: DataFrame, title_col: str = "titulo", row: str = "fila", most: int = MOST_VOLUMES) -> DataFrame:
     """titles with the catalogue row (`fila`) of their volume and its score; both null without one."""
-    rows = catalogue_rows(catalogue, row)
-    shared = titles.sparkSession.sparkContext.broadcast((Matcher(rows), [r[row] for r in rows]))
-
+    own = catalogue.select("autor", "obras", "notas", "orden", row)
+    shares = max(1, -(-own.count() // most))
+    found, out = [], titles
+    for k in range(shares):
+        part = own if shares == 1 else own.where(F.pmod(F.xxhash64(row), F.lit(shares)) == k)
+        rows = [r.asDict() for r in part.orderBy(row).collect()]  # about `most` volumes
+        shared = titles.sparkSession.sparkContext.broadcast((Matcher(rows), [r[row] for r in rows]))
+        out = out.withColumn(f"__m{k}", _matched(shared)(F.col(title_col)))
+        found.append(F.col(f"__m{k}"))
+    # The best score; of equals the volume earlier in the catalogue.
+    best = F.get(F.array_sort(F.filter(F.transform(F.array(*found), lambda m: F.struct((-m["puntos"]).alias("n"), m["fila"].alias("fila"))), lambda m: m["fila"].isNotNull())), F.lit(0))
+    return out.select(*titles.columns, best["fila"].alias("fila"), (-best["n"]).alias("puntos"))
+
+
+def _matched(shared):
     @F.pandas_udf("struct<fila: long, puntos: double>")
     def found(column: pd.Series) -> pd.DataFrame:
         matcher, places = shared.value
         hits = [matcher.match(t) for t in column]
         return pd.DataFrame({"fila": pd.array([places[h[0]] if h else None for h in hits], "Int64"), "puntos": [h[1] if h else None for h in hits]})
 
-    return titles.withColumn("__m", found(F.col(title_col))).select(*titles.columns, F.col("__m.fila").alias("fila"), F.col("__m.puntos").alias("puntos"))
+    return found
 
 
 SEGMENTS = r"[\n\r;|•·]+"
@@ -258,6 +268,6 @@ def resolve_many(texts: DataFrame, catalogue: DataFrame, id_col: str, text_col:
     """(id, orden, fila): every volume that a listing's text names, one an order: the last named."""
     pieces = texts.select(id_col, F.posexplode(F.slice(F.filter(F.transform(F.split(text_col, SEGMENTS), strip), lambda s: s != ""), 1, most)).alias("place", "segmento")).where("length(segmento) >= 8")
     found = resolve(pieces, catalogue, "segmento", row).where("fila is not null")
-    orders = F.broadcast(catalogue.select(F.col(row).alias("fila"), "orden"))  # checked by resolve
+    orders = catalogue.select(F.col(row).alias("fila"), "orden")
     return found.join(orders, "fila").groupBy(id_col, "orden").agg(F.max_by("fila", "place").alias("fila"))
 

@@ -8,11 +8,16 @@ passage the set of pieces it has, from which document frequencies, relaxation an
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +42,7 @@ SECTION_WEIGHT = {
 LENGTH_WEIGHT = ((12, 0.40), (30, 0.65), (60, 0.88))
 WITHOUT_FOOTNOTES = ("indice_nombres", "indice_general")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+PASSAGES_A_FILE = 2_000_000
 
 
 def _lookup(key: Column, table: dict, default) -> Column:
@@ -47,16 +53,20 @@ def _lookup(key: Column, table: dict, default) -> Column:
 
 
 def chunks(text: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
-    """Passages of `window` words, each sharing `overlap` with the next; separators inside stay as they are."""
+    """Passages of `window` words, each sharing `overlap` with the next; separators inside stay as they are.
+
+    A text is cut into units of as many words as divide window and step, so a passage is a run of a few units."""
     step = max(1, window - overlap)
+    unit = math.gcd(window, step)
+    length, stride = window // unit, step // unit
 
-    def cut(clean: Column, words: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil((F.size(words) - window) / F.lit(float(step)))).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(words, i * step + 1, window), "")))
-        return F.when(clean == "", F.array().cast("array<string>")).when(F.size(words) <= window, F.array(clean)).otherwise(parts)
+    def cut(clean: Column, units: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(units) - length) / F.lit(float(stride)))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.array_join(F.slice(units, i * stride + 1, length), "")))
+        return F.when(clean == "", F.array().cast("array<string>")).when(F.size(units) <= length, F.array(clean)).otherwise(parts)
 
-    split = lambda t: F.regexp_extract_all(t, F.lit(f"({NOT_SPACE}+{SPACE}*)"), F.lit(1))
-    return let(strip(F.coalesce(text, F.lit(""))), lambda t: let(split(t), lambda w: cut(t, w)))
+    split = lambda t: F.regexp_extract_all(t, F.lit(f"((?:{NOT_SPACE}++{SPACE}*+){{1,{unit}}})"), F.lit(1))
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: let(split(t), lambda u: cut(t, u)))
 
 
 def section_class(section: Column, preliminary: Column | None = None) -> Column:
@@ -81,15 +91,38 @@ def tokenized(texts: DataFrame, id_col: str = "id", text: Column | None = None)
     return texts.select(F.col(id_col).alias("id"), search_tokens(text if text is not None else F.coalesce("busqueda", "texto")).alias("tokens"))
 
 
-def _spots(tokens: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """(term, id, tf, positions) of the tokens, or of the wanted array of them: no shuffle, one row for each term of a passage."""
-    terms = wanted if wanted is not None else F.array_distinct("tokens")
-    spots = F.transform(terms, lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions")))
+def _spots(tokens: DataFrame, wanted: Column) -> DataFrame:
+    """(term, id, tf, positions) of an array of a few terms in the tokens: no shuffle, one row for each term of a passage."""
+    spots = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions")))
     return tokens.select("id", F.explode(spots).alias("s")).select(F.col("s.term").alias("term"), "id", F.size("s.positions").alias("tf"), F.col("s.positions").alias("positions"))
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages (id, tokens) turned to (term, id, tf, positions): one sort of each batch's tokens by passage and term."""
+    for batch in batches:
+        lists = batch.column(1)
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        code = np.asarray(words.indices).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = row * max(1, len(words.dictionary)) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        terms = words.dictionary.take(pa.array(code[order][first]))
+        tf = np.diff(np.append(first, len(order)))
+        spots = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), batch.column(0).take(pa.array(row[order][first])), pa.array(tf, pa.int32()), spots], ["term", "id", "tf", "positions"])
+
+
+def _all_spots(tokens: DataFrame) -> DataFrame:
+    """(term, id, tf, positions) of all terms: linear in the tokens and without a shuffle, which no native expression is."""
+    kind = tokens.schema["id"].dataType.simpleString()
+    return tokens.select("id", "tokens").mapInArrow(_inverted, f"term string, id {kind}, tf int, positions array<int>")
+
+
 def postings(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
-    return _spots(tokenized(texts, id_col, text))
+    return _all_spots(tokenized(texts, id_col, text))
 
 
 def term_filter(term: Column, terms: list[str], prefixes: list[str]) -> Column:
@@ -111,6 +144,7 @@ class Index:
     mean_length: float
     tokens: DataFrame | None = None
     table: DataFrame | None = None
+    parts: int = 0
 
     @staticmethod
     def build(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
@@ -118,30 +152,41 @@ class Index:
         own = tokens.select("id", F.size("tokens").alias("dl")).persist()  # sixteen bytes a passage; every query needs it
         return Index(own, *Index._numbers(own), tokens=tokens)
 
+    def close(self) -> None:
+        """Give back what build() keeps in memory."""
+        self.lengths.unpersist()
+
     @staticmethod
     def _numbers(own: DataFrame) -> tuple[int, float]:
         total = own.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()[0]
         return total["n"], total["mean"] or 1.0
 
     def store(self, path: str, parts: int = 64) -> Index:
-        """Write postings and lengths below path, postings by a hash of the term, so that a query reads a few parts."""
+        """Write postings and lengths below path, postings by a hash of the term, so that a query reads a few parts.
+
+        A part may be several files, by a hash of the passage: a term that a third of all passages have isn't one task's work."""
         rows = self.postings().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        rows.repartition("part").sortWithinPartitions("part", "term", "id").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        files = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-self.passages // PASSAGES_A_FILE))))
+        rows.repartition("part", files).sortWithinPartitions("part", "term", "id").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         return Index.load(self.lengths.sparkSession, path, parts)
 
     @staticmethod
     def load(spark, path: str, parts: int = 64) -> Index:
         own = spark.read.parquet(f"{path}/lengths")
-        return Index(own, *Index._numbers(own), table=spark.read.parquet(f"{path}/postings"))
+        return Index(own, *Index._numbers(own), table=spark.read.parquet(f"{path}/postings"), parts=parts)
 
     def postings(self) -> DataFrame:
-        return self.table if self.table is not None else _spots(self.tokens)
+        return self.table if self.table is not None else _all_spots(self.tokens)
 
     def find(self, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
         """Postings of some terms and of all that start with some prefixes."""
         if self.table is not None:
-            return self.table.where(term_filter(F.col("term"), terms, list(prefixes)))
+            own = self.table.where(term_filter(F.col("term"), terms, list(prefixes)))
+            if prefixes or not terms or not self.parts:
+                return own
+            # Constant expressions, folded before the scan: only the parts of the terms are listed.
+            return own.where(F.col("part").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.parts)).cast("int") for t in terms]))
         return _spots(self.tokens, F.filter(F.array_distinct("tokens"), lambda t: term_filter(t, terms, list(prefixes))))
 
 
@@ -283,7 +328,9 @@ def relax(query: str, own: list[Piece], sets: dict[frozenset[int], int]) -> Plan
 def plan(index: Index, query: str) -> tuple[Plan, DataFrame]:
     """The relaxed plan of a query and its pieces' hits.  What comes to the driver is one count for each set of pieces."""
     own = pieces(query)
-    hits = piece_hits(index, own).persist()  # only the query's terms
+    hits = piece_hits(index, own)
+    if index.table is None:
+        hits = hits.persist()  # only the query's terms; a stored index reads them again
     by_set = hits.groupBy("id").agg(F.sort_array(F.collect_set("piece")).alias("have")).groupBy("have").count().collect() if own else []
     return relax(query, own, {frozenset(r["have"]): r["count"] for r in by_set}), hits
 
@@ -507,6 +554,23 @@ def passage_of_the_day(table: DataFrame, names: DataFrame, date: str) -> DataFra
     return table.where(F.col("id") == turned[0])
 
 
+def sticky_passage(table: DataFrame, names: DataFrame, meta: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:
+    """(passage, meta): the day's passage, the same all day.  What was thrown is kept in meta (clave, valor); it is thrown again where that is of another day or
+    its passage is gone."""
+    key = "pasaje_del_dia"
+    stored = meta.where(F.col("clave") == key).select(F.get_json_object("valor", "$.fecha").alias("fecha"), F.get_json_object("valor", "$.id").try_cast("bigint").alias("id")).head()
+    if stored is not None and stored["fecha"] == date and stored["id"] is not None:
+        own = table.where(F.col("id") == stored["id"])
+        if not own.isEmpty():
+            return own, meta
+    chosen = passage_of_the_day(table, names, date)
+    row = chosen.select("id").head()
+    if row is None:
+        return chosen, meta
+    value = json.dumps({"fecha": date, "id": row["id"]})
+    return chosen, meta.where(F.col("clave") != key).unionByName(meta.sparkSession.createDataFrame([(key, value)], "clave string, valor string"))
+
+
 # --- editor's preliminaries -------------------------------------------------------------------------------------------
 
 # Headings of front matter.

@@ -7,6 +7,8 @@ window is used only where every row of a series is returned.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,16 +73,40 @@ def history_page(history: DataFrame, limit: int = 200, state: str | None = None)
 
 
 def history_order(mode: str) -> list[Column]:
-    """The five orders of the alert list; missing numbers go last, ties by newest."""
+    """The orders of the alert list; missing numbers go last, ties by newest."""
     return {
         "newest": [F.desc("id")],
         "oldest": [F.asc("id")],
         "discount": [F.desc_nulls_last("descuento"), F.desc("id")],
+        "least discount": [F.asc_nulls_last("descuento"), F.desc("id")],
         "cheapest": [F.asc_nulls_last("precio_new"), F.desc("id")],
+        "dearest": [F.desc_nulls_last("precio_new"), F.desc("id")],
         "title": [fold(F.col("titulo")).asc_nulls_last(), F.desc("id")],
     }[mode]
 
 
+def price_order(mode: str) -> list[Column]:
+    """The orders of a list of series (last_id, ultimo): as stored (newest first), by the last price; without one it counts as -1."""
+    price = F.coalesce("ultimo", F.lit(-1.0))
+    return {"stored": [F.desc("last_id")], "dearest": [price.desc(), F.desc("last_id")], "cheapest": [price.asc(), F.desc("last_id")]}[mode]
+
+
+def collection_order(mode: str) -> list[Column]:
+    """The orders of the collection: by number, or those that are owned or wished first."""
+    number = [F.asc_nulls_last("orden"), F.asc("fila")]
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).desc()
+    return {"number": number, "owned": [flag("poseido"), *number], "wished": [flag("deseado"), *number]}[mode]
+
+
+def daily_summary(history: DataFrame, meta: DataFrame, day: str, clock: str, at: str = "21:00") -> tuple[DataFrame, DataFrame]:
+    """(summary to send, meta) of the day (yyyy-MM-dd): at most once a day, not before `at`, and none for a day without alerts."""
+    key = "last_summary_date"
+    if clock < at or not meta.where((F.col("clave") == key) & (F.col("valor") == day)).isEmpty():
+        return day_summary(history.limit(0)), meta
+    done = meta.where(F.col("clave") != key).unionByName(meta.sparkSession.createDataFrame([(key, day)], "clave string, valor string"))
+    return day_summary(history.where(F.to_date("fecha") == day)).where("notificados + ignorados + lotes > 0"), done
+
+
 def last_alerts(history: DataFrame, title: str, look_back: int = 500, limit: int = 3) -> DataFrame:
     """The newest alerts of a title among the newest look_back of all."""
     return history.orderBy(F.desc("id")).limit(look_back).where(F.col("titulo") == title).orderBy(F.desc("id")).limit(limit)
@@ -222,6 +248,37 @@ def mark_sold(table: DataFrame, ids: DataFrame) -> DataFrame:
     return hit.withColumn("vendido", F.coalesce("__sold", "vendido", F.lit(False))).withColumn("ultimo_precio", F.when(F.col("__sold"), F.lit(None)).otherwise(F.col("ultimo_precio"))).select(table.columns)
 
 
+def remove_watched(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """A watch list without the rows whose id is in ids."""
+    return table.join(ids.select("id"), "id", "left_anti")
+
+
+def update_watched(table: DataFrame, prices: DataFrame) -> DataFrame:
+    """A watch list after prices (id, precio, fecha): the last price, null too, and when it was looked at."""
+    new = prices.select("id", F.col("precio").alias("__precio"), F.col("fecha").alias("__fecha"), F.lit(True).alias("__seen"))
+    both = table.join(new, "id", "left")
+    taken = {"ultimo_precio": "__precio", "ultima_revision": "__fecha"}
+    return both.select(*[F.when(F.col("__seen"), F.col(taken[c])).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in table.columns])
+
+
+def watched_of(links: DataFrame, catalogue: DataFrame, key: str, row: str = "fila") -> DataFrame:
+    """The links of one volume, by its number or else by its order, in order of id."""
+    named = catalogue.where(F.col("numero") == key).select("numero").unionByName(first_number(catalogue, row).where(F.col("orden").cast("string") == key).select("numero"))
+    own = named.withColumn("rank", (F.col("numero") != key).cast("int")).groupBy().agg(F.min_by("numero", "rank").alias("__numero"))
+    return links.join(F.broadcast(own), links["numero"] == own["__numero"], "left_semi").orderBy("id")
+
+
+def known(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of batch that table already has by keys: existence only, nothing of table is read but its keys."""
+    return batch.join(table.select(*keys), keys, "left_semi")
+
+
+def append_if_changed(points: DataFrame, seen: DataFrame, least: float = 0.01) -> DataFrame:
+    """The rows of seen (clave, precio, ...) whose price differs from the last of their series, or whose series has none."""
+    last = last_prices(points).withColumnRenamed("ultimo", "__last")
+    return seen.join(last, "clave", "left").where(F.col("__last").isNull() | (F.abs(F.col("precio") - F.col("__last")) >= least)).drop("__last")
+
+
 def lots_without_points(series: DataFrame, lots: DataFrame) -> DataFrame:
     """Series of lots, and watched lots that have none yet with no points."""
     own = lots.select(lot_key(F.col("titulo")).alias("clave"), "titulo").dropDuplicates(["clave"])
@@ -237,16 +294,23 @@ def set_thresholds(rows: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def thresholds_for(titles: DataFrame, thresholds: DataFrame, title_col: str = "titulo", most: int = 10_000) -> DataFrame:
-    """titles with the percentage of the longest pattern in them, null without one.  The table of patterns is small by nature; its size is
-    checked before it is broadcast."""
-    patterns = thresholds.select(fold(F.col("patron")).alias("__pattern"), "porcentaje").where("__pattern <> ''")
-    if patterns.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} patterns")
-    # A bounded list of patterns is one array next to every title: no nested loop join.
-    best = patterns.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.length("__pattern")).alias("n"), F.col("__pattern").alias("p"), "porcentaje"))).alias("__all"))
-    joined = titles.join(F.broadcast(best))
-    hit = let(fold(F.col(title_col)), lambda t: F.get(F.filter("__all", lambda x: F.contains(t, x["p"])), F.lit(0)))
-    return joined.select(*titles.columns, hit["porcentaje"].alias("porcentaje"))
+    """titles with the percentage of the longest pattern in them, null without one.  Patterns are taken in shares of about `most`, each looked for in one
+    pass over the titles, so any number will do and no title is shuffled."""
+    patterns = thresholds.select(fold(F.col("patron")).alias("p"), F.col("porcentaje").cast("double").alias("q")).where("p <> ''")
+    shares = max(1, -(-patterns.count() // most))
+    plain = titles.withColumn("__t", fold(F.col(title_col)))
+    found = []
+    for k in range(shares):
+        own = patterns if shares == 1 else patterns.where(F.pmod(F.xxhash64("p"), F.lit(shares)) == k)
+        # At most about `most` patterns come to the driver and go out as one sorted array, the longest first: no join.
+        rows = sorted((-len(r["p"]), r["p"], r["q"]) for r in own.collect() if r["q"] is not None)
+        if rows:
+            every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(q).alias("q")) for n, p, q in rows]) if len(rows) <= 200 else F.from_json(F.lit(json.dumps([{"n": n, "p": p, "q": q} for n, p, q in rows])), "array<struct<n: int, p: string, q: double>>")
+            plain = plain.withColumn(f"__h{k}", F.get(F.filter(every, lambda x: F.contains(F.col("__t"), x["p"])), F.lit(0)))
+            found.append(F.col(f"__h{k}"))
+    if not found:
+        return titles.withColumn("porcentaje", F.lit(None).cast("double"))
+    return plain.select(*titles.columns, F.get(F.array_sort(F.array_compact(F.array(*found))), F.lit(0))["q"].alias("porcentaje"))
 
 
 def put_meta(meta: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:

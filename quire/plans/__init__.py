@@ -1,6 +1,7 @@
 """Registered queries and their SQL."""
 
-from quire.plans import corpus_queries, search_queries, store_queries
+from quire.plans import corpus_queries, page_queries, search_queries, source_queries, store_queries
 
-QUERIES = {**store_queries.QUERIES, **search_queries.QUERIES, **corpus_queries.QUERIES}
-SQL = {**store_queries.SQL, **search_queries.SQL, **corpus_queries.SQL}
+_MODULES = (store_queries, search_queries, corpus_queries, source_queries, page_queries)
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

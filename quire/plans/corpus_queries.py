@@ -108,8 +108,8 @@ def _spans(spark, sf) -> DataFrame:
     return read(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("doc"), (F.col("l_orderkey") % 300).cast("int").alias("page"), F.col("l_linenumber").cast("int").alias("block"), F.lit(0).alias("line"), F.lit(40.0).alias("x0"), (F.col("l_linenumber") * 90.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(0.0).alias("y1"), (8 + F.col("l_linenumber") % 3).cast("double").alias("size"), F.concat(F.lit("texto "), F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus")).alias("text"))
 
 
-@query("""WITH s AS (SELECT CAST(l_suppkey % 20 AS VARCHAR) AS doc, round(CAST(8 + l_linenumber % 3 AS DOUBLE), 1) AS size, sum(length('texto ' || l_returnflag || ' ' || l_linestatus)) AS n FROM lineitem GROUP BY 1, 2)
-SELECT doc, first(size ORDER BY n DESC, size DESC) AS size FROM s GROUP BY doc""")
+@query("""WITH s AS (SELECT CAST(l_suppkey % 20 AS VARCHAR) AS doc, round(CAST(8 + l_linenumber % 3 AS DOUBLE), 1) AS size, sum(length('texto ' || l_returnflag || ' ' || l_linestatus)) AS n, min((l_orderkey % 300) * 100 + l_linenumber) AS f FROM lineitem GROUP BY 1, 2)
+SELECT doc, first(size ORDER BY n DESC, f) AS size FROM s GROUP BY doc""")
 def dominant_size(spark, sf):
     return K.dominant_size(_spans(spark, sf), ["doc"])
 

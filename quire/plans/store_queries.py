@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if table in TEXTS:
         # A small table in one file is one split; its texts are dealt to all cores.  Large tables have splits enough.
         cores = spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:
+        if len(rows.inputFiles()) < cores:
             return rows.repartition(cores)
     return rows
 
@@ -383,7 +383,7 @@ def price_format(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", T.format_price(F.col("l_quantity")).alias("cantidad"), T.format_price(F.col("p")).alias("precio"))
 
 
-@query(f"SELECT {_KEY}, contains(lower('{'x' * 5}'), 'q') OR l_linenumber % 3 = 0 AS aviso FROM lineitem")
+@query(f"SELECT {_KEY}, l_linenumber % 3 = 0 AS aviso FROM lineitem")
 def relevance(spark, sf):
     subject = F.when(F.col("l_linenumber") % 3 == 0, "Bajada de precio en tu artículo").when(F.col("l_linenumber") % 3 == 1, "Haz una oferta: descuento").otherwise("Diálogos II")
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.price_alert(subject, F.lit("60 % de coleccionistas")).alias("aviso"))
@@ -393,7 +393,7 @@ def relevance(spark, sf):
 def listing_state(spark, sf):
     k = F.col("l_linenumber") % 4
     page = F.when(k == 0, '"availability":"https://schema.org/SoldOut"').when(k == 1, '<link itemprop="availability" href="https://schema.org/InStock">').otherwise("<p>nada</p>")
-    own = F.when(k == 2, "Este artículo ya no está disponible").otherwise("artículo vendido" if False else "en venta")
+    own = F.when(k == 2, "Este artículo ya no está disponible").otherwise("en venta")
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.availability(page).alias("estado"), T.listing_sold(page, own).alias("vendido"))
 
 

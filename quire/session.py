@@ -1,9 +1,12 @@
-"""Making the package known to the workers of a session."""
+"""What a session needs: the package on its workers, and a folder that all of them share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +28,21 @@ def ship(spark: SparkSession) -> None:
             out.write(f, f.relative_to(_ROOT))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the folder that spark.checkpoint.dir names.  Only a session on one machine may go without: then it is a temporary folder that the
+    process removes."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        named = _LOCAL[app]
+    return f"{named.rstrip('/')}/quire-{label}-{uuid.uuid4().hex}"
