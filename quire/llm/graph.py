@@ -42,4 +42,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = cut(new.join(jump, "low").select("node", F.least("low", "far").alias("next"), "root"))
         labels = step.select("node", F.col("next").alias("root"))
         if step.where("next <> root").isEmpty():
+            links.sparkSession._jvm.System.gc()  # shuffles and broadcasts of the rounds go when the driver's references to them do
             return labels
