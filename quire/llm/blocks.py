@@ -20,8 +20,6 @@ from quire.llm.storage import fresh_path, partitions
 
 BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, size long, words long, ids binary, known binary, lens binary, body binary"
-#: Blocks of a task that follow each other into one bucket, and so into one file.
-RUN_BLOCKS = 8
 #: Text that a bucket of digests answers for, about.
 BUCKET_BYTES = 16 << 20
 
@@ -89,8 +87,8 @@ def spark_hash(value: int, seed: int = 42) -> int:
 
 
 def block_id(part: int, seq: int, buckets: int) -> int:
-    """An id of its own for a task's block, so chosen that RUN_BLOCKS blocks in turn are dealt to one bucket."""
-    wanted = (part + seq // RUN_BLOCKS) % buckets
+    """An id of its own for a task's block, so chosen that a task's blocks are dealt to one bucket after the other."""
+    wanted = (part + seq) % buckets
     own = (part << 36) + (seq << 20)
     return next(own + k for k in range(1 << 20) if spark_hash(own + k) % buckets == wanted)
 

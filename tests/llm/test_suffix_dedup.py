@@ -3,6 +3,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quire.llm.blocks import block_id, spark_hash
 from quire.llm.suffix_dedup import digest, suffix_dedup
 
 
@@ -68,3 +71,13 @@ def test_whole_characters_stay_valid(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for row in suffix_dedup(df, 21, whole_chars=True).collect():
         bytes(row.kept).decode()
+
+
+def test_blocks_are_dealt_evenly(spark):
+    values = [0, 1, -1, 7 << 40, (3 << 36) + (5 << 20), -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.hash("v").alias("h")).collect()
+    assert [spark_hash(r.v) for r in rows] == [r.h for r in rows]
+    for buckets in (1, 4, 51):
+        dealt = [spark_hash(block_id(part, seq, buckets)) % buckets for part in range(6) for seq in range(40)]
+        counts = [dealt.count(b) for b in range(buckets)]
+        assert max(counts) - min(counts) <= 6 and len({block_id(p, s, buckets) for p in range(6) for s in range(40)}) == 240
