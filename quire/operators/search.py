@@ -83,7 +83,7 @@ def passages(pages: DataFrame, keep: list[str], preliminary: str | None = None)
     parts = F.when(one_list, F.array(F.struct(own.alias("clase"), both.alias("raw")))).otherwise(F.array(F.struct(own.alias("clase"), body.alias("raw")), F.struct(F.lit(NOTES).alias("clase"), notes.alias("raw"))))
     exploded = pages.select(*keep, "seccion", F.explode(parts).alias("part"))
     cut = exploded.select(*keep, "seccion", F.col("part.clase").alias("clase"), F.posexplode(chunks(F.col("part.raw"))).alias("orden", "texto"))
-    return cut.withColumn("palabras", F.regexp_count("texto", F.lit(f"{NOT_SPACE}+"))).withColumn("busqueda", greek_search_copy(F.col("texto")))
+    return cut.withColumn("palabras", F.regexp_count("texto", F.lit(f"{NOT_SPACE}++"))).withColumn("busqueda", greek_search_copy(F.col("texto")))
 
 
 def tokenized(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
@@ -121,6 +121,25 @@ def _all_spots(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "tokens").mapInArrow(_inverted, f"term string, id {kind}, tf int, positions array<int>")
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of a batch with one row a term: its passages, frequencies and positions as lists."""
+    for batch in _inverted(batches):
+        if not batch.num_rows:
+            continue
+        table = pa.table(batch).sort_by("term").combine_chunks()
+        term = table.column("term").chunk(0)
+        code = np.asarray(term.dictionary_encode().indices)
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        edges = pa.array(np.append(first, len(code)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edges, table.column(c).chunk(0)) for c in ("id", "tf", "positions")]
+        yield pa.RecordBatch.from_arrays([term.take(pa.array(first)), *lists], ["term", "ids", "tfs", "positions"])
+
+
+def _unlisted(lists: DataFrame) -> DataFrame:
+    """(term, id, tf, positions) of stored lists."""
+    return lists.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), "positions")))
+
+
 def postings(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
     return _all_spots(tokenized(texts, id_col, text))
 
@@ -144,12 +163,14 @@ class Index:
     mean_length: float
     tokens: DataFrame | None = None
     table: DataFrame | None = None
+    lists: DataFrame | None = None
     parts: int = 0
 
     @staticmethod
-    def build(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
+    def build(texts: DataFrame, id_col: str = "id", text: Column | None = None, length_col: str | None = None) -> Index:
+        """length_col: the column that has a passage's number of tokens, where they were counted already."""
         tokens = tokenized(texts, id_col, text)
-        own = tokens.select("id", F.size("tokens").alias("dl")).persist()  # sixteen bytes a passage; every query needs it
+        own = texts.select(F.col(id_col).alias("id"), F.col(length_col).alias("dl")) if length_col else tokens.select("id", F.size("tokens").alias("dl")).persist()  # sixteen bytes a passage; every query needs it
         return Index(own, *Index._numbers(own), tokens=tokens)
 
     def close(self) -> None:
@@ -164,29 +185,36 @@ class Index:
     def store(self, path: str, parts: int = 64) -> Index:
         """Write postings and lengths below path, postings by a hash of the term, so that a query reads a few parts.
 
-        A part may be several files, by a hash of the passage: a term that a third of all passages have isn't one task's work."""
-        rows = self.postings().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        files = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-self.passages // PASSAGES_A_FILE))))
-        rows.repartition("part", files).sortWithinPartitions("part", "term", "id").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        A row is a term with the passages of one batch.  A part may be several files, by a hash of the first passage: a term that a third
+        of all passages have isn't one task's work."""
+        kind = self.tokens.schema["id"].dataType.simpleString()
+        lists = self.tokens.select("id", "tokens").mapInArrow(_listed, f"term string, ids array<{kind}>, tfs array<int>, positions array<array<int>>")
+        rows = lists.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        files = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(max(1, -(-self.passages // PASSAGES_A_FILE))))
+        rows.repartition("part", files).sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         return Index.load(self.lengths.sparkSession, path, parts)
 
     @staticmethod
     def load(spark, path: str, parts: int = 64) -> Index:
         own = spark.read.parquet(f"{path}/lengths")
-        return Index(own, *Index._numbers(own), table=spark.read.parquet(f"{path}/postings"), parts=parts)
+        return Index(own, *Index._numbers(own), lists=spark.read.parquet(f"{path}/postings"), parts=parts)
 
     def postings(self) -> DataFrame:
+        if self.lists is not None:
+            return _unlisted(self.lists)
         return self.table if self.table is not None else _all_spots(self.tokens)
 
     def find(self, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
         """Postings of some terms and of all that start with some prefixes."""
         if self.table is not None:
-            own = self.table.where(term_filter(F.col("term"), terms, list(prefixes)))
-            if prefixes or not terms or not self.parts:
-                return own
-            # Constant expressions, folded before the scan: only the parts of the terms are listed.
-            return own.where(F.col("part").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.parts)).cast("int") for t in terms]))
+            return self.table.where(term_filter(F.col("term"), terms, list(prefixes)))
+        if self.lists is not None:
+            own = self.lists.where(term_filter(F.col("term"), terms, list(prefixes)))
+            if terms and not prefixes:
+                # Constant expressions, folded before the scan: only the parts of the terms are listed.
+                own = own.where(F.col("part").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.parts)).cast("int") for t in terms]))
+            return _unlisted(own)
         return _spots(self.tokens, F.filter(F.array_distinct("tokens"), lambda t: term_filter(t, terms, list(prefixes))))
 
 
@@ -329,7 +357,7 @@ def plan(index: Index, query: str) -> tuple[Plan, DataFrame]:
     """The relaxed plan of a query and its pieces' hits.  What comes to the driver is one count for each set of pieces."""
     own = pieces(query)
     hits = piece_hits(index, own)
-    if index.table is None:
+    if index.tokens is not None:
         hits = hits.persist()  # only the query's terms; a stored index reads them again
     by_set = hits.groupBy("id").agg(F.sort_array(F.collect_set("piece")).alias("have")).groupBy("have").count().collect() if own else []
     return relax(query, own, {frozenset(r["have"]): r["count"] for r in by_set}), hits

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import SPACE
+from quire.functions.text import ALL_SPACE, SPACE, search_tokens
 from quire.operators import search as R
 from quire.plans.store_queries import read
 from quire.session import work_path
@@ -46,13 +46,9 @@ _STORED: dict[tuple[str, str], tuple[R.Index, DataFrame]] = {}
 
 def build(spark, sf, path: str) -> tuple[R.Index, DataFrame]:
     """Passages and their index, cut, tokenized and written below path."""
-    table(spark, sf).write.parquet(f"{path}/passages")
+    table(spark, sf).withColumn("dl", F.size(search_tokens(F.coalesce("busqueda", "texto")))).write.parquet(f"{path}/passages")
     rows = spark.read.parquet(f"{path}/passages")
-    fresh = R.Index.build(rows)
-    try:
-        return fresh.store(path, parts=16), rows
-    finally:
-        fresh.close()
+    return R.Index.build(rows, length_col="dl").store(path, parts=16), rows
 
 
 def stored(spark, sf) -> tuple[R.Index, DataFrame]:
@@ -64,7 +60,7 @@ def stored(spark, sf) -> tuple[R.Index, DataFrame]:
 
 
 # One common table expression for all: chunks, tokens, lengths.  White space is the same explicit class in both engines.
-_WS = SPACE[1:-1]
+_WS = ALL_SPACE[1:-1]
 _CLASS = "CASE s WHEN 'texto' THEN 'obra' WHEN 'introduccion' THEN 'editor' WHEN 'notas_finales' THEN 'notas' ELSE 'aparato' END"
 _LIST = "[" + ", ".join(f"'{s}'" for s in _SECTIONS) + "]"
 CHUNKS = f"""c0 AS (SELECT doc_id, source, lang, {_LIST}[CAST(doc_id % 8 AS INT) + 1] AS s, regexp_replace(coalesce(text, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL),
@@ -106,7 +102,7 @@ def search_index(spark, sf):
     """A whole index built anew: passages, words, and postings."""
     index, _ = build(spark, sf, work_path(spark, "search"))
     words = index.lengths.agg(F.count("*").alias("pasajes"), F.sum("dl").alias("palabras"))
-    entries = index.postings().agg(F.count("*").alias("entradas")).collect()[0][0]
+    entries = index.lists.agg(F.sum(F.size("ids"))).collect()[0][0]
     return words.withColumn("entradas", F.lit(entries).cast("long"))
 
 
