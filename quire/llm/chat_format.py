@@ -14,7 +14,8 @@ placeholders can occur in them, and reading them back restores them exactly: an
 with a backslash, so cutting at \\ from the left never cuts one.
 
 Rows of one turn number are ordered by role and content.  Null roles, contents, texts and part types are empty; a
-row without conv_id belongs to the conversation without an id.  Parts of an unknown type are documents.
+row without conv_id belongs to the conversation without an id.  Parts of an unknown type are documents.  Repeated rows are
+turns each.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,9 @@ by piece:
 
 The result is a list of patterns with multiplicities.  A piece finds its place by its rank among the pieces of its
 length.  Ranks are counted by (length, salt), so a length that a third of all pieces have is ranked in many tasks.
+
+A null or empty text is one piece of the end identifier alone.  Repeated rows are packed each; rows without doc_id are packed like
+any other.  An empty table has no pieces.  Texts of any length are cut into pieces.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -49,7 +49,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.lm_score import score_documents
 
-    return score_documents(_read(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    found = score_documents(_read(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    # Sums of logarithms differ in their last digits with the order of adding; the query shows those that don't.
+    return found.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE least < w.doc_id)),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i > b + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT p.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * m.tail + 1)) AS kept
+      FROM p JOIN d USING (doc_id) JOIN (SELECT doc_id, max(z) AS tail FROM r GROUP BY doc_id) m USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+    "op6_lm_score": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT r, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3 FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+o AS (SELECT r, k, g, count(*) AS own FROM (SELECT r, 1 AS k, g1 AS g FROM t UNION ALL SELECT r, 2, g2 FROM t WHERE g2 IS NOT NULL UNION ALL SELECT r, 3, g3 FROM t WHERE g3 IS NOT NULL) GROUP BY r, k, g),
+c AS (SELECT o.r, o.k, o.g, a.n - own AS c FROM o JOIN (SELECT k, g, sum(own) AS n FROM o GROUP BY k, g) a ON a.k = o.k AND a.g = o.g),
+x AS (SELECT t.r, t.i, x1.c AS c1, coalesce(x2.c, 0) AS c2, coalesce(x3.c, 0) AS c3 FROM t JOIN c x1 ON x1.r = t.r AND x1.k = 1 AND x1.g = t.g1 LEFT JOIN c x2 ON x2.r = t.r AND x2.k = 2 AND x2.g = t.g2 LEFT JOIN c x3 ON x3.r = t.r AND x3.k = 3 AND x3.g = t.g3),
+h AS (SELECT *, lag(c1) OVER v AS h1, lag(c2) OVER v AS h2, least(i - 1, 2) AS tried FROM x WINDOW v AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT sum(len(w)) AS n FROM d),
+s AS (SELECT h.r, tried, CASE WHEN c3 > 0 THEN 2 WHEN c2 > 0 THEN 1 ELSE 0 END AS used, CASE WHEN c3 > 0 THEN c3 / h2 WHEN c2 > 0 THEN c2 / h1 ELSE greatest(c1, 1) / greatest(n.n - len(d.w), 1) END AS p FROM h JOIN d USING (r), n),
+z AS (SELECT r, sum(ln(p) + (tried - used) * ln(0.4)) AS score, count(*) FILTER (WHERE used < tried) AS backoff FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0.0), 3) AS log_score, round(score / len(w), 6) AS mean_log_score, CAST(coalesce(backoff, 0) AS BIGINT) AS n_backoff FROM d LEFT JOIN z USING (r)""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),

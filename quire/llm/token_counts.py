@@ -10,6 +10,9 @@ With tags a document's ids are followed by its doc_id in five words of 13 bits (
 without tags give ordinals only.  Ids after the last separator of all files are a document without an end and are not counted.
 
 The files are written where the documents are read, one for each partition: the texts are not shuffled.
+
+A null or empty text is a document of the end identifier alone.  Repeated rows, and rows that share a doc_id, are documents of
+their own; a row without doc_id is one whose tag says so.  Texts of any length are one document.  Other columns are not read.
 """
 
 from __future__ import annotations
