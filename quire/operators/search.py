@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrow import arrow_function
-from quire.functions.text import NOT_SPACE, SPACE, compose, fold, fold_squeezed, fold_words, greek_search_copy, let, search_tokens, strip
+from quire.functions.text import NOT_SPACE, SPACE, compose, fold_squeezed, fold_words, greek_search_copy, let, search_tokens, strip
 
 WINDOW, OVERLAP = 180, 40
 

@@ -5,8 +5,6 @@ Documents are pages: the source is the volume, doc_id the sheet; class and secti
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
