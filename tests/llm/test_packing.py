@@ -112,3 +112,12 @@ def test_packs_documents(spark, capacity):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), "word_bpe_49k.json").collect() == []
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_few_sequences_against_the_sum_of_lengths(seed):
+    """No packing has fewer sequences than the sum of lengths over the capacity; many mixed lengths come close to it."""
+    rng = random.Random(seed)
+    counts = Counter(min(2048, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(20_000))
+    least = -(-sum(n * w for w, n in counts.items()) // 2048)
+    assert least <= sequences(solve(dict(counts), 2048)) <= least + 2
