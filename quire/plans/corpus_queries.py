@@ -119,13 +119,6 @@ def note_thresholds(spark, sf):
     return K.note_threshold(_spans(spark, sf))
 
 
-@query()
-def running_heads(spark, sf):
-    spans = _spans(spark, sf)
-    boxes = spans.select("doc", "page").distinct().select("*", F.lit(400.0).alias("width"), F.lit(600.0).alias("height"))
-    return K.running_heads(K.lines_of(spans), boxes)
-
-
 @query()
 def page_records(spark, sf):
     spans = _spans(spark, sf)
@@ -167,13 +160,6 @@ def corpus_repair(spark, sf):
     return K.repair(K.unfold_notes(pages(spark, sf))).select("canonico", "pdf", F.length("cuerpo").alias("chars"))
 
 
-@query()
-def volume_names(spark, sf):
-    entry = F.concat(F.lit("Índice de nombres\n"), F.regexp_replace(F.coalesce("cuerpo", F.lit("")), r"\. ", ", 12, 45-47\n"))
-    own = pages(spark, sf).withColumn("cuerpo", F.when(F.col("pdf") % 10 == 0, entry).otherwise(F.col("cuerpo"))).withColumn("seccion", F.when(F.col("pdf") % 10 == 0, "indice_nombres").otherwise("texto"))
-    return K.volume_names(own).select("canonico", F.size("indice_nombres").alias("nombres"))
-
-
 @query("""WITH p AS (SELECT source AS canonico, doc_id AS pdf, lang AS work, doc_id % 3 = 0 AS m, CASE doc_id % 5 WHEN 1 THEN 'Sinopsis' WHEN 2 THEN 'Acto' ELSE '' END AS t FROM documents WHERE doc_id IS NOT NULL),
 w AS (SELECT *, row_number() OVER (PARTITION BY canonico, work ORDER BY pdf) - 1 AS place, sum(CAST(m AS INT)) OVER (PARTITION BY canonico, work ORDER BY pdf ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM p),
 f AS (SELECT canonico, work, min(place) AS frontier FROM w WHERE m AND s >= 4 AND place < 80 GROUP BY ALL)

@@ -207,15 +207,3 @@ def citations(spark, sf):
 def run_detector(spark, sf):
     rows = read(spark, sf, "events").select(F.col("user_id").alias("clave"), "event_id", F.col("event_type").isin("click", "view").alias("m"))
     return R.first_run(rows, ["clave"], "event_id", F.col("m"))
-
-
-def _day(spark, sf):
-    rows = table(spark, sf)
-    return rows.withColumn("nombres", F.lit(1)).withColumn("hojas", F.lit(0)).withColumn("titulo", F.lit("")), rows
-
-
-@query()
-def day_passage(spark, sf):
-    rows, _ = _day(spark, sf)
-    names = spark.createDataFrame([("src1", "Thing, the", "thing, the", "1", 1)], "canonico string, nombre string, normal string, refs string, cuantas int")
-    return R.passage_of_the_day(rows, names, "2026-08-08").select("id", "canonico", "texto")

@@ -404,14 +404,6 @@ def html_text(spark, sf):
     return read(spark, sf, "pages").select("page_id", parse(F.col("html")).alias("t")).select("page_id", "t.text", F.size("t.links").alias("n_links"))
 
 
-@query()
-def listing_price(spark, sf):
-    from quire.functions.mail import html_text as parse
-
-    rows = read(spark, sf, "pages").select("page_id", "html", parse(F.col("html")).alias("t"))
-    return rows.select("page_id", T.listing_price(F.col("html"), F.col("t.text")).alias("precio"))
-
-
 @query()
 def text_quality(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.text_quality(F.coalesce("text", F.lit(""))).alias("q")).select("doc_id", "q.state", F.round("q.legible", 6).alias("legible"))
