@@ -302,6 +302,21 @@ SQL["page_recompose"] = f"""SELECT hoja, canonico, CASE WHEN s = 'notas_finales'
 FROM (SELECT doc_id AS hoja, source AS canonico, {_SECTION} AS s, {_FLAT} AS t FROM documents WHERE doc_id IS NOT NULL) WHERE t <> ''"""
 
 
+_NOTED = """SELECT p_partkey AS hoja, p_partkey % 4 = 3 AS lista, CASE p_partkey % 4 WHEN 0 THEN 'obra' WHEN 1 THEN 'editor' WHEN 2 THEN 'notas' ELSE 'aparato' END AS clase,
+ CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '1 nota de ' || p_type END AS notas, 2 * (p_size % 3) * 60 + 1 AS palabras FROM part"""
+
+
+@query(f"""WITH p AS ({_NOTED}) SELECT hoja, clase, count(*) AS pasajes, sum(n)::BIGINT AS palabras FROM (
+ SELECT hoja, clase, least(180, w - i * 140) AS n FROM (SELECT *, palabras + CASE WHEN lista AND notas <> '' THEN 4 ELSE 0 END AS w FROM p), range(0, 4) t(i) WHERE i = 0 OR w - 180 > (i - 1) * 140
+ UNION ALL SELECT hoja, 'notas', 4 FROM p WHERE NOT lista AND notas <> '') GROUP BY hoja, clase""")
+def note_passages(spark, sf):
+    """Passages of bodies and of notes by class; the lists at a volume's end keep their notes."""
+    n, words = F.col("p_partkey"), (F.col("p_size") % 3 * 60).cast("int")
+    section = F.element_at(F.array(*map(F.lit, ("texto", "introduccion", "notas_finales", "indice_nombres"))), (n % 4 + 1).cast("int"))
+    pages = read(spark, sf, "part").select(n.alias("hoja"), section.alias("seccion"), F.concat(F.repeat(F.concat("p_name", F.lit(" ")), words), F.lit("fin")).alias("cuerpo"), F.when(n % 5 == 0, "").otherwise(text("1 nota de ", F.col("p_type"))).alias("notas"))
+    return R.passages(pages, ["hoja"]).groupBy("hoja", "clase").agg(F.count("*").alias("pasajes"), F.sum("palabras").cast("long").alias("palabras"))
+
+
 @query(f"SELECT doc_id AS hoja, {_FLAT} AS cuerpo FROM documents WHERE source = 'src1' AND doc_id = (SELECT min(doc_id) FROM documents WHERE source = 'src1' AND doc_id % 8 = 1)")
 def whole_page(spark, sf):
     """One sheet, asked for by volume and number."""

@@ -202,10 +202,11 @@ def rename_lot(spark, sf):
     return S.rename_lot(rows, lots, "lote::purchase 3", "Gran  Lote")[0].groupBy("clave").agg(F.count("*").alias("n"), F.sum(F.round(F.col("precio") * 100).cast("long")).alias("centimos"))
 
 
-@query(f"""WITH h AS {HISTORY} SELECT id, 'lote::' || lower(titulo) AS clave, precio_new AS precio FROM (SELECT *, strip_accents(titulo) AS t FROM h) WHERE estado = 'lote'""".replace("lower(titulo)", "strip_accents(lower(titulo))"))
+@query(f"""WITH h AS {HISTORY} SELECT id, 'lote::' || strip_accents(lower(titulo)) AS clave, precio_new AS precio FROM h WHERE estado = 'lote' UNION ALL SELECT id, clave, precio FROM {POINTS}""")
 def seed_lots(spark, sf):
-    rows = points(spark, sf)
-    return S.seed_lots(rows.limit(0), history(spark, sf), False).select("id", "clave", "precio")
+    """The history's lots beside the points that are there; seeded a second time nothing is added."""
+    first = S.seed_lots(points(spark, sf), history(spark, sf), False)
+    return S.seed_lots(first, history(spark, sf), True).select("id", "clave", "precio")
 
 
 @query(f"""WITH r AS (SELECT mensaje_id, 'historial' AS k, enlace AS url FROM {HISTORY} UNION ALL SELECT mensaje_id, CASE WHEN starts_with(clave, 'lote::') THEN 'lotes' ELSE 'precios' END, url FROM {POINTS}),
@@ -247,10 +248,12 @@ def threshold_longest(spark, sf):
     return S.thresholds_for(read(spark, sf, "part"), S.set_thresholds(rows), "p_name").select("p_partkey", "porcentaje")
 
 
-@query("SELECT 'k' || CAST(user_id % 40 AS VARCHAR) AS clave, arg_max(event_type, event_id) AS valor FROM events GROUP BY 1")
+@query("""SELECT 'k' || CAST(user_id % 90 AS VARCHAR) AS clave, coalesce(arg_max(event_type, event_id) FILTER (WHERE user_id % 90 < 60 AND event_id % 3 = 0), 'viejo ' || max(event_type)) AS valor FROM events GROUP BY user_id % 90""")
 def meta_upsert(spark, sf):
-    rows = read(spark, sf, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("clave"), F.col("event_type").alias("valor"), F.col("event_id").alias("seq"))
-    return S.put_meta(rows.where("seq % 2 = 0").groupBy("clave").agg(F.max_by("valor", "seq").alias("valor")).where("false"), rows)
+    """A table of keys after a batch: the batch's last value of a key, and the old one of keys that it doesn't have."""
+    rows = read(spark, sf, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 90).cast("string")).alias("clave"), F.col("event_type").alias("valor"), F.col("event_id").alias("seq"), (F.col("user_id") % 90).alias("k"))
+    old = rows.groupBy("clave").agg(F.concat(F.lit("viejo "), F.max("valor")).alias("valor"))
+    return S.put_meta(old, rows.where("k < 60 and seq % 3 = 0"))
 
 
 @query("SELECT event_type AS folder, max(TRY_CAST(CASE WHEN event_id % 11 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS BIGINT)) AS ultimo FROM events GROUP BY 1")
@@ -359,6 +362,15 @@ def coherence(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", fits.alias("cuadra"), T.reliable(F.col("o"), F.col("l_quantity"), F.col("p"), F.lit("regex"), F.lit(False)).alias("fiable"))
 
 
+@query(f"""SELECT {_KEY}, l_partkey % 5 <> 0 AND (o IS NULL OR abs((o - l_quantity) / o * 100 - p) <= 3.0) AND (o IS NOT NULL OR l_linenumber % 4 <> 2) AS fiable FROM (SELECT *, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity * 2 END AS o, 44.0 + l_linenumber * 2 AS p FROM lineitem)""")
+def reliability(spark, sf):
+    """Whether an alert is to be trusted: one advertisement, prices that agree, and both prices or a percentage that the mail states in words."""
+    source = F.element_at(F.array(*map(F.lit, ("header", "phrase", "regex", "computed"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    old = F.when(F.col("l_partkey") % 3 != 0, F.col("l_quantity") * 2)
+    fits = T.reliable(old, F.col("l_quantity"), 44.0 + F.col("l_linenumber") * 2, source, F.col("l_partkey") % 5 == 0)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fits.alias("fiable"))
+
+
 @query(f"SELECT {_KEY}, round(CAST(25 * (l_partkey % 2) + 20 * (l_partkey % 3 // 2) + 20 + 20 * (l_suppkey % 2) + 15 * (l_linenumber % 2) AS DOUBLE) / 100, 2) AS confianza FROM lineitem")
 def confidence(spark, sf):
     has = {"link": F.col("l_partkey") % 2 == 1, "old_price": F.col("l_partkey") % 3 == 2, "new_price": F.lit(True), "percent": F.col("l_suppkey") % 2 == 1, "title": F.col("l_linenumber") % 2 == 1}
