@@ -38,7 +38,7 @@ def work_path(spark: SparkSession, label: str) -> str:
     process removes."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
