@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if named is None:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="quire-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
