@@ -113,7 +113,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(fill_in_middle(_read(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_binary, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_lm_score, op7_nearest_neighbours, op8_token_counts, op9_chat_format, op10_simhash_near_dup, op11_adaptive_time_partitions, op12_fill_in_middle)}
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.private_data import digest, find_private, fit
+
+    docs = _read(spark, sf_dir, "documents")
+    return digest(find_private(docs, fit(docs)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_binary, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_lm_score, op7_nearest_neighbours, op8_token_counts, op9_chat_format, op10_simhash_near_dup, op11_adaptive_time_partitions, op12_fill_in_middle, op13_private_data)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
