@@ -1,14 +1,16 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
-from quire.llm.near_copies import component_classes, keep_first
+from quire.llm.near_copies import component_classes, keep_first, shared_counts
 from quire.llm.simhash import drop_near_copies
 
 from .common import documents, texts
-from .test_pipeline import SCHEMA
 from .test_simhash import LOWER, union
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def shingles(text):
     w = (text or "").translate(LOWER).split()
@@ -78,10 +80,21 @@ def test_large_groups_lose_no_link(spark):
     want, _ = brute(rows)
     assert 100 < len(want) < len(rows) - 200
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA).repartition(4)
-    for direct, fine in ((32, 64), (4, 8)):
-        kept = keep_first(docs, component_classes(docs, direct=direct, fine=fine))
-        got = sorted((r.doc_id, r.text) for r in kept.collect())
-        assert set(want) <= set(got) and len(got) - len(want) <= (0 if fine == 64 else 2)
+    for direct, block in ((32, 2048), (4, 50), (4, 7)):
+        kept = keep_first(docs, component_classes(docs, direct=direct, block=block))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    for rows, values in ((1, 5), (40, 60), (90, 300)):
+        has = rng.random((rows, values)) < rng.random(values)[None, :]
+        owner, at = np.nonzero(has)
+        names = rng.integers(-(1 << 62), 1 << 62, values)
+        counts = shared_counts(names[at], owner, rows)
+        want = has.astype(int) @ has.T.astype(int)
+        off = ~np.eye(rows, dtype=bool)
+        assert np.array_equal(counts[off], want[off])
 
 
 def test_clashing_columns_and_partitions(spark):
