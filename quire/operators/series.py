@@ -141,11 +141,16 @@ def new_alerts(history: DataFrame, batch: DataFrame, order: str = "seq") -> Data
     return fresh.select(batch.columns).unionByName(batch.where("mensaje_id is null"))
 
 
-def rotated(history: DataFrame, most: int = HISTORY_MAX, prune: int = HISTORY_PRUNE) -> DataFrame:
+def pruned_rows(total: int, most: int = HISTORY_MAX, prune: int = HISTORY_PRUNE) -> int:
+    """How many of so many rows, inserted one by one, have gone: the oldest `prune` whenever there are over `most`."""
+    return prune * -(-max(0, total - most) // prune)
+
+
+def rotated(history: DataFrame, most: int = HISTORY_MAX, prune: int = HISTORY_PRUNE, total: int | None = None) -> DataFrame:
     """What is left of a history whose rows were inserted one by one in order of id, the oldest `prune` deleted whenever there are
-    over `most`.  In closed form: how many went is known from the count, which ones from a threshold id."""
-    total = history.count()
-    gone = prune * -(-max(0, total - most) // prune)
+    over `most`.  In closed form: how many went is known from the count (total, if it is known already), which ones from a threshold id."""
+    total = history.count() if total is None else total
+    gone = pruned_rows(total, most, prune)
     if not gone:
         return history
     # At most `most` rows stay, so the threshold is the least of that many newest ids: a bounded top-k, never a sort of the table.

@@ -22,6 +22,7 @@ from quire.plans.store_queries import HISTORY, history, read
 from quire.session import work_path
 from quire.sources import tables as X
 from quire.streaming import monitor as W
+from quire.streaming import prices as P
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -174,6 +175,30 @@ def mail_replay(spark, sf):
     return again.unionByName(known).select("mensaje_id", F.col("kind").alias("tipo"))
 
 
+_WAVES = """WITH o AS (SELECT 's' || CAST(o_custkey AS VARCHAR) AS clave, o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS precio FROM orders),
+x AS (SELECT *, (k % 3) * 1000000000 + k AS seq, 'new' AS estado FROM o UNION ALL SELECT *, 1500000000 + k, 'again' FROM o WHERE k % 30 = 3 UNION ALL SELECT *, 2500000000 + k, 'replayed' FROM o WHERE k % 30 = 0),
+y AS (SELECT *, last_value(CASE WHEN estado = 'new' THEN precio END IGNORE NULLS) OVER (PARTITION BY clave ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anterior FROM x)
+SELECT clave, precio, 'm' || CAST(k AS VARCHAR) AS mensaje_id, CAST(seq AS BIGINT) AS seq, estado, anterior, coalesce(precio > anterior, false) AS risen FROM y"""
+
+
+@query(_WAVES)
+def price_stream(spark, sf):
+    """The keyed stream of prices, started three times on one checkpoint: orders come in three waves, some of the first again in the second, and some are asked for
+    again in the third."""
+    k = F.col("o_orderkey").cast("long")
+    rows = read(spark, sf, "orders").select(text("s", F.col("o_custkey")).alias("clave"), F.lit("t").alias("titulo"), F.col("o_totalprice").cast("double").alias("precio"), text("m", k).alias("mensaje_id"), k.alias("k"))
+    folder = work_path(spark, "prices")
+    for wave in range(3):
+        own = rows.where(F.col("k") % 3 == wave).withColumns({"seq": F.col("k") + wave * 1_000_000_000, "replay": F.lit(False)})
+        if wave:
+            first, at = rows.where(F.col("k") % 30 == (3 if wave == 1 else 0)), wave * 1_000_000_000 + 500_000_000
+            own = own.unionByName(first.withColumns({"seq": F.col("k") + at, "replay": F.lit(wave == 2)}))
+        own.drop("k").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(P.POINT).parquet(f"{folder}/in")
+        P.start(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(P.OUT).parquet(f"{folder}/out").drop("titulo")
+
+
 @query("""WITH f AS (SELECT s_suppkey AS n, s_suppkey % 8 <> 0 AS bueno FROM supplier), b AS (SELECT n FROM f ORDER BY n DESC LIMIT 40)
 SELECT 'arranque' AS que, CAST(n AS VARCHAR) AS ruta FROM b UNION ALL SELECT 'fallo', CAST(n AS VARCHAR) FROM f WHERE NOT bueno""")
 def mail_bootstrap(spark, sf):
