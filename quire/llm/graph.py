@@ -30,16 +30,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Labels spread to neighbours and jump to their label's label, so rounds grow with the logarithm of the longest path.
     Each round is written to the shared folder.  Minima are combined before they are shuffled; the joins are plain
-    inner joins, which adaptive execution splits at a hub.
+    inner joins by a shuffle, which adaptive execution splits at a hub: nothing of a round is broadcast, so the driver holds nothing of it.
     """
     own = links.where(F.col(a) != F.col(b)).select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = cut(own.unionByName(own.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("heard"))
-        new = labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low"))
+        heard = both.join(labels.select(F.col("node").alias("other"), "root").hint("merge"), "other").groupBy("node").agg(F.min("root").alias("heard"))
+        new = labels.join(heard.hint("merge"), "node").select("node", "root", F.least("root", "heard").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        step = cut(new.join(jump, "low").select("node", F.least("low", "far").alias("next"), "root"))
+        step = cut(new.join(jump.hint("merge"), "low").select("node", F.least("low", "far").alias("next"), "root"))
         labels = step.select("node", F.col("next").alias("root"))
         if step.where("next <> root").isEmpty():
             links.sparkSession._jvm.System.gc()  # shuffles and broadcasts of the rounds go when the driver's references to them do
