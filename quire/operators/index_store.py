@@ -1,26 +1,37 @@
 """The full-text index of a folder of volumes, kept up to date by whole volumes.
 
-An index is a folder of append-only generations.  A run reads the volumes that are new or changed against the manifest, and writes
+An index is a folder of generations.  A run reads the volumes that are new or changed against the manifest, and writes
 their passages, postings and names as a generation of its own; the manifest, a small table of volumes, says which generation of a
 volume counts, so replacing or dropping a volume rewrites nothing.  A run's manifest is written last: until then the one before
-counts.  Space that old generations hold is given back by compact(), which a run calls after COMPACT_AFTER volumes.
+counts.  Postings of a generation are dealt to parts by the first two letters of their term (search.part_of), so a term or a prefix lists one part of each.
+
+Generations have levels.  When FANOUT of one level hold volumes that count, these volumes' rows are merged into one generation of the next level, in
+order of the term, and the manifest names that one; so after n runs some FANOUT * log(n) generations are left, and a row is rewritten log(n) times.
+Rows of volumes that were replaced or dropped are left behind in it.  compact() removes generations without a volume that counts; a run
+calls it after COMPACT_AFTER volumes, and after it has merged.
+
+A passage's id has its generation, its volume's number in that and its place in the volume, so no two have the same, and it is kept when generations are
+merged.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import fold
-from quire.operators.search import Index, load_names, passages, postings
+from quire.operators.search import Index, load_names, part_of, passages, postings
 from quire.sources.tables import read_volumes
 
 COMPACT_AFTER = 20
+FANOUT, PARTS = 4, 16
+#: An id is generation << 44 | volume << 22 | place: a volume has at most 4,194,303 passages, a run as many volumes.
+VOLUME_BITS, PLACE_BITS = 22, 22
 #: A manifest of so many volumes at most is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_VOLUMES = 100_000
-MANIFEST = "archivo string, mtime timestamp, bytes long, canonico string, autor string, numero string, orden int, pasajes long, nombres long, palabras long, generacion int"
+MANIFEST = "archivo string, mtime timestamp, bytes long, canonico string, autor string, numero string, orden int, pasajes long, nombres long, palabras long, generacion int, fichas long, nivel int"
 TABLES = ("pasajes", "postings", "nombres")
 
 
@@ -41,8 +52,8 @@ class Counters:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT) -> None:
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -71,10 +82,9 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}").join(live, ["archivo", "generacion"], "left_semi")
 
     def index(self) -> Index:
-        """For the queries of search.py."""
-        lengths = self.table("pasajes").select("id", "dl")
-        total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()[0]
-        return Index(lengths, total["n"], total["mean"] or 1.0, table=self.table("postings"))
+        """For the queries of search.py.  The numbers of the whole index come from the manifest."""
+        total = self.manifest().agg(F.coalesce(F.sum("pasajes"), F.lit(0)).alias("n"), F.coalesce(F.sum("fichas"), F.lit(0)).alias("fichas")).collect()[0]
+        return Index(total["n"], total["fichas"] / total["n"] if total["fichas"] else 1.0, table=self.table("postings"), parts=PARTS)
 
     def update(self, source: str, force: bool = False) -> Counters:
         """Read the volumes below source (JSON lines) that are new or changed, all of them with force; drop those whose file is gone."""
@@ -92,31 +102,68 @@ class Store:
         wanted = F.broadcast(fresh.select("archivo")) if fresh.limit(BROADCAST_VOLUMES + 1).count() <= BROADCAST_VOLUMES else fresh.select("archivo")
         own = pages.join(wanted, "archivo", "left_semi").withColumnRenamed("pdf", "hoja")
         cut = passages(own, ["archivo", "canonico", "hoja", "titulo", "obra"])
-        numbered = cut.withColumn("generacion", F.lit(generation)).withColumn("id", F.xxhash64("archivo", "hoja", "clase", "orden", F.lit(generation)))
-        mode = {"mode": "append"}
-        spots = postings(numbered).groupBy("id").agg(F.sum("tf").alias("dl"))
-        numbered.join(spots, "id", "left").withColumn("dl", F.coalesce("dl", F.lit(0))).write.partitionBy("generacion").parquet(f"{self.path}/pasajes", **mode)
+        # Files of a run in one small window; passages of a volume in another.
+        volume = fresh.select("archivo", F.row_number().over(Window.orderBy("archivo")).alias("__volume"))
+        place = F.row_number().over(Window.partitionBy("archivo").orderBy("hoja", "clase", "orden"))
+        number = F.lit(generation).cast("long") * (1 << VOLUME_BITS + PLACE_BITS) + F.col("__volume").cast("long") * (1 << PLACE_BITS) + place
+        numbered = cut.join(volume, "archivo").withColumns({"generacion": F.lit(generation), "id": number}).drop("__volume")
+        self._add("pasajes", numbered)
         stored = self.spark.read.parquet(f"{self.path}/pasajes").where(F.col("generacion") == generation)
         of = stored.select("id", "archivo")
-        postings(stored).join(of, "id").withColumn("generacion", F.lit(generation)).sortWithinPartitions("term").write.partitionBy("generacion").parquet(f"{self.path}/postings", **mode)
-        load_names(fresh, ["archivo", "canonico"]).withColumn("generacion", F.lit(generation)).write.partitionBy("generacion").parquet(f"{self.path}/nombres", **mode)
+        self._add("postings", postings(stored).join(of, "id").withColumn("generacion", F.lit(generation)))
+        self._add("nombres", load_names(fresh, ["archivo", "canonico"]).withColumn("generacion", F.lit(generation)))
+        words = self.spark.read.parquet(f"{self.path}/postings").where(F.col("generacion") == generation).groupBy("archivo").agg(F.sum("tf").alias("fichas"))
         counts = stored.groupBy("archivo").agg(F.count("*").alias("pasajes"), F.sum("palabras").alias("__p"))
         names = self.spark.read.parquet(f"{self.path}/nombres").where(F.col("generacion") == generation).groupBy("archivo").agg(F.count("*").alias("nombres"))
-        new = fresh.drop("palabras").join(counts, "archivo", "left").join(names, "archivo", "left").select(*keys, "canonico", "autor", "numero", "orden", F.coalesce("pasajes", F.lit(0)).alias("pasajes"), F.coalesce("nombres", F.lit(0)).alias("nombres"), F.coalesce("__p", F.lit(0)).alias("palabras"), F.lit(generation).alias("generacion"))
+        new = fresh.drop("palabras").join(counts, "archivo", "left").join(names, "archivo", "left").join(words, "archivo", "left").select(*keys, "canonico", "autor", "numero", "orden", F.coalesce("pasajes", F.lit(0)).alias("pasajes"), F.coalesce("nombres", F.lit(0)).alias("nombres"), F.coalesce("__p", F.lit(0)).alias("palabras"), F.lit(generation).alias("generacion"), F.coalesce("fichas", F.lit(0)).alias("fichas"), F.lit(0).alias("nivel"))
         kept = known.join(files.select(*keys), keys, "left_semi")
         if force:
             kept = kept.limit(0)
-        kept.unionByName(new).coalesce(1).write.parquet(f"{self.path}/manifiesto/run-{generation}", mode="overwrite")
+        self._publish(kept.unionByName(new), generation)
         written = self.manifest().where(F.col("generacion") == generation).agg(F.count("*").alias("t"), F.coalesce(F.sum("pasajes"), F.lit(0)).alias("p"), F.coalesce(F.sum("nombres"), F.lit(0)).alias("n")).collect()[0]
         gone = known.select("archivo").distinct().join(files.select("archivo"), "archivo", "left_anti").count()
         total = files.count()
         out = Counters(written["t"], total, written["p"], written["n"], total - written["t"], gone, bad.count())
         files.unpersist()
         fresh.unpersist()
-        if out.tomos >= COMPACT_AFTER and generation:
+        if self.merge() or (out.tomos >= COMPACT_AFTER and generation):
             self.compact()
         return out
 
+    def _add(self, name: str, rows: DataFrame) -> None:
+        """Write rows of a generation; what a run that was stopped has left of it goes first."""
+        path, fs = self._fs()
+        generation = self.run() + 1
+        fs.delete(path(f"{self.path}/{name}/generacion={generation}"), True)
+        if name != "postings":
+            rows.write.partitionBy("generacion").parquet(f"{self.path}/{name}", mode="append")
+            return
+        dealt = rows.withColumn("part", part_of(F.col("term"), PARTS)).repartition("part").sortWithinPartitions("generacion", "part", "term", "id")
+        dealt.write.partitionBy("generacion", "part").parquet(f"{self.path}/{name}", mode="append")
+
+    def _publish(self, volumes: DataFrame, run: int) -> None:
+        volumes.coalesce(1).write.parquet(f"{self.path}/manifiesto/run-{run}", mode="overwrite")
+
+    def merge(self) -> int:
+        """Merge the generations of each level that is full into one of the next; how many were written."""
+        done = 0
+        while True:
+            manifest = self.manifest()
+            levels = manifest.groupBy("nivel").agg(F.countDistinct("generacion").alias("n")).where(F.col("n") >= self.fanout)
+            level = levels.agg(F.min("nivel")).collect()[0][0]
+            if level is None:
+                return done
+            target = self.run() + 1
+            own = manifest.where(F.col("nivel") == level).select("archivo", "generacion")
+            old = [r["generacion"] for r in own.select("generacion").distinct().collect()]  # a few numbers
+            for name in TABLES:
+                rows = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("generacion").isin(*old))
+                live = F.broadcast(own) if own.limit(BROADCAST_VOLUMES + 1).count() <= BROADCAST_VOLUMES else own
+                self._add(name, rows.join(live, ["archivo", "generacion"], "left_semi").withColumn("generacion", F.lit(target)).drop("part"))
+            moved = F.col("nivel") == level
+            self._publish(manifest.withColumn("generacion", F.when(moved, F.lit(target)).otherwise(F.col("generacion"))).withColumn("nivel", F.when(moved, F.col("nivel") + 1).otherwise(F.col("nivel"))), target)
+            done += 1
+
     def compact(self) -> None:
         """Give back what replaced and dropped volumes hold: generations without a volume that counts go, those with one are kept whole."""
         path, fs = self._fs()

@@ -4,6 +4,11 @@ A passage table is cut from pages with native array functions.  Its postings (te
 no text, so ranking reads neither text nor other columns; text is joined back for the few passages that are shown.
 A query is a handful of pieces.  Only the postings of its terms are read; one aggregation by passage gives each
 passage the set of pieces it has, from which document frequencies, relaxation and scores all follow.
+
+A stored index is made of shards, runs of SHARD passages.  A row is a term of a shard: its passages, frequencies, positions and lengths as lists, and
+apart from these how many passages there are, the highest frequency and the least length, which bound what the term can add to a score.  `best` reads
+these bounds alone, scores the shards that promise most, and then only those that can still reach the last of the best so far.  Rows are dealt to parts by
+the first two letters of the term and sorted by it, so a term and a prefix of two or more letters both read one part.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +49,9 @@ LENGTH_WEIGHT = ((12, 0.40), (30, 0.65), (60, 0.88))
 WITHOUT_FOOTNOTES = ("indice_nombres", "indice_general")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PASSAGES_A_FILE = 2_000_000
+SHARD = 2048
+#: Shards that are scored first, and how many at most are named one by one in the scan; more are joined.
+SEEDS, NAMED_SHARDS = 32, 1_000
 
 
 def _lookup(key: Column, table: dict, default) -> Column:
@@ -92,52 +101,79 @@ def tokenized(texts: DataFrame, id_col: str = "id", text: Column | None = None)
 
 
 def _spots(tokens: DataFrame, wanted: Column) -> DataFrame:
-    """(term, id, tf, positions) of an array of a few terms in the tokens: no shuffle, one row for each term of a passage."""
+    """(term, id, tf, positions, dl) of an array of a few terms in the tokens: no shuffle, one row for each term of a passage."""
     spots = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions")))
-    return tokens.select("id", F.explode(spots).alias("s")).select(F.col("s.term").alias("term"), "id", F.size("s.positions").alias("tf"), F.col("s.positions").alias("positions"))
+    return tokens.select("id", F.size("tokens").alias("dl"), F.explode(spots).alias("s")).select(F.col("s.term").alias("term"), "id", F.size("s.positions").alias("tf"), F.col("s.positions").alias("positions"), "dl")
+
+
+def _invert(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.ListArray, np.ndarray]:
+    """Passages (id, tokens) turned round by one sort of their tokens: for each passage and term the term, the passage's row, its frequency and
+    positions; and the passages' lengths."""
+    lists = batch.column(1)
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    code = np.asarray(words.indices).astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = row * max(1, len(words.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    terms = words.dictionary.take(pa.array(code[order][first]))
+    spots = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    return terms.cast(pa.string()), row[order][first], np.diff(np.append(first, len(order))), spots, lengths
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages (id, tokens) turned to (term, id, tf, positions): one sort of each batch's tokens by passage and term."""
+    """Passages (id, tokens) as (term, id, tf, positions, dl)."""
     for batch in batches:
-        lists = batch.column(1)
-        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-        words = lists.flatten().dictionary_encode()
-        code = np.asarray(words.indices).astype(np.int64)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = row * max(1, len(words.dictionary)) + code
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        terms = words.dictionary.take(pa.array(code[order][first]))
-        tf = np.diff(np.append(first, len(order)))
-        spots = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
-        yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), batch.column(0).take(pa.array(row[order][first])), pa.array(tf, pa.int32()), spots], ["term", "id", "tf", "positions"])
+        terms, row, tf, spots, lengths = _invert(batch)
+        yield pa.RecordBatch.from_arrays([terms, batch.column(0).take(pa.array(row)), pa.array(tf, pa.int32()), spots, pa.array(lengths[row], pa.int32())], ["term", "id", "tf", "positions", "dl"])
 
 
 def _all_spots(tokens: DataFrame) -> DataFrame:
-    """(term, id, tf, positions) of all terms: linear in the tokens and without a shuffle, which no native expression is."""
+    """(term, id, tf, positions, dl) of all terms: linear in the tokens and without a shuffle, which no native expression is."""
     kind = tokens.schema["id"].dataType.simpleString()
-    return tokens.select("id", "tokens").mapInArrow(_inverted, f"term string, id {kind}, tf int, positions array<int>")
+    return tokens.select("id", "tokens").mapInArrow(_inverted, f"term string, id {kind}, tf int, positions array<int>, dl int")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of a batch with one row a term: its passages, frequencies and positions as lists."""
-    for batch in _inverted(batches):
-        if not batch.num_rows:
-            continue
-        table = pa.table(batch).sort_by("term").combine_chunks()
-        term = table.column("term").chunk(0)
-        code = np.asarray(term.dictionary_encode().indices)
-        first = np.flatnonzero(np.diff(code, prepend=-1))
-        edges = pa.array(np.append(first, len(code)), pa.int32())
-        lists = [pa.ListArray.from_arrays(edges, table.column(c).chunk(0)) for c in ("id", "tf", "positions")]
-        yield pa.RecordBatch.from_arrays([term.take(pa.array(first)), *lists], ["term", "ids", "tfs", "positions"])
+    """The postings of a shard with one row a term: its passages, frequencies, positions and lengths as lists, and what bounds them."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SHARD):
+            own = batch.slice(lo, SHARD)
+            terms, row, tf, spots, lengths = _invert(own)
+            number += 1
+            if not len(terms):
+                continue
+            code = terms.dictionary_encode()
+            rank = np.empty(len(code.dictionary), np.int64)
+            rank[np.asarray(pc.sort_indices(code.dictionary))] = np.arange(len(code.dictionary))
+            of = rank[np.asarray(code.indices)]
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            edges = pa.array(np.append(first, len(order)), pa.int32())
+            at, dl = pa.array(order), lengths[row]
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (own.column(0).take(pa.array(row[order])), pa.array(tf[order], pa.int32()), spots.take(at), pa.array(dl[order], pa.int32()))]
+            bounds = [pa.array(np.diff(np.append(first, len(order))), pa.int32()), pa.array(np.maximum.reduceat(tf[order], first), pa.int32()), pa.array(np.minimum.reduceat(dl[order], first), pa.int32())]
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(order[first])), pa.array(np.full(len(first), number)), *bounds, *lists], ["term", "shard", "n", "tfmax", "dlmin", "ids", "tfs", "positions", "dls"])
 
 
 def _unlisted(lists: DataFrame) -> DataFrame:
-    """(term, id, tf, positions) of stored lists."""
-    return lists.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), "positions")))
+    """(term, id, tf, positions, dl) of stored lists."""
+    return lists.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), "positions", F.col("dls").alias("dl"))))
+
+
+def part_of(term: Column, parts: int) -> Column:
+    """The part of a term: by its first two letters, which a prefix of two letters or more has too."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(parts)).cast("int")
+
+
+def parts_asked(part: Column, terms: list[str], prefixes: list[str], parts: int) -> Column:
+    """Whether a part may have one of the terms or prefixes.  Constant expressions, folded before the scan: other parts are not listed."""
+    if any(len(p) < 2 for p in prefixes):
+        return F.lit(True)
+    return part.isin(*[part_of(F.lit(t), parts) for t in [*terms, *prefixes]]) if terms or prefixes else F.lit(False)
 
 
 def postings(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
@@ -153,68 +189,65 @@ def term_filter(term: Column, terms: list[str], prefixes: list[str]) -> Column:
 
 @dataclass
 class Index:
-    """Passage lengths and the two numbers of the whole index that BM25 needs, with the passages' tokens or a table of their postings.
+    """What a query needs of an index: the number of passages and their mean length, and their tokens, a table of postings, or stored lists.
 
-    Without a table only the positions of a query's own terms are worked out; with one (partitioned by term, see store) only
-    those terms are read."""
+    Without a table only the positions of a query's own terms are worked out; with one, or with lists, only the parts of those terms are read."""
 
-    lengths: DataFrame
     passages: int
     mean_length: float
+    ids: str = "bigint"
     tokens: DataFrame | None = None
     table: DataFrame | None = None
     lists: DataFrame | None = None
     parts: int = 0
 
+    @property
+    def words(self) -> int:
+        return round(self.passages * self.mean_length) if self.passages else 0
+
     @staticmethod
-    def build(texts: DataFrame, id_col: str = "id", text: Column | None = None, length_col: str | None = None) -> Index:
-        """length_col: the column that has a passage's number of tokens, where they were counted already."""
+    def build(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
         tokens = tokenized(texts, id_col, text)
-        own = texts.select(F.col(id_col).alias("id"), F.col(length_col).alias("dl")) if length_col else tokens.select("id", F.size("tokens").alias("dl")).persist()  # sixteen bytes a passage; every query needs it
-        return Index(own, *Index._numbers(own), tokens=tokens)
-
-    def close(self) -> None:
-        """Give back what build() keeps in memory."""
-        self.lengths.unpersist()
+        total = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).collect()[0]
+        return Index(total["n"], total["mean"] or 1.0, tokens.schema["id"].dataType.simpleString(), tokens=tokens)
 
     @staticmethod
-    def _numbers(own: DataFrame) -> tuple[int, float]:
-        total = own.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).collect()[0]
-        return total["n"], total["mean"] or 1.0
-
-    def store(self, path: str, parts: int = 64) -> Index:
-        """Write postings and lengths below path, postings by a hash of the term, so that a query reads a few parts.
-
-        A row is a term with the passages of one batch.  A part may be several files, by a hash of the first passage: a term that a third
-        of all passages have isn't one task's work."""
-        kind = self.tokens.schema["id"].dataType.simpleString()
-        lists = self.tokens.select("id", "tokens").mapInArrow(_listed, f"term string, ids array<{kind}>, tfs array<int>, positions array<array<int>>")
-        rows = lists.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        files = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(max(1, -(-self.passages // PASSAGES_A_FILE))))
-        rows.repartition("part", files).sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        return Index.load(self.lengths.sparkSession, path, parts)
+    def write(texts: DataFrame, path: str, id_col: str = "id", text: Column | None = None, parts: int = 64, passages: int | None = None) -> Index:
+        """Tokenize passages, once, and write their postings below path; passages: how many there are, if that is known.
+
+        A part may be several files, by a hash of the shard: a term that a third of all passages have isn't one task's work."""
+        spark, kind = texts.sparkSession, dict(texts.dtypes)[id_col]
+        passages = texts.count() if passages is None else passages
+        columns = f"term string, shard long, n int, tfmax int, dlmin int, ids array<{kind}>, tfs array<int>, positions array<array<int>>, dls array<int>"
+        rows = tokenized(texts, id_col, text).select("id", "tokens").mapInArrow(_listed, columns).withColumn("part", part_of(F.col("term"), parts))
+        files = F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-passages // PASSAGES_A_FILE))))
+        rows.repartition("part", files).sortWithinPartitions("part", "term", "shard").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        lists = spark.read.parquet(f"{path}/postings")
+        words = lists.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).collect()[0][0] or 0
+        spark.range(1).select(F.lit(passages).cast("long").alias("passages"), F.lit(words).cast("long").alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+        return Index.load(spark, path, parts)
 
     @staticmethod
     def load(spark, path: str, parts: int = 64) -> Index:
-        own = spark.read.parquet(f"{path}/lengths")
-        return Index(own, *Index._numbers(own), lists=spark.read.parquet(f"{path}/postings"), parts=parts)
+        numbers, lists = spark.read.parquet(f"{path}/numbers").collect()[0], spark.read.parquet(f"{path}/postings")
+        return Index(numbers["passages"], numbers["words"] / numbers["passages"] if numbers["words"] else 1.0, lists.schema["ids"].dataType.elementType.simpleString(), lists=lists, parts=parts)
 
     def postings(self) -> DataFrame:
         if self.lists is not None:
             return _unlisted(self.lists)
         return self.table if self.table is not None else _all_spots(self.tokens)
 
+    def of_parts(self, rows: DataFrame, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
+        """The rows of some terms and of all that start with some prefixes."""
+        own = rows.where(term_filter(F.col("term"), terms, list(prefixes)))
+        return own.where(parts_asked(F.col("part"), terms, list(prefixes), self.parts)) if self.parts else own
+
     def find(self, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
         """Postings of some terms and of all that start with some prefixes."""
         if self.table is not None:
-            return self.table.where(term_filter(F.col("term"), terms, list(prefixes)))
+            return self.of_parts(self.table, terms, prefixes)
         if self.lists is not None:
-            own = self.lists.where(term_filter(F.col("term"), terms, list(prefixes)))
-            if terms and not prefixes:
-                # Constant expressions, folded before the scan: only the parts of the terms are listed.
-                own = own.where(F.col("part").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.parts)).cast("int") for t in terms]))
-            return _unlisted(own)
+            return _unlisted(self.of_parts(self.lists, terms, prefixes))
         return _spots(self.tokens, F.filter(F.array_distinct("tokens"), lambda t: term_filter(t, terms, list(prefixes))))
 
 
@@ -283,7 +316,7 @@ def only_empty_words(query: str) -> bool:
 
 
 def piece_hits(index: Index, own: list[Piece]) -> DataFrame:
-    """(piece, id, tf): where each piece of a query occurs and how often."""
+    """(piece, id, tf, dl): where each piece of a query occurs and how often, and how long the passage is."""
     singles, parts = {}, []
     for k, p in enumerate(own):
         terms = p.terms()
@@ -291,15 +324,15 @@ def piece_hits(index: Index, own: list[Piece]) -> DataFrame:
             singles.setdefault(terms[0], []).append(k)
         elif len(terms) == 1:
             rows = index.find([], [terms[0]])
-            parts.append(rows.groupBy("id").agg(F.sum("tf").alias("tf")).select(F.lit(k).alias("piece"), "id", "tf"))
+            parts.append(rows.groupBy("id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl")).select(F.lit(k).alias("piece"), "id", "tf", "dl"))
         elif terms:
             parts.append(_phrase(index, k, terms, p.prefix))
     if singles:
         table = F.create_map(*[x for t, ks in singles.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))])
         rows = index.find(list(singles))
-        parts.insert(0, rows.select(F.explode(table[F.col("term")]).alias("piece"), "id", F.col("tf").cast("long").alias("tf")))
+        parts.insert(0, rows.select(F.explode(table[F.col("term")]).alias("piece"), "id", F.col("tf").cast("long").alias("tf"), "dl"))
     if not parts:
-        return index.lengths.select(F.lit(0).alias("piece"), "id", F.lit(0).cast("long").alias("tf")).limit(0)
+        return index.postings().select(F.lit(0).alias("piece"), "id", F.lit(0).cast("long").alias("tf"), "dl").limit(0)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -313,11 +346,12 @@ def _phrase(index: Index, k: int, terms: list[str], prefix: bool) -> DataFrame:
     spots = rows.groupBy("id").agg(
         *[F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"p{i}") for i, t in enumerate(terms[:-1])],
         F.flatten(F.collect_list(F.when(last, F.col("positions")))).alias(f"p{len(terms) - 1}"),
+        F.max("dl").alias("dl"),
     )
     starts = F.col("p0")
     for i in range(1, len(terms)):
         starts = F.array_intersect(starts, F.transform(f"p{i}", lambda x: x - i))
-    return spots.select(F.lit(k).alias("piece"), "id", F.size(starts).cast("long").alias("tf")).where("tf > 0")
+    return spots.select(F.lit(k).alias("piece"), "id", F.size(starts).cast("long").alias("tf"), "dl").where("tf > 0")
 
 
 @dataclass
@@ -328,6 +362,7 @@ class Plan:
     used: list[int]
     pieces: list[Piece]
     frequency: dict[int, int] = field(default_factory=dict)
+    shards: tuple[int, int] | None = field(default=None, compare=False)  # those with all pieces, and those that were scored
 
     @property
     def words(self) -> list[str]:
@@ -363,18 +398,62 @@ def plan(index: Index, query: str) -> tuple[Plan, DataFrame]:
     return relax(query, own, {frozenset(r["have"]): r["count"] for r in by_set}), hits
 
 
+def idf(passages: int, frequency: int) -> float:
+    return max(LEAST_IDF, math.log((passages - frequency + 0.5) / (frequency + 0.5)) if frequency <= passages else LEAST_IDF)
+
+
+def _contribution(tf: Column, dl: Column, mean: float) -> Column:
+    """What a frequency in a passage of a length adds for an idf of 1: it grows with tf and falls with dl."""
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.lit(float(mean))))
+
+
 def rank(index: Index, decided: Plan, hits: DataFrame) -> DataFrame:
     """(id, bm) of the passages that have all required pieces; smaller is better.  Counts are those of the whole index."""
     if not decided.used:
-        return index.lengths.select("id", F.lit(0.0).alias("bm")).limit(0)
-    n = index.passages
-    idf = {k: max(LEAST_IDF, math.log((n - decided.frequency[k] + 0.5) / (decided.frequency[k] + 0.5)) if decided.frequency[k] <= n else LEAST_IDF) for k in decided.used}
-    tf = F.col("tf")
-    part = _lookup(F.col("piece"), idf, 0.0) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.mean_length))))
-    scored = hits.where(F.col("piece").isin(*decided.used)).join(index.lengths, "id").groupBy("id").agg(F.sum(part).alias("s"), F.count("*").alias("have"))
+        return hits.select("id", F.lit(0.0).alias("bm")).limit(0)
+    weights = {k: idf(index.passages, decided.frequency[k]) for k in decided.used}
+    part = _lookup(F.col("piece"), weights, 0.0) * _contribution(F.col("tf"), F.col("dl"), index.mean_length)
+    scored = hits.where(F.col("piece").isin(*decided.used)).groupBy("id").agg(F.sum(part).alias("s"), F.count("*").alias("have"))
     return scored.where(F.col("have") == len(decided.used)).select("id", (-F.col("s")).alias("bm"))
 
 
+def best(index: Index, query: str, rows: DataFrame, limit: int) -> tuple[Plan, DataFrame] | None:
+    """The `limit` best rows (id, ...) that have all pieces of a query, with bm, as by plan() and rank(): from a stored index and for pieces that are single
+    words.  Without such an index, for other queries, and where nothing is found, None.
+
+    Document frequencies and the bounds of each shard come from the rows' small columns.  The SEEDS shards of the highest bounds are scored; if they
+    have `limit` rows, shards that can't reach the last of these are never read.  Bounds are rounded up, so equal scores are not lost."""
+    own = pieces(query)
+    terms = [p.terms() for p in own]
+    if index.lists is None or not own or any(len(t) != 1 or p.prefix for t, p in zip(terms, own, strict=True)) or len({t[0] for t in terms}) < len(own):
+        return None
+    words = [t[0] for t in terms]
+    bounds = index.of_parts(index.lists, words).select("term", "shard", "n", "tfmax", "dlmin")
+    frequency = {r["term"]: r["df"] for r in bounds.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    if len(frequency) < len(words):
+        return None
+    decided = Plan("solo_vacias" if only_empty_words(query) else "todas", list(range(len(own))), own, {k: frequency[w] for k, w in enumerate(words)})
+    weights = {w: idf(index.passages, frequency[w]) for w in words}
+    most = F.sum(_lookup(F.col("term"), weights, 0.0) * _contribution(F.col("tfmax"), F.col("dlmin"), index.mean_length)) * (1 + 1e-9)
+    promise = bounds.groupBy("shard").agg(most.alias("most"), F.count("*").alias("have")).where(F.col("have") == len(words))
+    piece = {w: k for k, w in enumerate(words)}
+
+    def scored(own_shards: DataFrame) -> DataFrame:
+        hits = _unlisted(own_shards).select(_lookup(F.col("term"), piece, -1).alias("piece"), "id", F.col("tf").cast("long").alias("tf"), "dl")
+        return rank(index, decided, hits).join(rows, "id").orderBy("bm", "id").limit(limit)
+
+    lists = index.of_parts(index.lists, words)
+    seeds = [r["shard"] for r in promise.orderBy(F.desc("most"), "shard").limit(SEEDS).collect()]
+    if not seeds:
+        return None
+    reached = scored(lists.where(F.col("shard").isin(*seeds))).agg(F.count("*").alias("n"), F.max("bm").alias("last")).collect()[0]
+    wanted = promise.where(F.col("most") >= -reached["last"]) if reached["n"] >= limit else promise
+    named = [r["shard"] for r in wanted.select("shard").limit(NAMED_SHARDS + 1).collect()]
+    decided.shards = promise.count(), len(named) if len(named) <= NAMED_SHARDS else wanted.count()
+    found = scored(lists.where(F.col("shard").isin(*named)) if len(named) <= NAMED_SHARDS else lists.join(wanted.select("shard"), "shard", "left_semi"))
+    return None if not reached["n"] and found.isEmpty() else (decided, found)
+
+
 def length_weight(words: Column) -> Column:
     out = F.lit(1.0)
     for least, weight in reversed(LENGTH_WEIGHT):
@@ -395,7 +474,6 @@ def search(index: Index, table: DataFrame, query: str, limit: int = 40, classes:
     """The best passages: the top candidates by BM25 after the filters, weighted, one a page and class, at most per_volume a volume.
 
     table has id, canonico, autor, obra, hoja, clase, seccion, palabras and whatever else is to come back."""
-    decided, hits = plan(index, query)
     rows = table.where(scope_filter(classes))
     if volume:
         rows = rows.where(F.col("canonico") == volume)
@@ -403,11 +481,15 @@ def search(index: Index, table: DataFrame, query: str, limit: int = 40, classes:
         rows = rows.where(F.contains(F.lower("autor"), F.lit(author.lower())))
     if work:
         rows = rows.where(F.contains(F.lower("obra"), F.lit(work.lower())))
-    best = rank(index, decided, hits).join(rows, "id").orderBy("bm", "id").limit(max(limit, candidates))
-    best = best.withColumn("peso", weighted(F.col("bm"), F.col("clase"), F.col("seccion"), F.col("palabras")))
+    found = best(index, query, rows, max(limit, candidates))
+    if found is None:
+        decided, hits = plan(index, query)
+        found = decided, rank(index, decided, hits).join(rows, "id").orderBy("bm", "id").limit(max(limit, candidates))
+    decided, top = found
+    top = top.withColumn("peso", weighted(F.col("bm"), F.col("clase"), F.col("seccion"), F.col("palabras")))
     # At most `candidates` rows from here on.
     order = [F.asc("peso"), F.asc("bm"), F.asc("id")]
-    once = best.withColumn("__first", F.row_number().over(Window.partitionBy("canonico", "hoja", "clase").orderBy(*order))).where("__first = 1").drop("__first")
+    once = top.withColumn("__first", F.row_number().over(Window.partitionBy("canonico", "hoja", "clase").orderBy(*order))).where("__first = 1").drop("__first")
     if per_volume:
         once = once.withColumn("__place", F.row_number().over(Window.partitionBy("canonico").orderBy(*order))).where(F.col("__place") <= per_volume).drop("__place")
     return decided, once.orderBy(*order).limit(limit)
@@ -461,6 +543,35 @@ def suggest_names(names: DataFrame, prefix: str, limit: int = 12) -> DataFrame:
     return rows.groupBy("normal").agg(F.min("nombre").alias("nombre"), F.sum("cuantas").alias("peso")).orderBy(F.desc("peso"), "normal").limit(limit)
 
 
+DEEPEST, KEPT = 12, 12
+
+
+def completions(names: DataFrame) -> DataFrame:
+    """(prefijo, lugar, normal, nombre, peso): for each prefix of two to DEEPEST letters the KEPT names of most references, as suggest_names orders them.
+    Places are limited before the shuffle, so a prefix that many names have isn't one task's work."""
+    own = names.groupBy("normal").agg(F.min("nombre").alias("nombre"), F.sum("cuantas").alias("peso")).where("length(normal) >= 2")
+    prefixes = F.transform(F.sequence(F.lit(2), F.least(F.length("normal"), F.lit(DEEPEST))), lambda k: F.substring(F.col("normal"), F.lit(1), k))
+    place = F.row_number().over(Window.partitionBy("prefijo").orderBy(F.desc("peso"), "normal"))
+    return own.select(F.explode(prefixes).alias("prefijo"), "normal", "nombre", "peso").withColumn("lugar", place).where(F.col("lugar") <= KEPT)
+
+
+def store_completions(names: DataFrame, path: str, parts: int = 64) -> None:
+    rows = completions(names).withColumn("part", part_of(F.col("prefijo"), parts))
+    rows.repartition("part").sortWithinPartitions("part", "prefijo", "lugar").write.partitionBy("part").mode("overwrite").parquet(path)
+
+
+def complete(stored: DataFrame, prefix: str, parts: int = 64, limit: int = KEPT) -> DataFrame | None:
+    """suggest_names from stored completions: one part is read, and nothing is aggregated.  None for prefixes that are longer than those
+    kept: suggest_names answers them."""
+    key = fold_words(prefix)
+    if len(key) > DEEPEST or limit > KEPT:
+        return None
+    if len(key) < 2:
+        return stored.limit(0).select("normal", "nombre", "peso")
+    own = stored.where((F.col("part") == part_of(F.lit(key), parts)) & (F.col("prefijo") == key) & (F.col("lugar") <= limit))
+    return own.orderBy("lugar").select("normal", "nombre", "peso")
+
+
 def names_in_passages(table: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
     """(id, nombres): names of a passage's volume that occur in it, by how often and how long, without those inside others."""
     heads = names.select("canonico", strip(F.get(F.split("nombre", ","), F.lit(0))).alias("nombre"), strip(F.get(F.split("normal", ","), F.lit(0))).alias("head")).where("length(head) >= 4")

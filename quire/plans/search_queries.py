@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import ALL_SPACE, SPACE, search_tokens
+from quire.functions.text import ALL_SPACE, SPACE
 from quire.operators import search as R
 from quire.plans.store_queries import read
 from quire.session import work_path
@@ -44,9 +44,9 @@ _STORED: dict[tuple[str, str], tuple[R.Index, DataFrame]] = {}
 
 def build(spark, sf, path: str) -> tuple[R.Index, DataFrame]:
     """Passages and their index, cut, tokenized and written below path."""
-    table(spark, sf).withColumn("dl", F.size(search_tokens(F.coalesce("busqueda", "texto")))).write.parquet(f"{path}/passages")
+    table(spark, sf).write.parquet(f"{path}/passages")
     rows = spark.read.parquet(f"{path}/passages")
-    return R.Index.build(rows, length_col="dl").store(path, parts=16), rows
+    return R.Index.write(rows, path, parts=16), rows
 
 
 def stored(spark, sf) -> tuple[R.Index, DataFrame]:
@@ -99,9 +99,8 @@ _WEIGHT = "CASE clase WHEN 'obra' THEN 1.0 WHEN 'editor' THEN 0.85 WHEN 'aparato
 def search_index(spark, sf):
     """A whole index built anew: passages, words, and postings."""
     index, _ = build(spark, sf, work_path(spark, "search"))
-    words = index.lengths.agg(F.count("*").alias("pasajes"), F.sum("dl").alias("palabras"))
-    entries = index.lists.agg(F.sum(F.size("ids"))).collect()[0][0]
-    return words.withColumn("entradas", F.lit(entries).cast("long"))
+    entries = index.lists.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entradas"))
+    return entries.select(F.lit(index.passages).cast("long").alias("pasajes"), F.lit(index.words).cast("long").alias("palabras"), "entradas")
 
 
 @query(f"WITH {CHUNKS}, {_TWO} SELECT id, round(bm, 6) AS bm FROM ranked")
@@ -113,9 +112,12 @@ def bm25_scores(spark, sf):
 
 @query(f"WITH {CHUNKS}, {_TWO} SELECT id, round(bm, 6) AS bm FROM ranked ORDER BY ranked.bm, id LIMIT 40")
 def bm25_topk(spark, sf):
-    index, _ = stored(spark, sf)
-    decided, hits = R.plan(index, "the and")
-    return R.rank(index, decided, hits).orderBy("bm", "id").limit(40).select("id", F.round("bm", 6).alias("bm"))
+    index, rows = stored(spark, sf)
+    found = R.best(index, "the and", rows.select("id"), 40)
+    if found is None:
+        decided, hits = R.plan(index, "the and")
+        found = decided, R.rank(index, decided, hits).orderBy("bm", "id").limit(40)
+    return found[1].select("id", F.round("bm", 6).alias("bm"))
 
 
 @query(f"""WITH {CHUNKS}, {_TWO}, best AS (SELECT r.id, bm, hoja, canonico, clase, seccion, len(regexp_extract_all(texto, '[^{_WS}]+')) AS p FROM ranked r JOIN chunks USING (id) ORDER BY bm, id LIMIT 400),
@@ -194,6 +196,15 @@ def names_suggest(spark, sf):
     return R.suggest_names(_names(spark, sf), "Bl")
 
 
+@query("""WITH n AS (SELECT lower(p_name) AS normal, min(p_name) AS nombre, CAST(sum(p_size) AS BIGINT) AS peso FROM part GROUP BY 1), p AS (SELECT *, unnest(range(2, least(length(normal), 12) + 1)) AS k FROM n)
+SELECT prefijo, lugar, normal, nombre, peso FROM (SELECT normal[1:k] AS prefijo, normal, nombre, peso, CAST(row_number() OVER (PARTITION BY normal[1:k] ORDER BY peso DESC, normal) AS INT) AS lugar FROM p) WHERE lugar <= 12""")
+def name_completions(spark, sf):
+    """The completion table of all names: for each prefix its twelve best."""
+    path = work_path(spark, "completions")
+    R.store_completions(_names(spark, sf), path, parts=16)
+    return spark.read.parquet(path).drop("part")
+
+
 @query("""SELECT l_orderkey, concat_ws(' · ', 'Tomo ' || CAST(l_suppkey AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN 'Obra' ELSE 'Título' END,
  CASE WHEN l_linenumber % 3 = 0 AND l_partkey <> 0 THEN 'pág. ' || CAST(l_partkey AS VARCHAR) WHEN l_linenumber % 3 = 1 THEN '229D' WHEN l_orderkey <> 0 THEN 'hoja ' || CAST(l_orderkey AS VARCHAR) || ' del PDF' END, CASE WHEN l_linenumber = 4 THEN 'nota 7' END) AS cita FROM lineitem""")
 def citations(spark, sf):

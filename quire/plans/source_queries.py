@@ -492,7 +492,7 @@ def index_update(spark, sf):
     store.compact()
     rows = [(name, r.tomos, r.total, r.pasajes, r.nombres, r.saltados, r.borrados) for name, r in zip(("primera", "segunda", "tercera"), runs, strict=True)]
     volumes, index = store.volumes().count(), store.index()
-    rows.append(("tabla", volumes, index.lengths.select("id").distinct().count() and volumes, index.passages, store.table("nombres").count(), 0, 0))
+    rows.append(("tabla", volumes, index.passages and volumes, store.table("pasajes").select("id").distinct().count(), store.table("nombres").count(), 0, 0))
     return spark.createDataFrame(rows, "que string, tomos long, total long, pasajes long, nombres long, saltados long, borrados long")
 
 

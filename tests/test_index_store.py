@@ -1,4 +1,5 @@
 import json
+import re
 
 from quire.operators.index_store import Store, alphabetical, joined_names
 from quire.operators.search import plan, rank
@@ -42,6 +43,31 @@ def test_updates(spark, tmp_path):
     assert [(r.nombre, r.refs, r.autor, r.orden) for r in names] == [("Aquiles", "1; 2", "Autor b", 1)]
 
 
+def test_generations_are_merged(spark, tmp_path):
+    """After each run the answers are those of an index built at once, and generations stay few."""
+    source = tmp_path / "volumes"
+    source.mkdir()
+    store = Store(spark, str(tmp_path / "index"), fanout=2)
+    for turn in range(6):
+        volume(source, f"v{turn}", turn, [f"canta la musa {turn}", "otra hoja" + " más" * turn])
+        if turn == 3:
+            volume(source, "v0", 0, ["canta de nuevo"])
+        if turn == 4:
+            (source / "v1.jsonl").unlink()
+        store.update(str(source))
+        live = {r.generacion for r in store.manifest().collect()}
+        assert len(live) <= 3
+    whole = Store(spark, str(tmp_path / "whole"))
+    whole.update(str(source))
+    for query in ("canta", "otra mas", '"la musa"', "mus*"):
+        assert found(store, query) == found(whole, query) and found(store, query)
+    scores = lambda s: sorted(round(r.bm, 9) for r in rank(s.index(), *plan(s.index(), "canta musa")).collect())
+    assert scores(store) == scores(whole) and store.table("pasajes").select("id").distinct().count() == store.index().passages == whole.index().passages
+    assert {int(f.name.split("=")[1]) for f in (tmp_path / "index" / "postings").iterdir() if f.name.startswith("generacion=")} >= live
+    asked = store.index().find(["canta"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"part#\d+ = \d+", asked)
+
+
 def test_alphabetical(spark):
     rows = spark.createDataFrame([(n,) for n in ("Zenón", "Ésquilo", "Esopo", "ánfora")], "canonico string")
     assert [r.canonico for r in alphabetical(rows).collect()] == ["ánfora", "Esopo", "Ésquilo", "Zenón"]

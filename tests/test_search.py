@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from pathlib import Path
 
@@ -136,11 +137,61 @@ def test_page_of_the_day(corpus, spark):
 
 def test_stored_index_answers_alike(corpus, tmp_path):
     index, rows = corpus
-    stored = index.store(str(tmp_path / "index"), 4)
-    for query in ("griegos los", '"a los griegos"', "lacede* griegos", "trirreme Aquiles"):
+    stored = R.Index.write(rows, str(tmp_path / "index"), parts=4)
+    assert (stored.passages, stored.words) == (index.passages, index.words)
+    for query in ("griegos los", '"a los griegos"', "lacede* griegos", "trirreme Aquiles", "los", "griegos zzz"):
         assert find((stored, rows), query) == find(corpus, query)
 
 
+def test_best_equals_scoring_all(spark, tmp_path, monkeypatch):
+    """Bounds skip shards and lose no row; ties stay in order of their ids."""
+    rng = random.Random(3)
+    monkeypatch.setattr(R, "SHARD", 40)
+    monkeypatch.setattr(R, "SEEDS", 3)
+    texts = []
+    for i in range(2000):
+        words = [rng.choice(["mar", "sol", "luz", "pan"]) for _ in range(rng.randint(0, 3))] + ["rel"] * rng.randint(20, 60)
+        if i // 40 in (7, 19, 33):
+            words += ["mar"] * rng.randint(1, 6) + ["sol"] * rng.randint(1, 6)
+        texts.append((i, " ".join(words)))
+    rows = spark.createDataFrame(texts, "id long, texto string").withColumn("busqueda", F.lit(None).cast("string")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        index = R.Index.write(rows, str(tmp_path / "index"), parts=4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = R.Index.build(rows)
+    for query in ("mar sol", "mar", "sol luz pan"):
+        for limit in (10, 60):
+            decided, got = R.best(index, query, rows.select("id"), limit)
+            planned, hits = R.plan(plain, query)
+            want = R.rank(plain, planned, hits).orderBy("bm", "id").limit(limit).collect()
+            assert [(r.id, round(r.bm, 9)) for r in got.collect()] == [(r.id, round(r.bm, 9)) for r in want]
+            assert (decided.mode, decided.frequency) == (planned.mode, planned.frequency)
+            if query == "mar sol" and limit == 10:
+                assert decided.shards[1] < decided.shards[0] / 4
+    assert R.best(index, "mar zzz", rows.select("id"), 5) is None and R.best(index, '"mar sol"', rows.select("id"), 5) is None and R.best(plain, "mar", rows.select("id"), 5) is None
+
+
+def test_a_prefix_reads_one_part(corpus, spark, tmp_path):
+    index = R.Index.write(corpus[1], str(tmp_path / "index"), parts=8)
+    for terms, prefixes, most in ((["griegos"], [], 1), ([], ["lace"], 1), (["los"], ["gri"], 2)):
+        plan = index.find(terms, prefixes)._jdf.queryExecution().executedPlan().toString()
+        asked = re.search(r"part#\d+ (?:IN \(([\d,]+)\)|= (\d))", plan)
+        assert len((asked[1] or asked[2]).split(",")) <= most
+
+
+def test_completions(spark, tmp_path):
+    rng = random.Random(6)
+    names = [("".join(rng.choice("ab ñ") for _ in range(rng.randint(1, 16))), rng.randint(1, 4)) for _ in range(400)]
+    rows = spark.createDataFrame([(n.title(), n, k) for n, k in names], "nombre string, normal string, cuantas int")
+    R.store_completions(rows, str(tmp_path / "c"), parts=4)
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    for prefix in ("ab", "b", "aab", "abababababab", "zz"):
+        assert R.complete(stored, prefix, parts=4).collect() == R.suggest_names(rows, prefix).collect(), prefix
+    assert R.complete(stored, "a" * 13, parts=4) is None
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
