@@ -47,18 +47,41 @@ def text_sheets(sections_: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.join(first, "doc", "left").select("doc", F.greatest(F.lit(0), F.coalesce(F.col("tail") - 1, F.col("pages"))).alias("hojas"))
 
 
+#: Sheets that a window sweeps at a time: a volume of any size is many tasks' work.
+SWEEP = 1024
+
+
+def _swept(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """pages (doc, pdf) with `__hit`: what holds of the range (doc, a, b, hit) that holds them.  Ranges of a doc don't overlap.
+
+    Starts and sheets of a stretch of SWEEP sheets are sorted together, and each sheet takes the last start before it; a range is
+    put down once in each stretch that it reaches, up to the last sheet."""
+    top = pages.groupBy("doc").agg(F.max("pdf").alias("__top"))
+    cell = lambda at: F.floor(at / F.lit(SWEEP))
+    reach = ranges.join(top, "doc").where("a <= __top and a <= b").withColumn("__cell", F.explode(F.sequence(cell(F.col("a")), cell(F.least("b", "__top")))))
+    row = F.struct(*[F.col(c) for c in pages.columns])
+    starts = reach.select("doc", "__cell", F.greatest(F.col("a"), F.col("__cell") * SWEEP).cast("long").alias("__at"), F.struct("b", "hit").alias("__range"), F.lit(None).cast(pages.select(row).schema[0].dataType).alias("__row"))
+    sheets = pages.select("doc", cell(F.col("pdf")).alias("__cell"), F.col("pdf").cast("long").alias("__at"), F.lit(None).cast(starts.schema["__range"].dataType).alias("__range"), row.alias("__row"))
+    sweep = Window.partitionBy("doc", "__cell").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.unionByName(sheets).withColumn("__last", F.last("__range", ignorenulls=True).over(sweep)).where("__row is not null")
+    return placed.select("__row.*", F.when(F.col("__last.b") >= F.col("__at"), F.col("__last.hit")).alias("__hit"))
+
+
 def section_of(pages: DataFrame, sections_: DataFrame) -> DataFrame:
-    """pages (doc, pdf) with the first section whose range holds them; a text without a title where none does."""
-    ranges = sections_.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("desde", "hasta", "tipo", "titulo"))).alias("__s"))
-    hit = F.get(F.filter("__s", lambda s: F.col("pdf").between(s["desde"], s["hasta"])), F.lit(0))
-    return pages.join(ranges, "doc", "left").select(*pages.columns, F.coalesce(hit["tipo"], F.lit("texto")).alias("seccion"), F.coalesce(hit["titulo"], F.lit("")).alias("titulo"))
+    """pages (doc, pdf) with the first section whose range holds them; a text without a title where none does.
+
+    In order of their starts, what sections hold before another one does begins behind the furthest end of those before it; so cut they don't overlap."""
+    order = Window.partitionBy("doc").orderBy("desde", "hasta", "tipo", "titulo").rowsBetween(Window.unboundedPreceding, -1)
+    own = sections_.where("desde is not null and hasta is not null").select("doc", F.greatest(F.col("desde"), F.coalesce(F.max("hasta").over(order) + 1, F.col("desde"))).cast("long").alias("a"), F.col("hasta").cast("long").alias("b"), F.struct("tipo", "titulo").alias("hit"))
+    return _swept(pages, own).select(*pages.columns, F.coalesce("__hit.tipo", F.lit("texto")).alias("seccion"), F.coalesce("__hit.titulo", F.lit("")).alias("titulo"))
 
 
 def work_of(pages: DataFrame, works: DataFrame) -> DataFrame:
     """pages (doc, pdf) with the last work (doc, page, title) that starts on or before them."""
-    starts = works.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page", "title"))).alias("__w"))
-    hit = F.element_at(F.filter("__w", lambda w: w["page"] <= F.col("pdf")), -1)
-    return pages.join(starts, "doc", "left").select(*pages.columns, F.when(F.size(F.filter(F.coalesce("__w", F.array().cast("array<struct<page: int, title: string>>")), lambda w: w["page"] <= F.col("pdf"))) > 0, hit["title"]).otherwise("").alias("obra"))
+    starts = works.where("page is not null").groupBy("doc", "page").agg(F.max("title").alias("title"))
+    following = F.lead("page").over(Window.partitionBy("doc").orderBy("page"))
+    own = starts.select("doc", F.col("page").cast("long").alias("a"), F.coalesce(following - 1, F.lit((1 << 62) - 1)).cast("long").alias("b"), F.struct("title").alias("hit"))
+    return _swept(pages, own).select(*pages.columns, F.when(F.col("__hit").isNotNull(), F.col("__hit.title")).otherwise("").alias("obra"))
 
 
 def works_of_toc(toc: DataFrame) -> DataFrame:

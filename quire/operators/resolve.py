@@ -22,6 +22,8 @@ from quire.functions.text import fold, strip
 MOST_VOLUMES = 50_000
 THRESHOLD = 7.0
 CERTAIN = float("inf")
+#: What the likeness of the whole counts, and what rounding may take from a bound.
+ALIKE, SLACK = 6.0, 1e-9
 
 # Roman ordinals, where a volume's number stands, words that identify nothing, names that are no author.
 ROMAN = r"(?=[IVXLC])C{0,3}(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
@@ -190,6 +192,7 @@ class Matcher:
 
     def __init__(self, rows: list[dict]) -> None:
         self.volumes = [Volume.of(i, r) for i, r in enumerate(rows)]
+        self.candidates = self.compared = 0
         self.by_order: dict[int, int] = {}
         by_word: dict[str, list[int]] = {}
         for v in self.volumes:
@@ -203,36 +206,61 @@ class Matcher:
         if by_word:
             self.authors.make_automaton()
 
-    def score(self, volume: Volume, title: str, plain: str | None = None) -> float:
-        """Author words, words of the work, their order, likeness of the whole, and the volume's number."""
-        plain = normal(title) if plain is None else plain
+    def certain(self, volume: Volume, plain: str, words: list[str], said: set[str]) -> tuple[float, float, float] | None:
+        """The parts of a score that cost little: author words and words of the work, their order, and the volume's number; None if it scores nothing."""
         authors = sum(w in plain for w in volume.author_words)
         if not authors:
-            return 0.0
+            return None
         hits = sum(w in plain for w in set(volume.works)) if volume.works else int(bool(volume.bare) and volume.bare in plain)
         if not hits:
-            return 0.0
-        order = max(0, longest_common(volume.works, significant(title)) - 1) * 2.0
-        alike = SequenceMatcher(None, volume.whole, plain).ratio() * 6.0
-        said = roman_tokens(title)
+            return None
         number = 0.0
         if volume.volumes:
             shared = len(volume.volumes & said)
             number = min(shared, 2) * 2.5 if shared or not said else -2.0
-        return authors * 3.0 + min(hits, 4) * 2.0 + order + alike + number
+        return authors * 3.0 + min(hits, 4) * 2.0, max(0, longest_common(volume.works, words) - 1) * 2.0, number
+
+    def score(self, volume: Volume, title: str) -> float:
+        """Author words, words of the work, their order, likeness of the whole, and the volume's number."""
+        plain = normal(title)
+        known = self.certain(volume, plain, significant(title), roman_tokens(title))
+        return 0.0 if known is None else known[0] + known[1] + SequenceMatcher(None, volume.whole, plain).ratio() * ALIKE + known[2]
 
     def match(self, title: str | None) -> tuple[int, float] | None:
-        """(place, score) of a title's volume: by its number in the series, else the best score over the threshold."""
+        """(place, score) of a title's volume: by its number in the series, else the best score over the threshold.
+
+        The likeness of the whole is the dear part.  It is at most what two texts of these lengths can have in common, and at most what their letters
+        allow; volumes are taken by the highest score that they can have, and left out once that is below the best found (`compared` counts the
+        others, of `candidates`)."""
         if not title or not self.volumes:
             return None
         plain = normal(title)
         found = re.search(SERIES_NUMBER, plain)
         if found and int(found.group(1)) in self.by_order:
             return self.by_order[int(found.group(1))], CERTAIN
+        words, said = significant(title), roman_tokens(title)
         near = sorted({p for _, places in self.authors.iter(plain) for p in places}) if len(self.authors) else []
-        scored = [(self.score(self.volumes[p], title, plain), -p) for p in near]
-        best = max(scored, default=(0.0, 0))
-        return (-best[1], best[0]) if best[0] >= THRESHOLD else None
+        open_ones = []
+        for place in near:
+            known = self.certain(self.volumes[place], plain, words, said)
+            if known is not None:
+                n = len(self.volumes[place].whole)
+                most = 2.0 * min(n, len(plain)) / (n + len(plain)) if n + len(plain) else 1.0
+                open_ones.append((-(sum(known) + most * ALIKE), place, known))
+        self.candidates += len(near)
+        matcher = SequenceMatcher(None, "", plain)
+        best, where = THRESHOLD, None
+        for bound, place, known in sorted(open_ones):
+            if -bound + SLACK < best:
+                break
+            matcher.set_seq1(self.volumes[place].whole)
+            if sum(known) + matcher.quick_ratio() * ALIKE + SLACK < best:
+                continue
+            self.compared += 1
+            own = known[0] + known[1] + matcher.ratio() * ALIKE + known[2]
+            if own > best or (own == best and (where is None or place < where)):
+                best, where = own, place
+        return None if where is None else (where, best)
 
 
 def resolve(titles: DataFrame, catalogue: DataFrame, title_col: str = "titulo", row: str = "fila", most: int = MOST_VOLUMES) -> DataFrame:

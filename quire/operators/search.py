@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -572,16 +573,49 @@ def complete(stored: DataFrame, prefix: str, parts: int = 64, limit: int = KEPT)
     return own.orderBy("lugar").select("normal", "nombre", "peso")
 
 
+#: Passages of a volume that one automaton reads, about.
+PASSAGES_A_TASK = 4_096
+
+
+def _named(most: int):
+    """The names of a volume found in its passages: one automaton over the names, one pass over each text."""
+
+    def run(texts: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        by_head: dict[str, list[tuple[str, str]]] = {}
+        for head, name, plain in zip(heads["head"], heads["nombre"], heads["entera"], strict=True):
+            by_head.setdefault(head, []).append((name, plain))
+        automaton = ahocorasick.Automaton()
+        for head in by_head:
+            automaton.add_word(head, head)
+        if by_head:
+            automaton.make_automaton()
+        ids, names = [], []
+        for key, text in zip(texts["id"].tolist(), texts["plain"], strict=True) if by_head else ():
+            found = {(-text.count(head), -len(name), name, plain) for head in {h for _, h in automaton.iter(text)} for name, plain in by_head[head]}
+            kept: list[tuple[str, str]] = []
+            for _, _, name, plain in sorted(found):
+                if not any(plain in other for _, other in kept):
+                    kept.append((name, plain))
+            if kept:
+                ids.append(key)
+                names.append([name for name, _ in kept[:most]])
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "nombres": pd.Series(names, dtype=object)})
+
+    return run
+
+
 def names_in_passages(table: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
-    """(id, nombres): names of a passage's volume that occur in it, by how often and how long, without those inside others."""
-    heads = names.select("canonico", strip(F.get(F.split("nombre", ","), F.lit(0))).alias("nombre"), strip(F.get(F.split("normal", ","), F.lit(0))).alias("head")).where("length(head) >= 4")
-    rows = table.select("id", "canonico", fold_squeezed(F.col("texto")).alias("plain")).join(heads, "canonico").where(F.contains("plain", F.col("head")))
-    times = F.size(F.split("plain", F.concat(F.lit("\\Q"), F.col("head"), F.lit("\\E")))) - 1
-    found = F.sort_array(F.collect_set(F.struct((-times).alias("n"), (-F.length("nombre")).alias("l"), "nombre", fold_squeezed(F.col("nombre")).alias("plain"))))
-    grouped = rows.groupBy("id").agg(found.alias("found"))
-    none = F.array().cast("array<struct<nombre: string, plain: string>>")
-    kept = F.aggregate("found", none, lambda out, x: F.when(F.exists(out, lambda o: F.contains(o["plain"], x["plain"])), out).otherwise(F.concat(out, F.array(F.struct(x["nombre"].alias("nombre"), x["plain"].alias("plain"))))))
-    return grouped.select("id", F.slice(F.transform(kept, lambda x: x["nombre"]), 1, most).alias("nombres"))
+    """(id, nombres): names of a passage's volume that occur in it, by how often and how long, without those inside others.
+
+    A passage is read once, for all names; a large volume is divided, and its names go to each share."""
+    first = lambda c: strip(F.get(F.split(c, ","), F.lit(0)))
+    heads = names.select("canonico", first("nombre").alias("nombre"), first("normal").alias("head")).where("length(head) >= 4").distinct().withColumn("entera", fold_squeezed(F.col("nombre")))
+    rows = table.select("id", "canonico", fold_squeezed(F.col("texto")).alias("plain")).where("canonico is not null and plain is not null")
+    shares = rows.groupBy("canonico").agg(F.ceil(F.count("*") / F.lit(PASSAGES_A_TASK)).cast("int").alias("shares"))
+    dealt = rows.join(shares, "canonico").select("canonico", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), "id", "plain")
+    sent = heads.join(shares, "canonico").select("canonico", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "nombre", "head", "entera")
+    kind = dict(table.dtypes)["id"]
+    return dealt.groupBy("canonico", "share").cogroup(sent.groupBy("canonico", "share")).applyInPandas(_named(most), f"id {kind}, nombres array<string>")
 
 
 # --- presentation -----------------------------------------------------------------------------------------------------

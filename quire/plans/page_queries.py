@@ -443,7 +443,8 @@ _CASES = [
     ("cast(quire_figure_labels('ΑΒΓ ΑΒ ΔΕ λόγος') as string)", "2"),
     ("quire_tidy('uno  , dos\\n( tres )')", "uno, dos ( tres)"),
     ("cast(quire_margin_noise('b c d 94a') as string)", "true"),
-    ("cast(quire_median_width('aaaa\\nbb\\ncc') as string)", "2"),
+    ("cast(quire_median_width('aaaaaaaa\\nbbbbbb\\ncc\\n\\nd') as string)", "4.0"),
+    ("cast(quire_box_width('aaaaaaaa\\nbbbbbb\\ncc\\n\\nd') as string)", "6"),
     ("quire_without_foot('texto\\nLibro - Página 12')", "texto"),
     ("cast(quire_longest_common('a b c d', 'a c x d') as string)", "3"),
     ("array_join(quire_significant('Obras completas de Platón: Diálogos'), ',')", "platon,dialogos"),

@@ -130,6 +130,16 @@ def bm25_weighted(spark, sf):
     return best.select("id", "canonico", "hoja", "clase", F.round("peso", 6).alias("peso"))
 
 
+@query(f"""WITH {CHUNKS}, {_TWO}, best AS (SELECT r.id, bm, hoja, canonico, clase, seccion, len(regexp_extract_all(texto, '[^{_WS}]+')) AS p FROM ranked r JOIN chunks USING (id) WHERE contains(lower(canonico), 'src1') AND contains(lower(obra), 'en') AND clase IN ('obra', 'aparato') ORDER BY bm, id LIMIT 400),
+w AS (SELECT *, bm * {_WEIGHT} AS peso FROM best), f AS (SELECT *, row_number() OVER (PARTITION BY canonico, hoja, clase ORDER BY peso, bm, id) AS a FROM w)
+SELECT id, canonico, hoja, clase, round(peso, 6) AS peso FROM f WHERE a = 1 ORDER BY f.peso, bm, id LIMIT 40""")
+def bm25_filtered(spark, sf):
+    """The best passages of one author and work, in two classes."""
+    index, rows = stored(spark, sf)
+    _, best = R.search(index, rows, "the and", classes=R.SCOPES[1], author="SRC1", work="En", per_volume=0)
+    return best.select("id", "canonico", "hoja", "clase", F.round("peso", 6).alias("peso"))
+
+
 @query(f"WITH {CHUNKS}, {_rank(_hits(['of', 'the']), 2)} SELECT 'algunas' AS modo, id, round(bm, 6) AS bm FROM ranked")
 def relaxed_query(spark, sf):
     index, _ = stored(spark, sf)
@@ -205,6 +215,20 @@ def name_completions(spark, sf):
     return spark.read.parquet(path).drop("part")
 
 
+@query(f"""WITH {CHUNKS}, n AS (SELECT DISTINCT source AS canonico, word, upper(word[1:1]) || word[2:] AS nombre FROM documents, (VALUES ('ther'), ('there'), ('thing'), ('tion'), ('ente')) t(word) WHERE source IS NOT NULL),
+x AS (SELECT id, ' ' || regexp_replace(strip_accents(lower(texto)), '[{_WS}]+', ' ', 'g') || ' ' AS plain, canonico FROM chunks),
+h AS (SELECT id, nombre, word, (length(plain) - length(replace(plain, word, ''))) // length(word) AS veces FROM x JOIN n USING (canonico) WHERE contains(plain, word)),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY veces DESC, length(nombre) DESC, nombre) AS r FROM h),
+y AS (SELECT a.id, a.nombre, a.r FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.id = a.id AND b.r < a.r AND contains(b.word, a.word)))
+SELECT id, string_agg(nombre, ',' ORDER BY r) AS nombres FROM y GROUP BY id""")
+def passage_names(spark, sf):
+    """Names of each volume in its passages, one of which is inside another."""
+    rows = table(spark, sf)
+    words = F.explode(F.array(*map(F.lit, ("ther", "there", "thing", "tion", "ente")))).alias("normal")
+    names = read(spark, sf, "documents").where("source is not null").select(F.col("source").alias("canonico")).distinct().select("canonico", words).withColumn("nombre", F.initcap("normal"))
+    return R.names_in_passages(rows, names).select("id", F.array_join("nombres", ",").alias("nombres"))
+
+
 @query("""SELECT l_orderkey, concat_ws(' · ', 'Tomo ' || CAST(l_suppkey AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN 'Obra' ELSE 'Título' END,
  CASE WHEN l_linenumber % 3 = 0 AND l_partkey <> 0 THEN 'pág. ' || CAST(l_partkey AS VARCHAR) WHEN l_linenumber % 3 = 1 THEN '229D' WHEN l_orderkey <> 0 THEN 'hoja ' || CAST(l_orderkey AS VARCHAR) || ' del PDF' END, CASE WHEN l_linenumber = 4 THEN 'nota 7' END) AS cita FROM lineitem""")
 def citations(spark, sf):

@@ -22,6 +22,7 @@ SCALARS = {
     "quire_clean": (pages.clean_invisible, "string"),
     "quire_code_page": (pages.repair_code_page, "string"),
     "quire_compose": (text.compose, "string"),
+    "quire_box_width": (lambda t: pages.box_width(t.split("\n")), "int"),
     "quire_discount": (lambda t: mail.percentage(t)[0], "double"),
     "quire_figure_labels": (pages.figure_labels, "int"),
     "quire_fold": (mail.normal, "string"),
@@ -33,7 +34,7 @@ SCALARS = {
     "quire_listing_text": (listing_text, "string"),
     "quire_longest_common": (lambda a, b: resolve.longest_common(a.split(), b.split()), "int"),
     "quire_margin_noise": (pages.margin_noise, "boolean"),
-    "quire_median_width": (lambda t: pages.box_width(t.split("\n")), "int"),
+    "quire_median_width": (lambda t: pages.median_width(t.split("\n")), "double"),
     "quire_mostly_greek": (pages.mostly_greek, "boolean"),
     "quire_name_refs": (concordance.refs, "array<string>"),
     "quire_navigation": (mail.navigation, "boolean"),

@@ -128,3 +128,22 @@ def test_reports(spark):
     assert K.volume_totals(pages).count() == 2
     lines = spark.createDataFrame([("aa\n\nbbbb\nc",), ("aa\nbbbb",), ("",)], "t string").select(K.median_line(F.col("t")).alias("m")).collect()
     assert [r.m for r in lines] == [2.0, 3.0, None]
+
+
+def test_sections_and_works_against_a_plain_search(spark, monkeypatch):
+    """Overlapping sections, gaps, equal starts, stretches shorter than a section, sheets without a volume."""
+    import random
+
+    monkeypatch.setattr(K, "SWEEP", 7)
+    rng = random.Random(4)
+    pages = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(60)])) for _ in range(300)]
+    parts = [(d, a := rng.randint(0, 60), a + rng.randint(-2, 30), rng.choice("xy"), f"t{k}") for k, d in enumerate(rng.choice(["a", "b", "d"]) for _ in range(25))]
+    works = [(rng.choice(["a", "c"]), rng.randint(0, 50), f"w{k}") for k in range(12)]
+    sheets = spark.createDataFrame(pages, "doc string, pdf int")
+    got = K.work_of(K.section_of(sheets, spark.createDataFrame(parts, "doc string, desde int, hasta int, tipo string, titulo string")), spark.createDataFrame(works, "doc string, page int, title string"))
+    want = []
+    for d, p in pages:
+        held = sorted(x[1:] for x in parts if p is not None and x[0] == d and x[1] <= p <= x[2])
+        begun = sorted(x[1:] for x in works if p is not None and x[0] == d and x[1] <= p)
+        want.append((d, p, *(held[0][2:] if held else ("texto", "")), begun[-1][1] if begun else ""))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -173,6 +173,26 @@ def test_best_equals_scoring_all(spark, tmp_path, monkeypatch):
     assert R.best(index, "mar zzz", rows.select("id"), 5) is None and R.best(index, '"mar sol"', rows.select("id"), 5) is None and R.best(plain, "mar", rows.select("id"), 5) is None
 
 
+def test_names_by_automaton_match_a_plain_search(spark, monkeypatch):
+    """Nested names, names of other volumes, and a volume that is divided."""
+    monkeypatch.setattr(R, "PASSAGES_A_TASK", 9)
+    rng = random.Random(2)
+    stock = ["ana bel", "ana belen", "belen", "mar rojo", "rojo", "rojos", "sol"]
+    names = [(v, n.title() + rng.choice(["", ", el viejo"]), n) for v in "ab" for n in rng.sample(stock, 6)]
+    rows = [(i, rng.choice("abc"), " ".join(rng.choice([*stock, "x"]) for _ in range(rng.randint(0, 6)))) for i in range(120)]
+    got = R.names_in_passages(spark.createDataFrame(rows, "id long, canonico string, texto string"), spark.createDataFrame(names, "canonico string, nombre string, normal string"), 3)
+    want = {}
+    for i, v, t in rows:
+        found = sorted({(-t.count(n), -len(name.split(",")[0]), name.split(",")[0], n) for w, name, n in names if w == v and len(n) >= 4 and n in t})
+        kept = []
+        for _, _, name, n in found:
+            if not any(n in o for _, o in kept):
+                kept.append((name, n))
+        if kept:
+            want[i] = [name for name, _ in kept[:3]]
+    assert {r.id: r.nombres for r in got.collect()} == want
+
+
 def test_a_prefix_reads_one_part(corpus, spark, tmp_path):
     index = R.Index.write(corpus[1], str(tmp_path / "index"), parts=8)
     for terms, prefixes, most in ((["griegos"], [], 1), ([], ["lace"], 1), (["los"], ["gri"], 2)):
