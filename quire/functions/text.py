@@ -225,11 +225,13 @@ def slug_title(url: Column) -> Column:
     return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000))
 
 
+# The headings of recommendations.
+CAROUSEL = ["te puede interesar", "te pueden interesar", "te podria interesar", "quiza te interese", "productos relacionados", "otros lotes del vendedor", "otros lotes de este vendedor"]
+
+
 def cut_carousel(text: Column, least: int = 400) -> Column:
     """What stands before the first heading of recommendations, unless that heading comes early."""
-    # The headings.
-    marks = ["te puede interesar", "te pueden interesar", "te podria interesar", "quiza te interese", "productos relacionados", "otros lotes del vendedor", "otros lotes de este vendedor"]
-    at = F.regexp_instr(text, F.lit("(?i)" + "|".join(marks)))
+    at = F.regexp_instr(text, F.lit("(?i)" + "|".join(CAROUSEL)))
     return F.when(at > least, F.substring(text, F.lit(1), at - 1)).otherwise(text)
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from quire import schemas
 from quire.functions.mail import parse_mail
 from quire.functions.text import strip
 from quire.operators.resolve import clean_number, first_int
+from quire.sources.workbook import sheet_rows
 
 
 def read_mails(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
@@ -108,15 +112,36 @@ def file_name(order: F.Column, author: F.Column, works: F.Column) -> F.Column:
     return F.regexp_replace(text, r'[\\/:*?"<>|]', "-")
 
 
+CATALOGUE = ("numero", "autor", "obras", "paginas", "notas")
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """A catalogue from CSV (numero, autor, obras, paginas, notas; a header line): rows with author or works, in the file's order."""
-    rows = spark.read.csv(path, header=True, schema="numero string, autor string, obras string, paginas string, notas string")
+    """A catalogue from CSV or an Excel workbook (numero, autor, obras, paginas, notas; a header line): rows with author or works, in the file's order."""
+    if path.lower().endswith(".xlsx"):
+        rows = read_sheet(spark, path, CATALOGUE).where("row > 1").orderBy("path", "row").drop("path", "row")
+    else:
+        rows = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in CATALOGUE))
     text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     own = rows.select(F.monotonically_increasing_id().alias("__at"), "*").where((text("autor") != "") | (text("obras") != ""))
     placed = own.select(F.col("__at").alias("fila"), first_int(F.col("numero")).alias("orden"), clean_number(F.col("numero")).alias("numero"), text("autor").alias("autor"), text("obras").alias("obras"), first_int(F.col("paginas")).alias("paginas"), text("notas").alias("notas"))
     return placed.withColumns({"poseido": F.lit(False), "deseado": F.lit(False), "precio_objetivo": F.lit(None).cast("double"), "descripcion": F.lit(None).cast("string"), "temas": F.lit(None).cast("string")})
 
 
+def read_sheet(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """(path, row, columns): the first sheet of each workbook at path, its first columns as text.  Cells that aren't there are null, columns behind
+    those asked for are left out.  A workbook is one task's work and is read as a stream of rows."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                rows = sheet_rows(bytes(content), len(columns))
+                while block := list(islice(rows, 5_000)):
+                    yield pd.DataFrame([(name, *r) for r in block], columns=["path", "row", *columns], dtype=object)
+
+    return files.mapInPandas(run, "path string, row int, " + ", ".join(f"{c} string" for c in columns))
+
+
 def merge_recognised(pages: DataFrame, recognised: DataFrame, least: int = 40) -> DataFrame:
     """pages with recognised text (canonico, pdf, texto) where they had none; under `least` characters it isn't taken."""
     found = recognised.where(F.length(strip(F.col("texto"))) >= least).select("canonico", "pdf", F.col("texto").alias("__t"))
