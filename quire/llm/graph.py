@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +28,28 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+#: So many links (16 bytes each) at most are solved by one task; more, by rounds over all.
+LOCAL_LINKS = 1 << 18
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    none = np.zeros(0, np.int64)
+    nodes, roots = local_roots(np.concatenate([none, *(x for x, _ in held)]), np.concatenate([none, *(y for _, y in held)]))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link; root is the smallest node it reaches.
 
-    Labels spread to neighbours and jump to their label's label, so rounds grow with the logarithm of the longest path.
+    Up to LOCAL_LINKS links are solved by one task, whose memory that bounds.  Of more, labels spread to neighbours and jump to their label's label, so
+    rounds grow with the logarithm of the longest path.
     Each round is written to the shared folder.  Minima are combined before they are shuffled; the joins are plain
     inner joins by a shuffle, which adaptive execution splits at a hub: nothing of a round is broadcast, so the driver holds nothing of it.
     """
-    own = links.where(F.col(a) != F.col(b)).select(F.col(a).alias("node"), F.col(b).alias("other"))
+    own = cut(links.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other")))
+    if own.count() <= LOCAL_LINKS:
+        return cut(own.repartition(1).mapInArrow(_solve, "node long, root long"))
     both = cut(own.unionByName(own.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")))
     while True:
@@ -42,5 +59,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = cut(new.join(jump.hint("merge"), "low").select("node", F.least("low", "far").alias("next"), "root"))
         labels = step.select("node", F.col("next").alias("root"))
         if step.where("next <> root").isEmpty():
-            links.sparkSession._jvm.System.gc()  # shuffles and broadcasts of the rounds go when the driver's references to them do
             return labels

@@ -80,7 +80,10 @@ def test_links_keep_all_components(spark, direct, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("local", [0, 1 << 18])
+def test_components_of_a_long_path(spark, monkeypatch, local):
+    """By one task, and by rounds over all links."""
+    monkeypatch.setattr("quire.llm.graph.LOCAL_LINKS", local)
     edges = [(i, i + 1) for i in range(200)] + [(900, 901), (901, 901)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
