@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import ALL_SPACE, SPACE
 from quire.operators import search as R
+from quire.operators.substring import Trigrams
 from quire.plans.store_queries import read
 from quire.session import work_path
 
@@ -229,6 +230,15 @@ def passage_names(spark, sf):
     return R.names_in_passages(rows, names).select("id", F.array_join("nombres", ",").alias("nombres"))
 
 
+@query("SELECT 'nombre' AS campo, c_custkey AS id FROM customer WHERE contains(lower(c_name), '0012') UNION ALL SELECT 'sector', c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'uild') UNION ALL SELECT 'corto', c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'ur')")
+def substring_filters(spark, sf):
+    """Customers by a part of their name and of their segment: over stored trigrams, and by a sweep where the part is too short."""
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
+    index = Trigrams(spark, work_path(spark, "trigrams"), parts=16).write(rows, ["c_name", "c_mktsegment"])
+    own = lambda name, column, pattern: index.filter(rows, column, pattern).select(F.lit(name).alias("campo"), "id")
+    return own("nombre", "c_name", "0012").unionByName(own("sector", "c_mktsegment", "UILD")).unionByName(own("corto", "c_mktsegment", "ur"))
+
+
 @query("""SELECT l_orderkey, concat_ws(' · ', 'Tomo ' || CAST(l_suppkey AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN 'Obra' ELSE 'Título' END,
  CASE WHEN l_linenumber % 3 = 0 AND l_partkey <> 0 THEN 'pág. ' || CAST(l_partkey AS VARCHAR) WHEN l_linenumber % 3 = 1 THEN '229D' WHEN l_orderkey <> 0 THEN 'hoja ' || CAST(l_orderkey AS VARCHAR) || ' del PDF' END, CASE WHEN l_linenumber = 4 THEN 'nota 7' END) AS cita FROM lineitem""")
 def citations(spark, sf):
