@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
@@ -30,6 +32,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def carry(module: str) -> None:
+    """Let what is pickled of this module hold its code.  The process that plans a stream on the driver takes no files from addPyFile and couldn't import it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 _LOCAL: dict[str, str] = {}
 
 

@@ -24,6 +24,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from quire.session import carry
+
+carry(__name__)
+
 SCHEMA = "folder string, uid long, path string, content binary"
 FIRST, SHARE = 40, 200
 _UIDS = re.compile(r",U=(\d+)"), re.compile(r"^(\d+)")

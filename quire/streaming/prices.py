@@ -21,6 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quire.session import carry
+
+carry(__name__)
+
 #: Columns that a stream of points has, and those that come out.
 POINT = "clave string, titulo string, precio double, mensaje_id string, seq long, replay boolean"
 OUT = "clave string, titulo string, precio double, mensaje_id string, seq long, estado string, anterior double, risen boolean"
