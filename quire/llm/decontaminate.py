@@ -9,7 +9,9 @@ left, words are compared forward to the longest verbatim match, with its locatio
 
 The benchmark is the small side.  It is sent as flat arrays: its lower-cased text and at most 28 bytes a word.  A word and
 the space behind it are two bytes or more, so they are at most 15 times the text; blocks of items are made so that this bound is
-within `broadcast_bytes`.  Documents are never shuffled: with several blocks each row goes through one search after the other.
+within `broadcast_bytes`.  Documents are never shuffled: one operator builds a shard's suffix array once and searches the blocks in it in turn,
+with one block in memory at a time.  At most BLOCKS blocks are sent at once; a larger benchmark takes several such passes over the documents, each
+written by checkpoint() before the next one's blocks are sent.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z in lower case.  A null or empty text has none.  An item
 of fewer words than the window is one window of all its words; an item without words, or without an item_id, is never
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.blocks import byte_ranges, mix, text_bytes
 from quire.llm.memory import lean
+from quire.llm.storage import cut
 
 SHARD_BYTES = 4 << 20
 #: Of the benchmark's arrays that one search sends; ARRAY_BYTES bounds them by the text.
 BROADCAST_BYTES = 64 << 20
 ARRAY_BYTES = 15
+BLOCKS = 16
 PAIRS = 1 << 20
 RESULT = "doc_id long, n_words long, hit array<struct<first: long, last: long>>, items array<long>, matches array<struct<item_id: long, item_word: long, doc_word: long, n_words: long>>"
 
@@ -224,12 +228,11 @@ class Index:
     def text(self, first: int, count: int) -> bytes:
         return b" ".join([self.raw[a:b] for a, b in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist(), strict=True)])
 
-    def search(self, words: Words, edges: np.ndarray, with_matches: bool = True) -> Hits:
-        """All windows of the benchmark in a shard."""
+    def search(self, words: Words, edges: np.ndarray, array: SuffixArray | None, with_matches: bool = True) -> Hits:
+        """All windows of the benchmark in a shard, whose suffix array has this depth (none: it has no words)."""
         none = np.zeros(0, np.int64)
-        if not len(self.first) or not len(words.start):
+        if not len(self.first) or array is None:
             return Hits(none, none, none, np.zeros((0, 4), np.int64))
-        array = SuffixArray(words, edges, self.window)
         place = np.searchsorted(array.vocabulary, self.vocabulary)
         known = array.vocabulary[np.minimum(place, len(array.vocabulary) - 1)] == self.vocabulary
         ranks = np.where(known, place + 1, 0)[self.word]
@@ -251,9 +254,25 @@ class Index:
         matches = self._longest(words, edges, at, kind) if with_matches and len(at) else np.zeros((0, 4), np.int64)
         return Hits(at, size[kind], kind, matches)
 
+    def same_words(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        """The place in the vocabulary of each word that is one of it, byte for byte; -1 for others."""
+        first = np.zeros(len(self.vocabulary), np.int64)
+        first[self.word[::-1]] = np.arange(len(self.word))[::-1]
+        place = np.minimum(np.searchsorted(self.vocabulary, digest), len(self.vocabulary) - 1)
+        sample = first[place]
+        alike = (self.vocabulary[place] == digest) & (end - start == self.end[sample] - self.start[sample])
+        own = np.flatnonzero(alike)
+        at, which = _stretches(start[own].astype(np.int64), end[own].astype(np.int64))
+        there = at + (self.start[sample[own]].astype(np.int64) - start[own])[which]
+        alike[own[which[low[at] != np.frombuffer(self.raw, np.uint8)[there]]]] = False
+        return np.where(alike, place, -1)
+
     def _longest(self, words: Words, edges: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The matches from windows that can't be extended to the left, as far to the right as they go."""
-        digest = self.vocabulary[self.word]
+        # Both sides by the vocabulary's words, not by digests; a word of the benchmark whose digest clashes with another's ends a match.
+        mine = self.same_words(words.low, words.start, words.end, words.digest)
+        theirs = self.same_words(np.frombuffer(self.raw, np.uint8), self.start, self.end, self.vocabulary[self.word])
+        theirs = np.where(theirs < 0, -2, theirs)
         found = []
         many = (self.last - self.first)[kind].astype(np.int64)
         steps = np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS), "left") + 1
@@ -265,12 +284,12 @@ class Index:
             begin = stop
             doc, item = words.doc[a], self.item[j]
             inner = (a > edges[doc]) & (j > self.edges[item])
-            left = ~(inner & (words.digest[np.maximum(a - 1, 0)] == digest[np.maximum(j - 1, 0)]))
+            left = ~(inner & (mine[np.maximum(a - 1, 0)] == theirs[np.maximum(j - 1, 0)]))
             a, j, n, doc, item = a[left], j[left], n[left], doc[left], item[left]
             room = np.minimum(edges[doc + 1] - a, self.edges[item + 1] - j)
             open_ = np.arange(len(a))
             while len(open_ := open_[n[open_] < room[open_]]):
-                open_ = open_[words.digest[a[open_] + n[open_]] == digest[j[open_] + n[open_]]]
+                open_ = open_[mine[a[open_] + n[open_]] == theirs[j[open_] + n[open_]]]
                 n[open_] += 1
             found.append(np.stack([a, self.ids[item], j - self.edges[item], n], axis=1))
         return np.concatenate(found)
@@ -302,26 +321,40 @@ def _shards(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
         yield lo, hi, words, np.searchsorted(words.doc, np.arange(hi - lo + 1))
 
 
-def _search(index):
-    """Rows of (doc_id, text) or, with what other blocks of the benchmark found, (doc_id, text, hit, items, matches) get this block's findings."""
+def _in_turn(sent: list) -> Iterator[Index]:
+    """The blocks of the benchmark, one at a time: of several, a worker forgets each before it loads the next."""
+    for block in sent:
+        yield block.value
+        if len(sent) > 1:
+            vars(block).pop("_value", None)
+
+
+def _found(sent: list, window: int, words: Words, edges: np.ndarray, with_matches: bool = True) -> Iterator[tuple[Index, Hits]]:
+    """What each block finds in a shard, whose suffix array is built once."""
+    array = SuffixArray(words, edges, window) if len(words.start) else None
+    for benchmark in _in_turn(sent):
+        yield benchmark, benchmark.search(words, edges, array, with_matches)
+
+
+def _search(sent: list, window: int):
+    """Rows of (doc_id, text) or, with what an earlier pass found, (doc_id, text, hit, items, matches) get these blocks' findings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark: Index = index.value
         for batch in batches:
             for lo, hi, words, edges in _shards(batch.column(1)):
                 rows = hi - lo
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
                 items: list[set[int]] = [set() for _ in range(rows)]
                 matches: list[list[tuple[int, int, int, int]]] = [[] for _ in range(rows)]
-                hits = benchmark.search(words, edges)
-                doc = words.doc[hits.at]
-                for d, a, n in zip(doc.tolist(), (hits.at - edges[doc]).tolist(), hits.size.tolist(), strict=True):
-                    spans[d].append((a, a + n - 1))
-                for d, kind in set(zip(doc.tolist(), hits.kind.tolist(), strict=True)):
-                    items[d] |= benchmark.items(kind)
-                for a, item, j, n in hits.matches.tolist():
-                    d = int(words.doc[a])
-                    matches[d].append((item, j, a - int(edges[d]), n))
+                for benchmark, hits in _found(sent, window, words, edges):
+                    doc = words.doc[hits.at]
+                    for d, a, n in zip(doc.tolist(), (hits.at - edges[doc]).tolist(), hits.size.tolist(), strict=True):
+                        spans[d].append((a, a + n - 1))
+                    for d, kind in set(zip(doc.tolist(), hits.kind.tolist(), strict=True)):
+                        items[d] |= benchmark.items(kind)
+                    for a, item, j, n in hits.matches.tolist():
+                        d = int(words.doc[a])
+                        matches[d].append((item, j, a - int(edges[d]), n))
                 if batch.num_columns > 2:
                     for d, (h, i, m) in enumerate(zip(*(batch.column(k).slice(lo, rows).to_pylist() for k in (2, 3, 4)), strict=True)):
                         spans[d] += [(x["first"], x["last"]) for x in h]
@@ -340,19 +373,28 @@ def _search(index):
     return run
 
 
-def _indices(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, broadcast_bytes: int) -> list:
-    """The benchmark as broadcast indices, whose arrays are of about broadcast_bytes at most (one item is not divided)."""
+def _passes(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, broadcast_bytes: int) -> Iterator[list]:
+    """The benchmark as broadcast indices whose arrays are of about broadcast_bytes at most (one item is not divided), BLOCKS at a time."""
     if window < 1:
         raise ValueError("a window has at least one word")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size * ARRAY_BYTES // broadcast_bytes))
-    out = []
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items
-        table = own.distinct().sort("id", "text").toArrow()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(table.column("id").to_pylist(), table.column("text").to_pylist(), window)))
-    return out
+    for begin in range(0, blocks, BLOCKS):
+        sent = []
+        for k in range(begin, min(blocks, begin + BLOCKS)):
+            own = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items
+            table = own.distinct().sort("id", "text").toArrow()
+            sent.append(benchmark.sparkSession.sparkContext.broadcast(Index(table.column("id").to_pylist(), table.column("text").to_pylist(), window)))
+        yield sent
+
+
+def _passed(rows: DataFrame, before: list) -> DataFrame:
+    """Rows that a pass has written, so that what it was sent can go."""
+    rows = cut(rows)
+    for block in before:
+        block.unpersist()
+    return rows
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -360,18 +402,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     items found, and the longest verbatim matches with their places."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = RESULT.replace("doc_id long,", "doc_id long, text string,")
-    for k, index in enumerate(_indices(benchmark, window, item_col, item_text_col, broadcast_bytes)):
-        rows = (rows.select("doc_id", "text", "hit", "items", "matches") if k else rows).mapInArrow(lean(_search(index)), schema)
+    before: list = []
+    for sent in _passes(benchmark, window, item_col, item_text_col, broadcast_bytes):
+        if before:
+            rows = _passed(rows, before).select("doc_id", "text", "hit", "items", "matches")
+        rows, before = rows.mapInArrow(lean(_search(sent, window)), schema), sent
     return rows.drop("text")
 
 
-def _clean(index, column: int):
+def _clean(sent: list, window: int, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark: Index = index.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for lo, _, words, edges in _shards(batch.column(column).cast(pa.large_string())):
-                keep[lo + words.doc[benchmark.search(words, edges, with_matches=False).at]] = False
+                for _, hits in _found(sent, window, words, edges, with_matches=False):
+                    keep[lo + words.doc[hits.at]] = False
             yield batch.filter(pa.array(keep))
 
     return run
@@ -379,8 +424,9 @@ def _clean(index, column: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs that hold no benchmark window, as they are; nothing is joined or shuffled."""
-    for index in _indices(benchmark, window, item_col, item_text_col, broadcast_bytes):
-        docs = docs.mapInArrow(lean(_clean(index, docs.columns.index(text_col))), docs.schema)
+    before: list = []
+    for sent in _passes(benchmark, window, item_col, item_text_col, broadcast_bytes):
+        docs, before = (_passed(docs, before) if before else docs).mapInArrow(lean(_clean(sent, window, docs.columns.index(text_col))), docs.schema), sent
     return docs
 
 

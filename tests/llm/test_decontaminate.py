@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from quire.llm.blocks import text_bytes
-from quire.llm.decontaminate import Index, SuffixArray, Words, digest, drop_contaminated, find_contamination
+from quire.llm.decontaminate import ARRAY_BYTES, BLOCKS, Index, SuffixArray, Words, digest, drop_contaminated, find_contamination
 
 from .common import SCHEMA, documents
 
@@ -67,6 +67,32 @@ def test_longest_matches(spark):
     assert [tuple(h) for h in row.hit] == [(2, 18)]
 
 
+def test_many_blocks_take_one_operator_and_several_passes(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    rows = [(k, "x " + " ".join(items[j][1] for j in rng.sample(range(60), 3))) for k in range(30)] + [(90, "clean text"), (91, None)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    for blocks in (BLOCKS, 20, 2 * BLOCKS + 1):
+        limit = -(-size * ARRAY_BYTES // blocks)
+        found = find_contamination(docs, bench, 4, broadcast_bytes=limit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert sorted(map(tuple, digest(found).collect()), key=str) == brute(rows, items, 4)
+        assert sorted((r.doc_id, m.item_id, m.item_word, m.doc_word, m.n_words) for r in found.collect() for m in r.matches) == brute_matches(rows, items, 4)
+        assert sorted(r.doc_id for r in drop_contaminated(docs, bench, 4, broadcast_bytes=limit).collect()) == [d for d, *_, hit in sorted(brute(rows, items, 4)) if not hit]
+
+
+def test_clashing_digests_neither_join_nor_lengthen_matches(spark):
+    window = [f"w{i}" for i in range(10)]
+    item, text = [*window, "tail", "more"], [*window, "other", "more"]
+    body, at = text_bytes(pa.array([" ".join(text)]))
+    shard, index = Words.of(body, at), Index([7], [" ".join(item)], 10)
+    shard.digest[10] = index.vocabulary[index.word[10]]
+    array = SuffixArray(shard, np.array([0, 12]), 10)
+    assert index.search(shard, np.array([0, 12]), array).matches.tolist() == [[0, 7, 0, 10]]
+
+
 def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "x y")], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in digest(find_contamination(docs, none)).collect()] == [(1, 2, 0, 0)]
