@@ -154,15 +154,23 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(of, kind="stable")
             first = np.flatnonzero(np.diff(of[order], prepend=-1))
             edges = pa.array(np.append(first, len(order)), pa.int32())
-            at, dl = pa.array(order), lengths[row]
-            lists = [pa.ListArray.from_arrays(edges, x) for x in (own.column(0).take(pa.array(row[order])), pa.array(tf[order], pa.int32()), spots.take(at), pa.array(dl[order], pa.int32()))]
-            bounds = [pa.array(np.diff(np.append(first, len(order))), pa.int32()), pa.array(np.maximum.reduceat(tf[order], first), pa.int32()), pa.array(np.minimum.reduceat(dl[order], first), pa.int32())]
-            yield pa.RecordBatch.from_arrays([terms.take(pa.array(order[first])), pa.array(np.full(len(first), number)), *bounds, *lists], ["term", "shard", "n", "tfmax", "dlmin", "ids", "tfs", "positions", "dls"])
+            dl, tfs = lengths[row], tf[order]
+            # A row's positions are one list; starts says where each passage's begin.
+            until = np.cumsum(tfs)
+            starts = until - tfs
+            begin = starts[first]
+            starts = starts - np.repeat(begin, np.diff(np.append(first, len(order))))
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (own.column(0).take(pa.array(row[order])), pa.array(tfs, pa.int32()), pa.array(starts, pa.int32()))]
+            places = pa.ListArray.from_arrays(pa.array(np.append(begin, until[-1]), pa.int32()), spots.take(pa.array(order)).flatten())
+            lists += [places, pa.ListArray.from_arrays(edges, pa.array(dl[order], pa.int32()))]
+            bounds = [pa.array(np.diff(np.append(first, len(order))), pa.int32()), pa.array(np.maximum.reduceat(tfs, first), pa.int32()), pa.array(np.minimum.reduceat(dl[order], first), pa.int32()), pa.array(np.add.reduceat(tfs, first), pa.int64())]
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(order[first])), pa.array(np.full(len(first), number)), *bounds, *lists], ["term", "shard", "n", "tfmax", "dlmin", "cf", "ids", "tfs", "starts", "positions", "dls"])
 
 
 def _unlisted(lists: DataFrame) -> DataFrame:
     """(term, id, tf, positions, dl) of stored lists."""
-    return lists.select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), "positions", F.col("dls").alias("dl"))))
+    own = lists.select("term", "positions", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("starts").alias("start"), F.col("dls").alias("dl"))))
+    return own.select("term", "id", "tf", F.slice("positions", F.col("start") + 1, F.col("tf")).alias("positions"), "dl")
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -219,14 +227,16 @@ class Index:
         A part may be several files, by a hash of the shard: a term that a third of all passages have isn't one task's work."""
         spark, kind = texts.sparkSession, dict(texts.dtypes)[id_col]
         passages = texts.count() if passages is None else passages
-        columns = f"term string, shard long, n int, tfmax int, dlmin int, ids array<{kind}>, tfs array<int>, positions array<array<int>>, dls array<int>"
+        columns = f"term string, shard long, n int, tfmax int, dlmin int, cf long, ids array<{kind}>, tfs array<int>, starts array<int>, positions array<int>, dls array<int>"
         rows = tokenized(texts, id_col, text).select("id", "tokens").mapInArrow(_listed, columns).withColumn("part", part_of(F.col("term"), parts))
-        files = F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-passages // PASSAGES_A_FILE))))
-        rows.repartition("part", files).sortWithinPartitions("part", "term", "shard").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
-        lists = spark.read.parquet(f"{path}/postings")
-        words = lists.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).collect()[0][0] or 0
+        files = max(1, -(-passages // PASSAGES_A_FILE))
+        # More tasks than parts, so that few tasks get two of them.
+        dealt = rows.repartition(4 * parts * files, "part", F.pmod(F.xxhash64("shard"), F.lit(files)))
+        dealt.sortWithinPartitions("part", "term", "shard").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        lists = spark.read.schema(f"{columns}, part int").parquet(f"{path}/postings")
+        words = lists.agg(F.sum("cf")).collect()[0][0] or 0
         spark.range(1).select(F.lit(passages).cast("long").alias("passages"), F.lit(words).cast("long").alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
-        return Index.load(spark, path, parts)
+        return Index(passages, words / passages if words else 1.0, kind, lists=lists, parts=parts)
 
     @staticmethod
     def load(spark, path: str, parts: int = 64) -> Index:

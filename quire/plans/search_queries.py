@@ -12,7 +12,7 @@ from quire.functions.text import ALL_SPACE, SPACE
 from quire.operators import search as R
 from quire.operators.substring import Trigrams
 from quire.plans.store_queries import read
-from quire.session import work_path
+from quire.session import spread, work_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def pages(spark, sf) -> DataFrame:
 
 
 def table(spark, sf) -> DataFrame:
-    rows = R.passages(pages(spark, sf), ["hoja", "canonico", "autor", "obra"])
+    rows = R.passages(spread(pages(spark, sf)), ["hoja", "canonico", "autor", "obra"])
     return rows.withColumn("id", F.col("hoja") * 100_000 + F.col("orden"))
 
 

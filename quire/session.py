@@ -12,7 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
@@ -37,6 +37,16 @@ def carry(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: Up to this size rows are dealt out anew before heavy work.
+SMALL_BYTES = 256 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if there are few of them: a small file is one row group, and so one task.  What is larger stays where it is read."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+
+
 _LOCAL: dict[str, str] = {}
 
 
