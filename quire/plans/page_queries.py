@@ -19,6 +19,7 @@ from quire.operators import views as V
 from quire.plans.search_queries import _SECTIONS, _WS, CHUNKS, table
 from quire.plans.source_queries import _letters, letters, text
 from quire.plans.store_queries import read
+from quire.session import spread
 from quire.sql import register
 
 QUERIES: dict = {}
@@ -137,12 +138,17 @@ _VERSES = ["canta oh diosa", "la cólera de aquiles", "funesta y larga", "que ta
 _NOTES = "1 Nota primera\nque sigue\n[2] Otra.\nb c d 94a"
 
 
+def _orders(spark, sf) -> DataFrame:
+    """Keys of orders, over all cores: a file of a million orders is one row group, and its pages would be composed by one task."""
+    return spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+
+
 def composed(spark, sf) -> DataFrame:
     """Orders as pages: a mark, a title, some full lines and a last one with the number of a note; every third is verse."""
     n = F.col("o_orderkey")
     prose = text(F.col("o_custkey") % 900 + 1, "\nCarta a ", letters(n), "\n", F.repeat(F.lit(FULL + "\n"), (n % 4 + 4).cast("int")), "islas42 y fin.\n")
     body = F.when(n % 3 == 0, F.lit("\n".join(_VERSES))).otherwise(prose)
-    return read(spark, sf, "orders").select(n, text("v", F.col("o_custkey") % 20).alias("canonico"), n.alias("pdf"), body.alias("cuerpo"), F.lit(_NOTES).alias("notas"))
+    return _orders(spark, sf).select(n, text("v", F.col("o_custkey") % 20).alias("canonico"), n.alias("pdf"), body.alias("cuerpo"), F.lit(_NOTES).alias("notas"))
 
 
 _PAGE_SQL = f"""SELECT o_orderkey, 'v' || CAST(o_custkey % 20 AS VARCHAR) AS canonico, o_orderkey % 3 = 0 AS verso, CAST(o_custkey % 900 + 1 AS VARCHAR) AS marca, 'Carta a ' || {_letters('o_orderkey')} AS titulo,
@@ -171,7 +177,7 @@ def short_paragraphs(spark, sf):
     n = F.col("o_orderkey")
     long = "Frase larga " + "de muchas palabras " * 8 + "y fin."
     body = F.concat(F.repeat(F.lit("Párrafo corto de un renglón.\n\n"), (n % 4 + 1).cast("int")), F.when(n % 2 == 1, F.lit(long)).otherwise(""))
-    rows = read(spark, sf, "orders").select(text("v", F.col("o_custkey") % 20).alias("canonico"), n.cast("int").alias("pdf"), body.alias("cuerpo"))
+    rows = _orders(spark, sf).select(text("v", F.col("o_custkey") % 20).alias("canonico"), n.cast("int").alias("pdf"), body.alias("cuerpo"))
     return K.suspicious_pages(rows).select("canonico", "pdf", "cortos", "parrafos")
 
 
@@ -182,7 +188,7 @@ def trimmed_passages(spark, sf):
     own = letters(n)
     body = F.when(n % 3 == 0, text("cola de frase. Empieza aquí ", own, ". Y sigue a medias")).when(n % 3 == 1, text("Nada que ver.\n\nÉste es el pasaje buscado ", own, ". sigue")).otherwise(text(own, " sin fin ni principio"))
     wanted = F.when(n % 3 == 1, text("Este es el pasaje buscado ", own)).otherwise("")
-    rows = read(spark, sf, "orders").select("o_orderkey", P.trimmed(body, wanted).alias("b"))
+    rows = _orders(spark, sf).select("o_orderkey", P.trimmed(body, wanted).alias("b"))
     return rows.select("o_orderkey", F.array_join(F.transform("b", lambda x: F.concat(x["tipo"], F.lit(":"), x["texto"])), "|").alias("bloques"))
 
 

@@ -147,3 +147,11 @@ def test_sections_and_works_against_a_plain_search(spark, monkeypatch):
         begun = sorted(x[1:] for x in works if p is not None and x[0] == d and x[1] <= p)
         want.append((d, p, *(held[0][2:] if held else ("texto", "")), begun[-1][1] if begun else ""))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pages_of_one_row_group_are_composed_by_all_cores(spark, tmp_path):
+    from quire.plans import page_queries as Q
+
+    spark.range(40).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for rows in (Q.composed(spark, str(tmp_path)), Q.QUERIES["trimmed_passages"](spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() > 1 and rows.count() == 40
