@@ -82,8 +82,10 @@ def rare_volumes(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey < 50 THEN 'portada' WHEN l_partkey < 120 THEN 'introduccion' WHEN l_partkey < 1500 THEN 'texto' ELSE 'notas_finales' END AS seccion FROM lineitem""")
 def section_range_join(spark, sf):
-    parts = spark.createDataFrame([("d", 0, 49, "portada", "p"), ("d", 50, 119, "introduccion", "i"), ("d", 120, 1499, "texto", "t"), ("d", 1400, 1000000, "notas_finales", "n")], "doc string, desde int, hasta int, tipo string, titulo string")
+    parts = spark.createDataFrame([("d", 0, 49, "portada", "p"), ("d", 50, 119, "introduccion", "i"), ("d", 120, 1499, "texto", "t"), ("d", 1400, None, "notas_finales", "n")], "doc string, desde int, hasta int, tipo string, titulo string")
     rows = read(spark, sf, "lineitem").select(F.lit("d").alias("doc"), F.col("l_partkey").cast("int").alias("pdf"), "l_orderkey", "l_linenumber")
+    # The last section goes on to the volume's last sheet.
+    parts = parts.join(rows.groupBy("doc").agg(F.max("pdf").alias("ultima")), "doc").select("doc", "desde", F.coalesce("hasta", "ultima").alias("hasta"), "tipo", "titulo")
     return K.section_of(rows, parts).select("l_orderkey", "l_linenumber", "seccion")
 
 

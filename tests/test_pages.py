@@ -155,3 +155,12 @@ def test_pages_of_one_row_group_are_composed_by_all_cores(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     for rows in (Q.composed(spark, str(tmp_path)), Q.QUERIES["trimmed_passages"](spark, str(tmp_path))):
         assert rows.rdd.getNumPartitions() > 1 and rows.count() == 40
+
+
+def test_the_last_section_has_no_end_of_its_own(spark, tmp_path):
+    from quire.plans import corpus_queries as Q
+
+    keys = [0, 60, 1450, 1500, 1_000_000, 1_000_001, 1_200_000]
+    spark.createDataFrame([(k, k, 1) for k in keys], "l_partkey long, l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.seccion for r in Q.QUERIES["section_range_join"](spark, str(tmp_path)).collect()}
+    assert got == dict(zip(keys, ["portada", "introduccion", "texto", *["notas_finales"] * 4], strict=True))
