@@ -37,3 +37,42 @@ def test_three_restarts(spark, tmp_path):
         assert sorted(map(tuple, got.collect()), key=str) == want
         assert sorted(map(tuple, P.judged(spark.createDataFrame(everything, P.POINT)).collect()), key=str) == want
     assert {r[5] for r in want} == {"new", "again", "replayed"} and any(r[7] for r in want)
+
+
+class Stored:
+    """A state variable of a series that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def get(self):
+        return self._called(self.rows.get(()))
+
+    def update(self, value):
+        self._called(self.rows.update({(): value}))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._called(key in self.rows)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._called(self.rows.update({key: value}))
+
+
+def test_a_series_of_few_mails_takes_two_calls_and_one_of_many_the_map():
+    rng = random.Random(3)
+    for mails, calls in ((20, 2), (400, None)):
+        step = P.LastPrice()
+        step.last, step.mails, step.served = Stored(), Stored(), Stored()
+        everything, got = [], []
+        for wave in range(4):
+            before = step.last.calls + step.mails.calls
+            rows = [("a", "t", rng.choice([1.0, 2.0, 3.5]), f"m{rng.randrange(mails)}", 1000 * wave + i, rng.random() < 0.2) for i in range(60)]
+            everything += rows
+            got += map(tuple, step.handleInputRows(("a",), iter(rows), None))
+            assert calls is None or step.last.calls + step.mails.calls - before <= calls
+        assert sorted(got, key=str) == plain(everything)
+        assert bool(step.mails.rows) == (calls is None)
