@@ -1,12 +1,16 @@
 """Near copies by the Jaccard similarity of their word shingles: the linking rule of drop_near_copies in simhash.py.
 
-Equal texts are one class, known by a digest of 128 bits.  A class has a MinHash signature of BANDS bands of ROWS values; two classes at 0.8 share
-a band with a probability of 0.99997.  Only pairs whose whole sets of shingles are similar enough are links.  Three rounds keep
+Equal texts are one class, known by a digest of 128 bits.  Candidates come from SimHash fingerprints: a class has several of 64 bits each, over its set of
+shingles (a bit is 1 if over half of the shingles' hashes have it; of an even number the smallest counts twice, so there are no ties).  Two classes at a
+Jaccard of 0.8 agree in a bit with a probability of at least 0.8485, and fingerprints are cut into so many bands of `bits` bits that they
+share one with a probability of 0.99999.  Under a key of a band, classes meet by the Hamming distance of two whole fingerprints: DISTANCE of 128 bits are five
+standard deviations more than such a pair differs in.  Only pairs whose whole sets of shingles are similar enough are links.  Three rounds keep
 the work linear in the size of a group of copies:
 
-1. Under each key of a band, neighbours in one fixed order are compared.  This joins most copies, however many they are.
-2. Keys that still hold several components: up to `direct` classes, all pairs of different components are compared.
-3. Classes under larger keys make clusters, the components of "share such a key".  Shingles that no other of them has can't be shared, so classes with
+1. Each class is compared with the nearest before it under each key; this joins most copies, however many they are.
+2. Pairs within DISTANCE that are still in different components are compared, all of them.
+3. Where more than `direct` such pairs come to a class, or over HELD classes to a key, no pairs are made.  Those classes make clusters, the components of
+   "share such a key" (in order of their digests, neighbours are compared in round 1).  Shingles that no other of them has can't be shared, so classes with
    more of these than the similarity allows can have no link and are left out.  The others are dealt to blocks of about `block` classes; the
    component with the most classes of its cluster has blocks of its own, which are not compared with each other.  Each other pair of blocks of a cluster
    meets in one task, which counts the shingles that any two classes share, and gives back not pairs but for each class the smallest that it
@@ -19,6 +23,7 @@ shingles is held in one task.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +35,16 @@ from quire.llm.blocks import byte_ranges, mix, text_bytes
 from quire.llm.graph import components, local_roots
 from quire.llm.memory import lean, lean_table
 from quire.llm.shingles import shingles_of
-from quire.llm.storage import cut
-
-BANDS, ROWS = 20, 4
+from quire.llm.storage import cut, partitions
+
+#: How often two sets at a Jaccard of 0.8 agree in a bit: their cosine is 8 / 9 at least.  MISSED of such pairs share no band.
+AGREE, MISSED = 1 - math.acos(8 / 9) / math.pi, 0.00001
+#: A band has BITS bits; of over 1 << BITS + 7 texts, so many more that some 128 unrelated ones share a key.
+BITS = 12
+#: Bits of the first two fingerprints that candidates may differ in: unrelated texts differ in 64 +- 6, those at 0.8 in 19 +- 4.
+DISTANCE = 40
+#: Classes of one key that are held in one task.
+HELD = 512
 SUB = 512
 #: Classes in a block, about; a pair of blocks has 16 MB of counts at a time.
 BLOCK = 1024
@@ -41,23 +53,54 @@ OFTEN = 32
 #: So many large keys at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 _CHUNK_BYTES = 1 << 18
-_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_MASKS = mix(_FACTORS + np.uint64(0x94D049BB133111EB))
-
-
-def bands_of(hashes: np.ndarray, owner: np.ndarray, docs: int, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """The keys of each text's bands; keys of different bands differ.  A text without words has the keys of no shingles."""
-    turn = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    out = np.repeat(turn[None, :], docs, axis=0)
-    if not len(owner):
-        return out
-    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    for band in range(bands):
-        key = np.zeros(len(edge), np.uint64)
-        for k in range(band * rows, (band + 1) * rows):
-            key = mix(key + np.minimum.reduceat((hashes ^ _MASKS[k]) * _FACTORS[k], edge))
-        out[owner[edge], band] = mix(key ^ turn[band])
-    return out
+_ROWS = 1 << 12
+
+
+def bands_for(texts: int) -> tuple[int, int, int]:
+    """For so many texts: bits of a band, bands, and fingerprints."""
+    bits = max(BITS, math.ceil(math.log2(max(1, texts))) - 7)
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(AGREE**bits)))
+    return bits, bands, -(-bands // (64 // bits))
+
+
+def _added(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of bits, 64 at a time: one row of ones' places, and the rows that carry."""
+    carried = []
+    while len(rows) > 2:
+        k = len(rows) // 3
+        a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
+        odd = a ^ b
+        carried.append(a & b | odd & c)
+        rows = np.concatenate([odd ^ c, rows[3 * k :]])
+    if len(rows) == 2:
+        carried.append(rows[:1] & rows[1:])
+        rows = rows[:1] ^ rows[1:]
+    return rows, np.concatenate(carried) if carried else rows[:0]
+
+
+def fingerprints(values: np.ndarray, prints: int) -> np.ndarray:
+    """So many fingerprints of a set of shingles (their hashes, in order): a bit is 1 if over half of the shingles have it."""
+    if not len(values):
+        return np.zeros(prints, np.uint64)
+    seed = mix(np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    own = values if len(values) % 2 else np.concatenate([values[:1], values])
+    planes: list[np.ndarray] = []
+    for lo in range(0, len(own), _ROWS):
+        more, place = mix(own[lo : lo + _ROWS, None] ^ seed[None, :]), 0
+        while len(more):
+            if place == len(planes):
+                planes.append(more[:0])
+            planes[place], more = _added(np.concatenate([planes[place], more]))
+            place += 1
+    least = (len(own) + 1) // 2
+    over, equal = np.zeros(prints, np.uint64), np.full(prints, ~np.uint64(0))
+    for place in range(len(planes) - 1, -1, -1):
+        plane = planes[place][0]
+        if least >> place & 1:
+            equal = equal & plane
+        else:
+            over, equal = over | equal & plane, equal & ~plane
+    return over | equal
 
 
 def _chunks(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -70,11 +113,18 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _bands(width: int):
+def _shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    for hashes, owner, docs in _chunks(column, width):
+        edges = np.searchsorted(owner, np.arange(docs + 1))
+        yield from (np.unique(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+def _prints(width: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.concatenate([np.zeros((0, BANDS), np.uint64), *(bands_of(*c) for c in _chunks(batch.column(2), width))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys.ravel(), np.full(len(keys), BANDS))], ["id", "mark", "bands"])
+            own = [fingerprints(values, prints) for values in _shingle_sets(batch.column(2), width)]
+            flat = np.concatenate([np.zeros(0, np.uint64), *own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(flat, np.full(len(own), prints))], ["id", "mark", "prints"])
 
     return run
 
@@ -82,13 +132,9 @@ def _bands(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, sizes = [np.zeros(0, np.uint64)], []
-            for hashes, owner, docs in _chunks(batch.column(1), width):
-                edges = np.searchsorted(owner, np.arange(docs + 1))
-                own = [np.unique(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                values += own
-                sizes += map(len, own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.concatenate(values), np.array(sizes, np.int64))], ["digest", "shingles"])
+            own = list(_shingle_sets(batch.column(1), width))
+            sizes = np.array([len(v) for v in own], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.concatenate([np.zeros(0, np.uint64), *own]), sizes)], ["digest", "shingles"])
 
     return run
 
@@ -128,12 +174,85 @@ def _neighbours(keyed: DataFrame) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(between.where("b is not null"))
 
 
-def _direct_pairs(rows: DataFrame, reach: int) -> DataFrame:
-    """(a, b): each row (key, x: a struct of digest and root) with those of the `reach` rows before it under its key that have another root."""
-    window = Window.partitionBy("key").orderBy(F.col("x.digest")).rowsBetween(-reach, -1)
-    near = rows.select("x", F.collect_list("x").over(window).alias("near"))
-    pairs = near.select("x", F.explode(F.filter("near", lambda y: y["root"] != F.col("x.root"))).alias("y"))
-    return pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+NEAREST, NEAR, MEMBER = 0, 1, 2
+
+
+def near_pairs(key: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits): rows i < j of one key whose fingerprints (p, q) differ in at most DISTANCE bits; rows are ordered by key."""
+    end = np.searchsorted(key, key, side="right")
+    i, j, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    at, step = np.arange(len(key)), 1
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            return np.concatenate(i), np.concatenate(j), np.concatenate(bits)
+        far = np.bitwise_count(p[at] ^ p[at + step]) + np.bitwise_count(q[at] ^ q[at + step])
+        near = far <= DISTANCE
+        i.append(at[near])
+        j.append(at[near] + step)
+        bits.append(far[near])
+        step += 1
+
+
+def _meet(direct: int, held: int):
+    """Rows (key, digest, p, q), ordered by key and digest, to (kind, a, b): a candidate pair, of the nearest before b or another; or a member b of the large group a."""
+
+    def emit(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+
+    def groups(key: np.ndarray, digest: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, bits = near_pairs(key, p, q)
+        if not len(i):
+            return
+        nodes, roots = local_roots(i, j)
+        pairs, members = np.bincount(roots[np.searchsorted(nodes, i)], minlength=len(key)), np.bincount(roots, minlength=len(key))
+        large = pairs > direct * members
+        of = large[roots]
+        yield emit(np.full(of.sum(), MEMBER), digest[roots[of]], digest[nodes[of]])
+        few = ~large[roots[np.searchsorted(nodes, i)]]
+        i, j, bits = i[few], j[few], bits[few]
+        order = np.lexsort((i, bits, j))
+        i, j = i[order], j[order]
+        yield emit(np.where(np.diff(j, prepend=-1) != 0, NEAREST, NEAR), digest[i], digest[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        hot: int | None = None
+        for batch in batches:
+            new = [np.asarray(batch.column(c)).view(x.dtype) for c, x in enumerate(rows)]
+            if hot is not None:
+                more = new[0] == hot
+                yield emit(np.full(more.sum(), MEMBER), ~new[0][more], new[1][more])
+                new = [x[~more] for x in new]
+            rows = [np.concatenate(x) for x in zip(rows, new, strict=True)]
+            if not len(rows[0]):
+                continue
+            # Keys of over `held` rows are large as a whole, the others are compared; the last key may go on in the next batch.
+            last = rows[0][-1]
+            own, sizes = np.unique(rows[0], return_counts=True)
+            much = np.isin(rows[0], own[sizes > held])
+            yield emit(np.full(much.sum(), MEMBER), ~rows[0][much], rows[1][much])
+            hot = int(last) if much[-1] else None
+            done = ~much & (rows[0] != last)
+            yield from groups(*(x[done] for x in rows))
+            rows = [x[~much & (x0 == last)] for x, x0 in ((x, rows[0]) for x in rows)]
+        if len(rows[0]):
+            yield from groups(*rows)
+
+    return run
+
+
+def candidates(classes: DataFrame, bits: int, bands: int, direct: int = 32, held: int = HELD) -> DataFrame:
+    """(kind, a, b) of classes (digest, prints): pairs that share a band and differ in at most DISTANCE bits of two fingerprints, those of a class with the
+    nearest before it marked; and members of groups that are too large for pairs."""
+    per = 64 // bits
+    print_of = F.element_at("prints", (F.col("band") / per).cast("int") + 1)
+    value = F.expr(f"shiftrightunsigned(print, (band % {per}) * {bits})").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    rows = classes.select("digest", "prints", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    rows = rows.select("digest", "band", print_of.alias("print"), F.element_at("prints", 1).alias("p"), F.element_at("prints", 2).alias("q"))
+    keyed = rows.select((F.col("band").cast("long") * (1 << bits) + value).alias("key"), "digest", "p", "q")
+    dealt = keyed.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "digest")
+    return dealt.mapInArrow(lean(_meet(direct, held)), "kind int, a long, b long")
 
 
 def shared_counts(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
@@ -207,27 +326,33 @@ def _cluster_links(large: DataFrame, sets: DataFrame, tenths: int, block: int) -
 def component_classes(docs: DataFrame, width: int = 5, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", direct: int = 32, block: int = BLOCK) -> DataFrame:
     """(digest, mark, id, root): each distinct text with a number of its own, its digest, the smallest doc_id that has it, and its component."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), _text(text_col).alias("text"))
-    grouped = rows.mapInArrow(lean(_bands(width)), "id long, mark binary, bands array<long>").groupBy("mark").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
+    bits, bands, prints = bands_for(docs.count())
+    grouped = rows.mapInArrow(lean(_prints(width, prints)), "id long, mark binary, prints array<long>").groupBy("mark").agg(F.min("id").alias("id"), F.min("prints").alias("prints"))
     classes = cut(grouped.withColumn("digest", F.monotonically_increasing_id()))
-    neighbours = cut(_neighbours(classes.select("digest", F.explode("bands").alias("key"))).distinct())
-    # Only classes with a neighbour have a key in common with another.
-    near = neighbours.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    few = cut(classes.join(near, F.col("digest") == F.col("d"), "left_semi"))
+    # A pair is found under several keys.
+    found = cut(candidates(classes, bits, bands, direct).groupBy(F.greatest("kind", F.lit(NEAR)).alias("what"), "a", "b").agg(F.min("kind").alias("kind")))
+    pairs, members = found.where(F.col("kind") < MEMBER), found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("digest"))
+    any_large = not members.isEmpty()
+    first = pairs.where(F.col("kind") == NEAREST).select("a", "b")
+    neighbours = cut(first.unionByName(_neighbours(members)).distinct()) if any_large else first
+    # Only classes with a candidate have a set made.
+    near = pairs.select(F.explode(F.array("a", "b")).alias("d")).unionByName(members.select(F.col("digest").alias("d"))).distinct()
+    few = cut(classes.drop("prints").join(near, F.col("digest") == F.col("d"), "left_semi"))
     # One row of each class: by id as well, so that copies of one text don't meet in one task.
     wanted = few.select(F.col("mark").alias("m"), F.col("id").alias("i"), "digest")
     texts = rows.join(wanted, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).select("digest", "text")
     sets = cut(texts.mapInArrow(lean(_sets(width)), "digest long, shingles array<long>").dropDuplicates(["digest"]))
     links = _similar(neighbours, sets, tenths)
     roots = components(links)
-    rooted = few.join(roots, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("root", "digest").alias("root"), "bands")
-    own = rooted.select("digest", "root", F.explode("bands").alias("key"))
-    keys = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "n")
-    mixed = cut(own.join(keys, "key"))
-    some = mixed.where(F.col("n") <= direct).select("key", F.struct("digest", "root").alias("x"))
-    later = _similar(_direct_pairs(some, direct), sets, tenths)
-    large = mixed.where(F.col("n") > direct).select("key", "digest", "root")
-    if not large.isEmpty():
-        later = later.unionByName(_cluster_links(large, sets, tenths, block))
+    rooted = cut(few.join(roots, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("root", "digest").alias("root")))
+    side = lambda c: rooted.select(F.col("digest").alias(c), F.col("root").alias(f"r{c}"))
+    later = _similar(pairs.where(F.col("kind") == NEAR).select("a", "b").join(side("a"), "a").join(side("b"), "b").where("ra <> rb"), sets, tenths)
+    if any_large:
+        own = members.join(rooted, "digest")
+        keys = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+        large = cut(own.join(keys, "key").select("key", "digest", "root"))
+        if not large.isEmpty():
+            later = later.unionByName(_cluster_links(large, sets, tenths, block))
     if not later.isEmpty():
         roots = components(links.unionByName(later))
     return classes.join(roots, classes["digest"] == roots["node"], "left").select("digest", "mark", "id", F.coalesce("root", "digest").alias("root"))

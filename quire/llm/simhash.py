@@ -241,7 +241,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tenths: int = 8, id_col: s
     """docs without near-duplicates: of each component of texts whose shingles of `width` words have a Jaccard similarity of tenths / 10 or
     more, one row with the smallest doc_id (of several texts with that id, the one of the smallest digest) stays as it is.
 
-    Fingerprints alone don't decide this: texts at a similarity of 0.8 differ in some 10 +- 3 of 64 bits, and blocks that
-    any two fingerprints 17 bits apart share would have three bits.  So candidates come from MinHash bands, and whole
+    A fingerprint alone doesn't decide this: texts at a similarity of 0.8 differ in some 10 +- 3 of 64 bits.  So candidates come from the bands of
+    several fingerprints and their Hamming distance, and whole
     sets of shingles are compared (near_copies.py).  Repeated rows are one row.  Rows without doc_id take part, and stay."""
     return keep_first(docs, component_classes(docs, width, tenths, id_col, text_col), id_col, text_col)

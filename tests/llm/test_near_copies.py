@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from quire.llm.near_copies import component_classes, keep_first, shared_counts
+from quire.llm.near_copies import AGREE, bands_for, candidates, component_classes, fingerprints, keep_first, shared_counts
 from quire.llm.simhash import drop_near_copies
 
 from .common import documents, texts
@@ -106,3 +106,36 @@ def test_clashing_columns_and_partitions(spark):
         assert got.columns == docs.columns
         results.add(tuple(sorted(map(tuple, got.collect()), key=str)))
     assert len(results) == 1 and [r[0] for r in results.pop()] == [1, 3]
+
+
+def test_fingerprints_are_majorities():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 4, 5, 8, 9, 64, 301, 10_000):
+        values = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        got = fingerprints(values, 5)
+        own = np.concatenate([values[: 1 - len(values) % 2], values])
+        for k in range(5):
+            words = [int(fingerprints(v[None], 5)[k]) for v in own]
+            assert int(got[k]) == sum(1 << bit for bit in range(64) if 2 * sum(w >> bit & 1 for w in words) > len(words))
+
+
+def test_candidates_come_from_fingerprints(spark):
+    """Sets at a Jaccard of 0.8 meet by the bands of their fingerprints; unrelated ones are not candidates.  Members of large groups are named."""
+    rng = np.random.default_rng(6)
+    bits, bands, prints = bands_for(400)
+    sets = []
+    for _ in range(200):
+        values = rng.integers(0, 1 << 63, 90 + int(rng.integers(20))).astype(np.uint64)
+        sets += [np.unique(values[len(values) // 10 :]), np.unique(values[: len(values) - len(values) // 10])]
+    rows = [(i, fingerprints(v, prints).view(np.int64).tolist()) for i, v in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "digest long, prints array<long>")
+    got = {(r.a, r.b) for r in candidates(classes, bits, bands).collect()}
+    assert got == {(i, i + 1) for i in range(0, 400, 2)}
+    same = classes.selectExpr("digest", f"(select first(prints) from values (array({', '.join(f'{x}L' for x in rows[0][1])})) t(prints)) as prints")
+    for direct, held in ((8, 512), (1000, 100)):
+        named = candidates(same, bits, bands, direct, held).select("kind", "b").distinct().collect()
+        assert sorted(r.b for r in named) == list(range(400)) and {r.kind for r in named} == {2}
+
+
+def test_fingerprints_miss_next_to_nothing(spark):
+    assert all(1 - (1 - AGREE**bits) ** bands > 0.99998 for bits, bands, _ in map(bands_for, (1, 10**5, 10**7)))
