@@ -49,7 +49,8 @@ SECTION_WEIGHT = {
 LENGTH_WEIGHT = ((12, 0.40), (30, 0.65), (60, 0.88))
 WITHOUT_FOOTNOTES = ("indice_nombres", "indice_general")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-PASSAGES_A_FILE = 2_000_000
+#: Passages whose postings of one part go to one task and file: of the fullest part, which has a fifth of all, some 100 MB.
+PASSAGES_A_FILE = 1 << 17
 SHARD = 2048
 #: Shards that are scored first, and how many at most are named one by one in the scan; more are joined.
 SEEDS, NAMED_SHARDS = 32, 1_000
@@ -178,6 +179,13 @@ def part_of(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(parts)).cast("int")
 
 
+def deal(rows: DataFrame, by: str, parts: int, passages: int) -> DataFrame:
+    """Rows (part, ...) of so many passages over tasks by part and by a hash of the column `by`: what a task gets doesn't grow with the passages."""
+    files = max(1, -(-passages // PASSAGES_A_FILE))
+    # More tasks than parts, so that few tasks get two of them.
+    return rows.repartition(4 * parts * files, "part", F.pmod(F.xxhash64(by), F.lit(files)))
+
+
 def parts_asked(part: Column, terms: list[str], prefixes: list[str], parts: int) -> Column:
     """Whether a part may have one of the terms or prefixes.  Constant expressions, folded before the scan: other parts are not listed."""
     if any(len(p) < 2 for p in prefixes):
@@ -229,10 +237,7 @@ class Index:
         passages = texts.count() if passages is None else passages
         columns = f"term string, shard long, n int, tfmax int, dlmin int, cf long, ids array<{kind}>, tfs array<int>, starts array<int>, positions array<int>, dls array<int>"
         rows = tokenized(texts, id_col, text).select("id", "tokens").mapInArrow(_listed, columns).withColumn("part", part_of(F.col("term"), parts))
-        files = max(1, -(-passages // PASSAGES_A_FILE))
-        # More tasks than parts, so that few tasks get two of them.
-        dealt = rows.repartition(4 * parts * files, "part", F.pmod(F.xxhash64("shard"), F.lit(files)))
-        dealt.sortWithinPartitions("part", "term", "shard").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+        deal(rows, "shard", parts, passages).sortWithinPartitions("part", "term", "shard").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
         lists = spark.read.schema(f"{columns}, part int").parquet(f"{path}/postings")
         words = lists.agg(F.sum("cf")).collect()[0][0] or 0
         spark.range(1).select(F.lit(passages).cast("long").alias("passages"), F.lit(words).cast("long").alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")

@@ -1,8 +1,10 @@
 import json
 import re
 
+from pyspark.sql import functions as F
+
 from quire.operators.index_store import Store, alphabetical, joined_names
-from quire.operators.search import plan, rank
+from quire.operators.search import deal, plan, rank
 
 
 def volume(folder, name, place, pages, broken=False):
@@ -71,3 +73,10 @@ def test_generations_are_merged(spark, tmp_path):
 def test_alphabetical(spark):
     rows = spark.createDataFrame([(n,) for n in ("Zenón", "Ésquilo", "Esopo", "ánfora")], "canonico string")
     assert [r.canonico for r in alphabetical(rows).collect()] == ["ánfora", "Esopo", "Ésquilo", "Zenón"]
+
+
+def test_a_full_part_is_dealt_to_several_tasks(spark):
+    """Postings of two million passages: one part isn't one task's."""
+    rows = spark.range(20_000).withColumn("part", F.lit(3))
+    sizes = [r["count"] for r in deal(rows, "id", 4, 2_000_000).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 8_000 and sum(sizes) == 20_000
