@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import fold
-from quire.operators.search import Index, load_names, part_of, passages, postings
+from quire.operators.search import Index, deal, load_names, part_of, passages, postings
 from quire.sources.tables import read_volumes
 
 COMPACT_AFTER = 20
@@ -138,7 +138,9 @@ class Store:
         if name != "postings":
             rows.write.partitionBy("generacion").parquet(f"{self.path}/{name}", mode="append")
             return
-        dealt = rows.withColumn("part", part_of(F.col("term"), PARTS)).repartition("part").sortWithinPartitions("generacion", "part", "term", "id")
+        # The generation's passages are written before its postings.
+        passages = self.spark.read.parquet(f"{self.path}/pasajes").where(F.col("generacion") == generation).count()
+        dealt = deal(rows.withColumn("part", part_of(F.col("term"), PARTS)), "id", PARTS, passages).sortWithinPartitions("generacion", "part", "term", "id")
         dealt.write.partitionBy("generacion", "part").parquet(f"{self.path}/{name}", mode="append")
 
     def _publish(self, volumes: DataFrame, run: int) -> None:
