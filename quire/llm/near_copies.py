@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ AGREE, MISSED = 1 - math.acos(8 / 9) / math.pi, 0.00001
 BITS = 12
 #: Bits of the first two fingerprints that candidates may differ in: unrelated texts differ in 64 +- 6, those at 0.8 in 19 +- 4.
 DISTANCE = 40
+#: Fingerprints that a pair is compared by before its sets are, behind the first two; and the bits of these 256 that it may differ in: at 0.8 a pair differs in
+#: 39 +- 6, the smallest such pair (4 and 5 shingles) in 48 +- 6, unrelated texts in 128 +- 8.
+MORE, MORE_DISTANCE = 4, 90
 #: Classes of one key that are held in one task.
 HELD = 512
 SUB = 512
@@ -50,7 +55,7 @@ SUB = 512
 BLOCK = 1024
 #: In a pair of blocks, shingles that more classes have are counted by a product of matrices, rarer ones pair by pair.
 OFTEN = 32
-#: So many large keys at most are broadcast (16 bytes each); more are joined by a shuffle.
+#: So many large keys (16 bytes each) or classes (32 bytes each) at most are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 _CHUNK_BYTES = 1 << 18
 _ROWS = 1 << 12
@@ -122,9 +127,12 @@ def _shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 def _prints(width: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [fingerprints(values, prints) for values in _shingle_sets(batch.column(2), width)]
+            sizes, own = [], []
+            for values in _shingle_sets(batch.column(2), width):
+                sizes.append(len(values))
+                own.append(fingerprints(values, prints))
             flat = np.concatenate([np.zeros(0, np.uint64), *own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(flat, np.full(len(own), prints))], ["id", "mark", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), _lists(flat, np.full(len(own), prints))], ["id", "mark", "size", "prints"])
 
     return run
 
@@ -164,6 +172,13 @@ def _divided(keyed: DataFrame, by: Column) -> DataFrame:
     return keyed.join(large, "key", "left").withColumn("part", F.pmod(by, F.ceil(F.col("count") / SUB))).drop("count")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, tenths: int = 8) -> DataFrame:
+    """Those of the pairs (kind, a, b) that differ in at most MORE_DISTANCE bits of MORE further fingerprints, and whose sizes allow the similarity."""
+    side = lambda c: classes.select(F.col("digest").alias(c), F.col("size").alias(f"{c}n"), *[F.element_at("prints", 3 + i).alias(f"{c}{i}") for i in range(MORE)])
+    bits = reduce(add, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(MORE)])
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("an", "bn") * 10 >= F.greatest("an", "bn") * tenths) & (bits <= MORE_DISTANCE)).select("kind", "a", "b"))
+
+
 def _neighbours(keyed: DataFrame) -> DataFrame:
     """(a, b): each class with the one before it under a key, in order of their digests; and the first of each part of a key with that of the part before."""
     own = Window.partitionBy("key", "part").orderBy("digest")
@@ -327,19 +342,21 @@ def component_classes(docs: DataFrame, width: int = 5, tenths: int = 8, id_col:
     """(digest, mark, id, root): each distinct text with a number of its own, its digest, the smallest doc_id that has it, and its component."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), _text(text_col).alias("text"))
     bits, bands, prints = bands_for(docs.count())
-    grouped = rows.mapInArrow(lean(_prints(width, prints)), "id long, mark binary, prints array<long>").groupBy("mark").agg(F.min("id").alias("id"), F.min("prints").alias("prints"))
+    grouped = rows.mapInArrow(lean(_prints(width, prints)), "id long, mark binary, size int, prints array<long>").groupBy("mark").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("prints").alias("prints"))
     classes = cut(grouped.withColumn("digest", F.monotonically_increasing_id()))
     # A pair is found under several keys.
     found = cut(candidates(classes, bits, bands, direct).groupBy(F.greatest("kind", F.lit(NEAR)).alias("what"), "a", "b").agg(F.min("kind").alias("kind")))
-    pairs, members = found.where(F.col("kind") < MEMBER), found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("digest"))
+    pairs, members = _near(found.where(F.col("kind") < MEMBER), classes, tenths), found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("digest"))
     any_large = not members.isEmpty()
     first = pairs.where(F.col("kind") == NEAREST).select("a", "b")
     neighbours = cut(first.unionByName(_neighbours(members)).distinct()) if any_large else first
     # Only classes with a candidate have a set made.
     near = pairs.select(F.explode(F.array("a", "b")).alias("d")).unionByName(members.select(F.col("digest").alias("d"))).distinct()
-    few = cut(classes.drop("prints").join(near, F.col("digest") == F.col("d"), "left_semi"))
-    # One row of each class: by id as well, so that copies of one text don't meet in one task.
+    few = cut(classes.select("digest", "mark", "id").join(near, F.col("digest") == F.col("d"), "left_semi"))
+    # One row of each class: by id as well, so that copies of one text don't meet in one task.  Texts are only sent where these keys are many.
     wanted = few.select(F.col("mark").alias("m"), F.col("id").alias("i"), "digest")
+    if few.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
     texts = rows.join(wanted, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("i"))).select("digest", "text")
     sets = cut(texts.mapInArrow(lean(_sets(width)), "digest long, shingles array<long>").dropDuplicates(["digest"]))
     links = _similar(neighbours, sets, tenths)
@@ -368,7 +385,18 @@ def keep_rows(marked: DataFrame, kept: DataFrame, id_col: str, mark: str, column
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component one row with its smallest doc_id; rows without doc_id stay.  The texts are shuffled once, by id and digest."""
+    """Of each component one row with its smallest doc_id; rows without doc_id stay.  Rows to drop and repeated ones are known by their keys; if these are
+    few, nothing else of a text is shuffled than repeated rows.  Else the texts are shuffled once, by id and digest."""
     kept = classes.where("id is not null").groupBy("root").agg(F.min(F.struct("id", "mark")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.mark").alias("__kept"))
     marked = docs.where(F.col(id_col).isNotNull()).withColumn("__digest", _mark(text_col))
-    return keep_rows(marked, kept, id_col, "__digest", docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    keys = marked.select(F.col(id_col).cast("long").alias("__own"), F.col("__digest").alias("__mark")).groupBy("__own", "__mark").agg(F.count("*").alias("__n"))
+    staying = kept.withColumn("__stays", F.lit(True))
+    judged = keys.join(staying, (F.col("__own") == F.col("__id")) & (F.col("__mark") == F.col("__kept")), "left").select("__own", "__mark", "__n", F.coalesce("__stays", F.lit(False)).alias("__stays"))
+    special = cut(judged.where("__n > 1 or not __stays"))
+    without_id = docs.where(F.col(id_col).isNull())
+    if special.count() > BROADCAST_KEYS:
+        return keep_rows(marked, kept, id_col, "__digest", docs.columns).unionByName(without_id)
+    met = marked.join(F.broadcast(special), (F.col(id_col).cast("long") == F.col("__own")) & (F.col("__digest") == F.col("__mark")), "left")
+    alone = met.where("__stays is null").select(*docs.columns)
+    repeated = keep_rows(met.where("__stays").select(*docs.columns, "__digest"), kept, id_col, "__digest", docs.columns)
+    return alone.unionByName(repeated).unionByName(without_id)

@@ -3,7 +3,8 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from quire.llm.near_copies import AGREE, bands_for, candidates, component_classes, fingerprints, keep_first, shared_counts
+from quire.llm import near_copies as near_module
+from quire.llm.near_copies import AGREE, NEAR, bands_for, candidates, component_classes, fingerprints, keep_first, shared_counts
 from quire.llm.simhash import drop_near_copies
 
 from .common import documents, texts
@@ -139,3 +140,29 @@ def test_candidates_come_from_fingerprints(spark):
 
 def test_fingerprints_miss_next_to_nothing(spark):
     assert all(1 - (1 - AGREE**bits) ** bands > 0.99998 for bits, bands, _ in map(bands_for, (1, 10**5, 10**7)))
+
+
+def test_pairs_by_chance_get_no_set(spark):
+    """Unrelated texts that are near in the first two fingerprints only are no pair any more; those at 0.8 stay, down to the smallest."""
+    rng = np.random.default_rng(7)
+    rows, pairs = [], []
+    for i, n in enumerate([4, 4, 4, 4, 9, 90, 90, 2000] * 20):
+        values = rng.integers(0, 1 << 63, n + n // 4).astype(np.uint64)
+        a, b = fingerprints(np.unique(values[:n]), 16), fingerprints(np.unique(values), 16)
+        if i % 2:
+            b[2:] = rng.integers(0, 1 << 63, 14).astype(np.uint64)
+        rows += [(2 * i, n, a.view(np.int64).tolist()), (2 * i + 1, n + n // 4, b.view(np.int64).tolist())]
+        pairs.append((NEAR, 2 * i, 2 * i + 1))
+    rows.append((999, 3, rows[0][2]))
+    pairs.append((NEAR, 0, 999))  # equal fingerprints of sets of 3 and 4
+    left = near_module._near(spark.createDataFrame(pairs, "kind int, a long, b long"), spark.createDataFrame(rows, "digest long, size int, prints array<long>"))
+    assert sorted(r.a // 2 for r in left.collect()) == list(range(0, 160, 2))
+
+
+def test_texts_sent_or_met_in_place_give_the_same(spark, monkeypatch):
+    rows = list(enumerate(near_copies(9, 60)))
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in [*rows, *rows[:9], (None, rows[0][1])]], SCHEMA)
+    want = sorted((r.doc_id, r.text) for r in drop_near_copies(docs).collect() if r.doc_id is not None)
+    assert want == brute(rows)[0]
+    monkeypatch.setattr(near_module, "BROADCAST_KEYS", 0)
+    assert sorted((r.doc_id, r.text) for r in drop_near_copies(docs).collect() if r.doc_id is not None) == want
