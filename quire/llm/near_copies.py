@@ -9,7 +9,8 @@ the work linear in the size of a group of copies:
 
 1. Each class is compared with the nearest before it under each key; this joins most copies, however many they are.
 2. Pairs within DISTANCE that are still in different components are compared, all of them.
-3. Where more than `direct` such pairs come to a class, or over HELD classes to a key, no pairs are made.  Those classes make clusters, the components of
+3. Where more than `direct` such pairs come to a class under a key, or over HELD classes to a key, no pairs are made: of a group of n classes with
+   n (n - 1) / 2 pairs at most `direct` n are sent.  Those classes make clusters, the components of
    "share such a key" (in order of their digests, neighbours are compared in round 1).  Shingles that no other of them has can't be shared, so classes with
    more of these than the similarity allows can have no link and are left out.  The others are dealt to blocks of about `block` classes; the
    component with the most classes of its cluster has blocks of its own, which are not compared with each other.  Each other pair of blocks of a cluster
@@ -48,6 +49,8 @@ DISTANCE = 40
 #: Fingerprints that a pair is compared by before its sets are, behind the first two; and the bits of these 256 that it may differ in: at 0.8 a pair differs in
 #: 39 +- 6, the smallest such pair (4 and 5 shingles) in 48 +- 6, unrelated texts in 128 +- 8.
 MORE, MORE_DISTANCE = 4, 90
+#: Near pairs for each class under one key; in groups with more of them no pairs are made.
+DIRECT = 4
 #: Classes of one key that are held in one task.
 HELD = 512
 SUB = 512
@@ -257,7 +260,7 @@ def _meet(direct: int, held: int):
     return run
 
 
-def candidates(classes: DataFrame, bits: int, bands: int, direct: int = 32, held: int = HELD) -> DataFrame:
+def candidates(classes: DataFrame, bits: int, bands: int, direct: int = DIRECT, held: int = HELD) -> DataFrame:
     """(kind, a, b) of classes (digest, prints): pairs that share a band and differ in at most DISTANCE bits of two fingerprints, those of a class with the
     nearest before it marked; and members of groups that are too large for pairs."""
     per = 64 // bits
@@ -328,6 +331,9 @@ def _cluster_links(large: DataFrame, sets: DataFrame, tenths: int, block: int) -
     by_root = able.groupBy("cluster", "root").count()
     shape = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"))
     shape = shape.where(F.col("most") < F.col("all")).select("cluster", "major", F.ceil(F.col("most") / block).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("others"))
+    shape = cut(shape)
+    if shape.count() <= BROADCAST_KEYS:
+        shape = F.broadcast(shape)
     placed = able.join(shape, "cluster")
     is_major = F.col("root") == F.col("major")
     # Blocks of others are numbered from 0, those of the major component behind them.
@@ -335,10 +341,12 @@ def _cluster_links(large: DataFrame, sets: DataFrame, tenths: int, block: int) -
     partners = F.when(is_major, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("majors") - 1))
     pairs = placed.withColumn("number", number).select("cluster", "digest", "root", "shingles", "number", F.explode(partners).alias("other"))
     keyed = pairs.select("cluster", F.least("number", "other").alias("i"), F.greatest("number", "other").alias("j"), "digest", "root", "shingles")
+    # What a join has dealt by cluster would do for these groups too, with all pairs of a cluster's blocks in one task.
+    keyed = keyed.repartition(partitions(large.sparkSession), "cluster", "i", "j")
     return cut(keyed.groupBy("cluster", "i", "j").applyInArrow(lean_table(_compare(tenths)), "a long, b long"))
 
 
-def component_classes(docs: DataFrame, width: int = 5, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", direct: int = 32, block: int = BLOCK) -> DataFrame:
+def component_classes(docs: DataFrame, width: int = 5, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", direct: int = DIRECT, block: int = BLOCK) -> DataFrame:
     """(digest, mark, id, root): each distinct text with a number of its own, its digest, the smallest doc_id that has it, and its component."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), _text(text_col).alias("text"))
     bits, bands, prints = bands_for(docs.count())

@@ -166,3 +166,17 @@ def test_texts_sent_or_met_in_place_give_the_same(spark, monkeypatch):
     assert want == brute(rows)[0]
     monkeypatch.setattr(near_module, "BROADCAST_KEYS", 0)
     assert sorted((r.doc_id, r.text) for r in drop_near_copies(docs).collect() if r.doc_id is not None) == want
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark):
+    """Groups of near classes: under the limit of pairs that a run has by itself, twice the classes don't make four times the pairs; no class is left out."""
+    rng = np.random.default_rng(8)
+    bits, bands, prints = bands_for(100)
+    made = []
+    for n in (30, 60):
+        stock = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        rows = [(i, fingerprints(np.unique(np.append(stock, np.uint64(i))), prints).view(np.int64).tolist()) for i in range(n)]
+        got = candidates(spark.createDataFrame(rows, "digest long, prints array<long>"), bits, bands).distinct().collect()
+        made.append(len({(r.a, r.b) for r in got if r.kind < 2}))
+        assert {r.b for r in got} == set(range(n))
+    assert made[1] <= max(4 * 60, 2 * made[0])
