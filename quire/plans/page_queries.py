@@ -19,7 +19,7 @@ from quire.operators import views as V
 from quire.plans.search_queries import _SECTIONS, _WS, CHUNKS, table
 from quire.plans.source_queries import _letters, letters, text
 from quire.plans.store_queries import read
-from quire.session import spread
+from quire.session import spread, work_path
 from quire.sql import register
 
 QUERIES: dict = {}
@@ -380,7 +380,10 @@ c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n
 SELECT q.que, c.id, w.canonico FROM c JOIN d ON k = t % n JOIN w ON w.id = c.id, (VALUES ('sorteo'), ('mismo dia')) q(que)""")
 def sticky_passage(spark, sf):
     """The passage of a day, thrown by the date, and the same when it is asked for again."""
-    rows = table(spark, sf).withColumn("nombres", F.lit(1)).withColumn("hojas", F.lit(0)).withColumn("titulo", F.lit(""))
+    # The passages are cut once: each throw looks at the table several times.
+    folder = work_path(spark, "passages")
+    table(spark, sf).write.parquet(folder)
+    rows = spark.read.parquet(folder).withColumn("nombres", F.lit(1)).withColumn("hojas", F.lit(0)).withColumn("titulo", F.lit(""))
     names, meta = spark.createDataFrame([], "canonico string, nombre string, normal string, refs string, cuantas int"), spark.createDataFrame([], schemas.META)
     first, meta = R.sticky_passage(rows, names, meta, "2026-08-08")
     again, _ = R.sticky_passage(rows, names, meta, "2026-08-08")
