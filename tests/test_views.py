@@ -25,6 +25,14 @@ def test_lots(spark):
     assert sorted(r.fila for r in V.preselected(title, cat).collect()) == [1, 2]
 
 
+def test_a_lot_named_at_the_end_of_a_long_listing(spark):
+    cat = spark.createDataFrame(ROWS, schemas.CATALOGUE)
+    lines = [f"otro libro {k}" for k in range(1_000)]
+    listings = spark.createDataFrame([("https://s/lote~x1", "\n".join(["Ovidio: Fastos", *lines, "", "Homero - Odisea"])), ("https://s/lote~x2", "; ".join([*lines, "Ovidio: Fastos"]))], "url string, texto string")
+    got = {r.url: r.titulo for r in V.new_lots(listings, cat).collect()}
+    assert got == {"https://s/lote~x1": "[LOTE ×2] Homero — Odisea + Ovidio — Fastos", "https://s/lote~x2": "[LOTE ×1] Ovidio — Fastos"}
+
+
 def test_passages(spark):
     assert V.passage_title("Libro I", "", ["AQUILES", "Peleo", "x"], "c") == "Aquiles y Peleo"
     assert V.passage_title("Sobre la educación.", "", [], "c") == "Sobre la educación" and V.passage_title("III", "Libro II", [], "c") == "c"
