@@ -10,27 +10,29 @@ order of the term, and the manifest names that one; so after n runs some FANOUT
 Rows of volumes that were replaced or dropped are left behind in it.  compact() removes generations without a volume that counts; a run
 calls it after COMPACT_AFTER volumes, and after it has merged.
 
-A passage's id has its generation, its volume's number in that and its place in the volume, so no two have the same, and it is kept when generations are
-merged.
+A passage's id has its generation, the task that wrote it and its place in that task, so no two have the same, and it is kept when generations are
+merged.  A run shuffles no text and no postings: pages are cut and numbered where they are read, and a task writes the postings of its own passages to all
+parts, sorted by the term within runs of passages.  Only merging deals them anew.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import fold
-from quire.operators.search import Index, deal, load_names, part_of, passages, postings
-from quire.sources.tables import read_volumes
+from quire.operators.search import Index, deal, load_names, part_of, passages, postings_in_runs
+from quire.session import setting, shuffles_dropped
+from quire.sources.tables import BROADCAST_VOLUMES, read_lines
 
 COMPACT_AFTER = 20
 FANOUT, PARTS = 4, 16
-#: An id is generation << 44 | volume << 22 | place: a volume has at most 4,194,303 passages, a run as many volumes.
-VOLUME_BITS, PLACE_BITS = 22, 22
-#: A manifest of so many volumes at most is sent to every task; a larger one is joined by a shuffle.
-BROADCAST_VOLUMES = 100_000
+#: An id is generation << 44 | task << 26 | place: a run has at most 262,144 tasks, a task 67,108,864 passages.
+TASK_BITS, PLACE_BITS = 18, 26
+#: Bytes of a row group of postings: a task has one of each part in memory.
+GROUP_BYTES = 8 << 20
 MANIFEST = "archivo string, mtime timestamp, bytes long, canonico string, autor string, numero string, orden int, pasajes long, nombres long, palabras long, generacion int, fichas long, nivel int"
 TABLES = ("pasajes", "postings", "nombres")
 
@@ -91,7 +93,7 @@ class Store:
         last = self.run()
         generation = last + 1
         known = self.manifest()
-        headers, pages, bad = read_volumes(self.spark, source)
+        headers, pages, bad = read_lines(self.spark, source)
         # A volume that Spark wrote is a folder: its name stays when it is written again.
         named = F.coalesce(F.nullif(F.regexp_extract("archivo", "archivo=([^/]+)/", 1), F.lit("")), F.col("archivo"))
         headers, pages = headers.withColumn("archivo", named), pages.withColumn("archivo", named)
@@ -99,18 +101,17 @@ class Store:
         files = headers.dropDuplicates(["archivo"]).persist()
         fresh = files if force else files.join(known.select(*keys), keys, "left_anti")
         fresh = fresh.withColumn("indice_nombres", F.coalesce("indice_nombres", F.create_map().cast("map<string, array<string>>"))).persist()
-        wanted = F.broadcast(fresh.select("archivo")) if fresh.limit(BROADCAST_VOLUMES + 1).count() <= BROADCAST_VOLUMES else fresh.select("archivo")
-        own = pages.join(wanted, "archivo", "left_semi").withColumnRenamed("pdf", "hoja")
+        few = fresh.limit(BROADCAST_VOLUMES + 1).count() <= BROADCAST_VOLUMES
+        sent = lambda rows: F.broadcast(rows) if few else rows
+        own = pages.join(sent(fresh.select("archivo", "canonico")), "archivo").withColumnRenamed("pdf", "hoja")
         cut = passages(own, ["archivo", "canonico", "hoja", "titulo", "obra"])
-        # Files of a run in one small window; passages of a volume in another.
-        volume = fresh.select("archivo", F.row_number().over(Window.orderBy("archivo")).alias("__volume"))
-        place = F.row_number().over(Window.partitionBy("archivo").orderBy("hoja", "clase", "orden"))
-        number = F.lit(generation).cast("long") * (1 << VOLUME_BITS + PLACE_BITS) + F.col("__volume").cast("long") * (1 << PLACE_BITS) + place
-        numbered = cut.join(volume, "archivo").withColumns({"generacion": F.lit(generation), "id": number}).drop("__volume")
-        self._add("pasajes", numbered)
+        self._add("pasajes", cut.withColumns({"generacion": F.lit(generation), "id": _number(generation)}))
         stored = self.spark.read.parquet(f"{self.path}/pasajes").where(F.col("generacion") == generation)
-        of = stored.select("id", "archivo")
-        self._add("postings", postings(stored).join(of, "id").withColumn("generacion", F.lit(generation)))
+        # Files of a run in one small window.  A posting carries its volume's number, not its name, to where it is written.
+        volume = fresh.select("archivo", F.row_number().over(Window.orderBy("archivo")).alias("__volume"))
+        found = postings_in_runs(stored.join(sent(volume), "archivo").withColumn("id", F.struct("id", "__volume")))
+        found = found.select("term", F.col("id.id").alias("id"), "tf", "positions", "dl", F.col("id.__volume").alias("__volume")).join(sent(volume), "__volume").drop("__volume")
+        self._add("postings", found.withColumn("generacion", F.lit(generation)), deal_anew=False)
         self._add("nombres", load_names(fresh, ["archivo", "canonico"]).withColumn("generacion", F.lit(generation)))
         words = self.spark.read.parquet(f"{self.path}/postings").where(F.col("generacion") == generation).groupBy("archivo").agg(F.sum("tf").alias("fichas"))
         counts = stored.groupBy("archivo").agg(F.count("*").alias("pasajes"), F.sum("palabras").alias("__p"))
@@ -130,18 +131,27 @@ class Store:
             self.compact()
         return out
 
-    def _add(self, name: str, rows: DataFrame) -> None:
-        """Write rows of a generation; what a run that was stopped has left of it goes first."""
+    def _add(self, name: str, rows: DataFrame, deal_anew: bool = True) -> None:
+        """Write rows of a generation; what a run that was stopped has left of it goes first.  Postings that aren't dealt anew go from each task to all
+        parts, in the order in which they come."""
         path, fs = self._fs()
         generation = self.run() + 1
         fs.delete(path(f"{self.path}/{name}/generacion={generation}"), True)
         if name != "postings":
-            rows.write.partitionBy("generacion").parquet(f"{self.path}/{name}", mode="append")
+            with shuffles_dropped(self.spark):
+                rows.write.option("compression", "zstd").partitionBy("generacion").parquet(f"{self.path}/{name}", mode="append")
+            return
+        parted = rows.withColumn("part", part_of(F.col("term"), PARTS))
+        if not deal_anew:
+            # A writer a part: else each task would sort its rows by part.
+            with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(2 * PARTS)):
+                parted.write.options(compression="zstd", **{"parquet.block.size": GROUP_BYTES}).partitionBy("generacion", "part").parquet(f"{self.path}/{name}", mode="append")
             return
         # The generation's passages are written before its postings.
         passages = self.spark.read.parquet(f"{self.path}/pasajes").where(F.col("generacion") == generation).count()
-        dealt = deal(rows.withColumn("part", part_of(F.col("term"), PARTS)), "id", PARTS, passages).sortWithinPartitions("generacion", "part", "term", "id")
-        dealt.write.partitionBy("generacion", "part").parquet(f"{self.path}/{name}", mode="append")
+        dealt = deal(parted, "id", PARTS, passages).sortWithinPartitions("generacion", "part", "term", "id")
+        with shuffles_dropped(self.spark):
+            dealt.write.option("compression", "zstd").partitionBy("generacion", "part").parquet(f"{self.path}/{name}", mode="append")
 
     def _publish(self, volumes: DataFrame, run: int) -> None:
         volumes.coalesce(1).write.parquet(f"{self.path}/manifiesto/run-{run}", mode="overwrite")
@@ -178,6 +188,14 @@ class Store:
                     fs.delete(status.getPath(), True)
 
 
+def _number(generation: int) -> Column:
+    """The id of a passage where it is cut: the rows of a task are numbered, so no passage is shuffled for it."""
+    row = F.monotonically_increasing_id()  # task << 33 | row
+    task, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    whole = F.lit(generation).cast("long") * (1 << TASK_BITS + PLACE_BITS) + task * (1 << PLACE_BITS) + place
+    return F.when((task < 1 << TASK_BITS) & (place < 1 << PLACE_BITS), whole).otherwise(F.raise_error(F.lit("more passages of a run or a task than ids")).cast("long"))
+
+
 def joined_names(names: DataFrame, volumes: DataFrame) -> DataFrame:
     """Names with their volume's author, number and place in the collection."""
     return names.join(volumes.select("canonico", "autor", "numero", "orden"), "canonico")

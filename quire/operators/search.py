@@ -52,6 +52,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Passages whose postings of one part go to one task and file: of the fullest part, which has a fifth of all, some 100 MB.
 PASSAGES_A_FILE = 1 << 17
 SHARD = 2048
+#: Passages whose postings are sorted together before they are stored without a shuffle, and rows that go to the writer at once.
+RUN = 1 << 14
 #: Shards that are scored first, and how many at most are named one by one in the scan; more are joined.
 SEEDS, NAMED_SHARDS = 32, 1_000
 
@@ -132,6 +134,32 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([terms, batch.column(0).take(pa.array(row)), pa.array(tf, pa.int32()), spots, pa.array(lengths[row], pa.int32())], ["term", "id", "tf", "positions", "dl"])
 
 
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages (id, tokens) as (term, id, tf, positions, dl), in order of the term within every RUN passages."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= RUN:
+            yield from _run(held)
+            held, rows = [], 0
+    if rows:
+        yield from _run(held)
+
+
+def _run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    terms, row, tf, spots, lengths = _invert(batch)
+    code = terms.dictionary_encode()
+    rank = np.empty(len(code.dictionary), np.int32)
+    rank[np.asarray(pc.sort_indices(code.dictionary))] = np.arange(len(code.dictionary), dtype=np.int32)
+    order = np.argsort(rank[np.asarray(code.indices)], kind="stable")
+    for lo in range(0, len(order), RUN):
+        own = order[lo : lo + RUN]
+        at = pa.array(own)
+        yield pa.RecordBatch.from_arrays([terms.take(at), batch.column(0).take(pa.array(row[own])), pa.array(tf[own], pa.int32()), spots.take(at), pa.array(lengths[row[own]], pa.int32())], ["term", "id", "tf", "positions", "dl"])
+
+
 def _all_spots(tokens: DataFrame) -> DataFrame:
     """(term, id, tf, positions, dl) of all terms: linear in the tokens and without a shuffle, which no native expression is."""
     kind = tokens.schema["id"].dataType.simpleString()
@@ -197,6 +225,12 @@ def postings(texts: DataFrame, id_col: str = "id", text: Column | None = None) -
     return _all_spots(tokenized(texts, id_col, text))
 
 
+def postings_in_runs(texts: DataFrame, id_col: str = "id", text: Column | None = None) -> DataFrame:
+    """postings() in order of the term within runs of passages, as they are stored without a shuffle; the id may be a struct."""
+    tokens = tokenized(texts, id_col, text)
+    return tokens.select("id", "tokens").mapInArrow(_in_runs, f"term string, id {tokens.schema['id'].dataType.simpleString()}, tf int, positions array<int>, dl int")
+
+
 def term_filter(term: Column, terms: list[str], prefixes: list[str]) -> Column:
     out = term.isin(*terms) if terms else F.lit(False)
     for p in prefixes:

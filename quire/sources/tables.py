@@ -14,8 +14,12 @@ from quire import schemas
 from quire.functions.mail import parse_mail
 from quire.functions.text import strip
 from quire.operators.resolve import clean_number, first_int
+from quire.session import shuffles_dropped
 from quire.sources.workbook import sheet_rows
 
+#: So many volumes at most are sent to every task; more are joined by a shuffle.
+BROADCAST_VOLUMES = 100_000
+
 
 def read_mails(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
     """(path, modified, mail): each mail's file below path, parsed once."""
@@ -65,14 +69,19 @@ def strategy_coverage(mails: DataFrame) -> DataFrame:
     return kinds.select("k", category.alias("category")).groupBy("category").agg(F.countDistinct("k").alias("mails"))
 
 
-def read_volumes(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(headers, pages, bad lines) of JSON-lines files: a header a file, then pages.  A line that can't be read stops nothing."""
+def read_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, pages by file alone, bad lines) of JSON-lines files: a header a file, then pages.  A line that can't be read stops nothing."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("bytes"), "value")
     kind = F.get_json_object("value", "$.tipo")
     headers = lines.where(kind == "tomo").select("archivo", "mtime", "bytes", F.from_json("value", schemas.VOLUME).alias("v")).select("archivo", "mtime", "bytes", "v.*")
     pages = lines.where(kind == "pagina").select("archivo", F.from_json("value", schemas.PAGE).alias("p")).select("archivo", "p.*")
-    keyed = pages.join(headers.select("archivo", "canonico"), "archivo")
-    return headers, keyed, lines.where(kind.isNull() & (strip(F.col("value")) != "")).select("archivo", "value")
+    return headers, pages, lines.where(kind.isNull() & (strip(F.col("value")) != "")).select("archivo", "value")
+
+
+def read_volumes(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read_lines() with each page's canonical title."""
+    headers, pages, bad = read_lines(spark, path)
+    return headers, pages.join(headers.select("archivo", "canonico"), "archivo"), bad
 
 
 def volume_states(spark: SparkSession, path: str, cached: DataFrame | None = None) -> DataFrame:
@@ -101,8 +110,13 @@ def write_volumes(headers: DataFrame, pages: DataFrame, path: str, keep_others:
     name = (file_name(F.col("orden"), F.col("autor"), F.col("obras")) if catalogued else file_name(F.lit(0), F.col("canonico"), F.lit(""))).alias("archivo")
     first = headers.select("canonico", F.lit(-1).alias("pdf"), name, F.to_json(F.struct(*[c for c in headers.columns])).alias("value"))
     own = pages.select("canonico", F.col("pdf").cast("int").alias("pdf"), F.to_json(F.struct(*[c for c in pages.columns if c != "canonico"])).alias("value"))
-    rows = first.unionByName(own.join(headers.select("canonico", name), "canonico").select(first.columns))
-    rows.repartition("archivo").sortWithinPartitions("archivo", "pdf").select("archivo", "value").write.partitionBy("archivo").mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_others else "static").text(path)
+    named = headers.select("canonico", name).persist()
+    # Pages are sent once, to their file's task: the volumes' names go to the pages.
+    few = F.broadcast(named) if named.limit(BROADCAST_VOLUMES + 1).count() <= BROADCAST_VOLUMES else named
+    rows = first.unionByName(own.join(few, "canonico").select(first.columns))
+    with shuffles_dropped(rows.sparkSession):
+        rows.repartition("archivo").sortWithinPartitions("archivo", "pdf").select("archivo", "value").write.partitionBy("archivo").mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_others else "static").text(path)
+    named.unpersist()
 
 
 def file_name(order: F.Column, author: F.Column, works: F.Column) -> F.Column:

@@ -1,8 +1,11 @@
 import json
+import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quire.operators import search
 from quire.operators.index_store import Store, alphabetical, joined_names
 from quire.operators.search import deal, plan, rank
 
@@ -80,3 +83,41 @@ def test_a_full_part_is_dealt_to_several_tasks(spark):
     rows = spark.range(20_000).withColumn("part", F.lit(3))
     sizes = [r["count"] for r in deal(rows, "id", 4, 2_000_000).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 8 and max(sizes) < 8_000 and sum(sizes) == 20_000
+
+
+def test_a_run_shuffles_neither_passages_nor_postings(spark, tmp_path, monkeypatch):
+    """Passages are numbered where they are cut, postings written where they are found; ids stay apart."""
+    source, plans, add = tmp_path / "volumes", {}, Store._add
+    source.mkdir()
+    for k in range(5):
+        volume(source, f"v{k}", k, [f"canta la musa {k}", "otra hoja"])
+
+    def looked_at(self, name, rows, *options, **more):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        add(self, name, rows, *options, **more)
+
+    monkeypatch.setattr(Store, "_add", looked_at)
+    store = Store(spark, str(tmp_path / "index"))
+    store.update(str(source))
+    assert "row_number()" not in plans["pasajes"] and "hashpartitioning(id" not in plans["postings"]
+    ids = [r.id for r in store.table("pasajes").collect()]
+    assert len(set(ids)) == 10 and {i >> 44 for i in ids} == {0}
+    assert found(store, "canta") == [(f"v{k}", 1) for k in range(5)]
+    assert {(r.archivo.rsplit("/")[-1], r.n) for r in store.table("postings").groupBy("archivo").agg(F.sum("tf").alias("n")).collect()} == {(f"v{k}.jsonl", 6) for k in range(5)}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_runs_are_sorted_and_whole(monkeypatch):
+    rng = random.Random(3)
+    texts = [{"id": {"id": k, "v": k % 3}, "tokens": rng.choices("abcdefg", k=rng.randint(0, 9)) if k else None} for k in range(50)]
+    kind = pa.schema([("id", pa.struct([("id", pa.int64()), ("v", pa.int32())])), ("tokens", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist(texts[k : k + 7], kind) for k in range(0, 50, 7)]
+    monkeypatch.setattr(search, "RUN", 20)
+    rows = [r for b in search._in_runs(iter(batches)) for r in b.to_pylist()]
+    by = lambda rs: sorted((r["term"], r["id"]["id"], r["id"]["v"], r["tf"], r["positions"], r["dl"]) for r in rs)
+    assert by(rows) == by([r for b in search._inverted(iter(batches)) for r in b.to_pylist()]) and rows
+    runs = {}
+    for r in rows:
+        runs.setdefault(r["id"]["id"] // 21, []).append(r["term"])
+    assert len(runs) == 3 and all(terms == sorted(terms) for terms in runs.values())
+    assert list(search._in_runs(iter([]))) == []
