@@ -105,7 +105,9 @@ class Store:
         sent = lambda rows: F.broadcast(rows) if few else rows
         own = pages.join(sent(fresh.select("archivo", "canonico")), "archivo").withColumnRenamed("pdf", "hoja")
         cut = passages(own, ["archivo", "canonico", "hoja", "titulo", "obra"])
-        self._add("pasajes", cut.withColumns({"generacion": F.lit(generation), "id": _number(generation)}))
+        # The rows of a task are numbered where they are cut, so no passage is shuffled for it.
+        rows = cut.withColumn("__row", F.monotonically_increasing_id())
+        self._add("pasajes", rows.withColumns({"generacion": F.lit(generation), "id": _number(generation, F.col("__row"))}).drop("__row"))
         stored = self.spark.read.parquet(f"{self.path}/pasajes").where(F.col("generacion") == generation)
         # Files of a run in one small window.  A posting carries its volume's number, not its name, to where it is written.
         volume = fresh.select("archivo", F.row_number().over(Window.orderBy("archivo")).alias("__volume"))
@@ -188,9 +190,8 @@ class Store:
                     fs.delete(status.getPath(), True)
 
 
-def _number(generation: int) -> Column:
-    """The id of a passage where it is cut: the rows of a task are numbered, so no passage is shuffled for it."""
-    row = F.monotonically_increasing_id()  # task << 33 | row
+def _number(generation: int, row: Column) -> Column:
+    """The id of a passage by the number that Spark gives its row, task << 33 | place."""
     task, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
     whole = F.lit(generation).cast("long") * (1 << TASK_BITS + PLACE_BITS) + task * (1 << PLACE_BITS) + place
     return F.when((task < 1 << TASK_BITS) & (place < 1 << PLACE_BITS), whole).otherwise(F.raise_error(F.lit("more passages of a run or a task than ids")).cast("long"))
